@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,3 +34,19 @@ def whole_text(name: str = "text") -> Column:
 def held_out(doc_id: Column, mod: int, rest: int) -> Column:
     """Whether crc32 of the id as text leaves ``rest`` modulo ``mod``; a null id counts as ''."""
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod) == rest
+
+
+def stash(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet below the shared checkpoint folder, and read again.
+
+    As :func:`cut`, but compressed and by column; for texts.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.sparkContext.getCheckpointDir()
+    path = f"{folder.rstrip('/')}/stash-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -26,6 +26,8 @@ CAPACITY = 2048
 BROADCAST_ROWS = 100_000
 #: Distinct words whose ids a Python worker keeps before it starts afresh.
 CACHE_WORDS = 600_000
+#: Characters of text whose words are looked up together.
+CHUNK_CHARS = 4_000_000
 #: Separates the id blocks of documents: appended after each one.
 END_ID = 0
 _TAIL = ".,;:!?*#$%&|<>"
@@ -41,6 +43,88 @@ PIECES = T.StructType(
 )
 
 
+class Merges:
+    """The tokenizer's own merges, applied to many lower-case words at once.
+
+    Words of one length form a matrix of symbols; each step merges the leftmost pair of least
+    rank in every row that still has one, which is what the tokenizer does word by word.
+    """
+
+    def __init__(self, tokenizer):
+        import json
+
+        import numpy as np
+
+        model = json.loads(tokenizer.to_str())["model"]
+        vocab = model["vocab"]
+        self.usable = model["type"] == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout") and not model.get("ignore_merges")
+        kept = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        shown = {b: chr(b) for b in kept} | {b: chr(256 + n) for n, b in enumerate(sorted(set(range(256)).difference(kept)))}
+        self.inner = np.array([vocab[shown[b]] for b in range(256)], np.int64)
+        self.final = np.array([vocab[shown[b] + "</w>"] for b in range(256)], np.int64)
+        self.width = len(vocab) + 2
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        keys = np.array([vocab[a] * self.width + vocab[b] for a, b in pairs], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.rank = keys[order], order
+        self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        self.none = len(pairs)
+
+    def takes(self, word: str) -> bool:
+        """Whether a word is one run of letters that the tokenizer's normaliser leaves as it is."""
+        return self.usable and word.isalpha() and word.islower() and word == word.lower() and max(word) <= "\xff"
+
+    def _ranks(self, left, right):
+        import numpy as np
+
+        key = left * self.width + right
+        at = np.searchsorted(self.keys, key)
+        at[at == len(self.keys)] = 0
+        return np.where(self.keys[at] == key, self.rank[at], self.none)
+
+    def __call__(self, words: list[str]) -> dict[str, bytes]:
+        import numpy as np
+
+        groups: dict[int, list[str]] = {}
+        raw: dict[int, list[bytes]] = {}
+        for w in words:
+            b = w.encode()
+            groups.setdefault(len(b), []).append(w)
+            raw.setdefault(len(b), []).append(b)
+        out = {}
+        for n, names in groups.items():
+            text = np.frombuffer(b"".join(raw[n]), np.uint8).reshape(-1, n)
+            ids = self.inner[text]
+            ids[:, -1] = self.final[text[:, -1]]
+            live = np.arange(len(names))
+            rank = self._ranks(ids[:, :-1], ids[:, 1:])
+            while True:
+                at = rank.argmin(1) if ids.shape[1] > 1 else np.zeros(len(ids), np.int64)
+                rows = np.arange(len(ids))
+                going = rank[rows, at] < self.none if ids.shape[1] > 1 else np.zeros(len(ids), bool)
+                if not going.all():
+                    done = ids[~going].astype("<u4")
+                    flat, step = done.tobytes(), 4 * done.shape[1]
+                    out.update((names[k], flat[i * step : (i + 1) * step]) for i, k in enumerate(live[~going].tolist()))
+                    ids, rank, at, live = ids[going], rank[going], at[going], live[going]
+                    rows = rows[: len(ids)]
+                if not len(ids):
+                    break
+                width = ids.shape[1]
+                ids[rows, at] = self.made[rank[rows, at]]
+                keep = np.ones(ids.shape, bool)
+                keep[rows, at + 1] = False
+                ids = ids[keep].reshape(-1, width - 1)
+                keep = keep[:, 1:]
+                rank = rank[keep].reshape(len(ids), width - 2)
+                for shift in (-1, 0):  # the pairs that the new symbol takes part in
+                    k = at + shift
+                    ok = (k >= 0) & (k < width - 2)
+                    r, k = rows[ok], k[ok]
+                    rank[r, k] = self._ranks(ids[r, k], ids[r, k + 1])
+        return out
+
+
 class WordIds:
     """Token ids of texts as little-endian bytes, remembered word by word.
 
@@ -52,6 +136,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = Merges(self.tokenizer)
         self.limit = limit
         self.known: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {}
@@ -67,27 +152,38 @@ class WordIds:
         for w in words:
             stem = w.rstrip(_TAIL)
             split[w] = (stem, w[len(stem) :]) if stem.isalpha() else (w, "")
-        new = list({s for pair in split.values() for s in pair if s and s not in self.stems})
-        self.stems.update(zip(new, self._encode(new), strict=True))
+        new = {s for pair in split.values() for s in pair if s and s not in self.stems}
+        plain = [s for s in new if self.merges.takes(s)]
+        self.stems.update(self.merges(plain))
+        rest = list(new.difference(plain))
+        self.stems.update(zip(rest, self._encode(rest), strict=True))
         self.stems[""] = b""
         for w, (stem, tail) in split.items():
             self.known[w] = self.stems[stem] + self.stems[tail]
 
     def __call__(self, text: str) -> bytes:
-        if text.isascii():
-            text = text.lower()
-        words = text.replace("\n", " ").split(" ")
-        known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            self._learn([w for w in set(words) if w not in known])
-            out = b"".join([known[w] for w in words])
-            if len(known) > self.limit:
-                known.clear()
+        return next(self.many([text]))
+
+    def many(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text; unknown words are learnt for about ``CHUNK_CHARS`` of text at once."""
+        at = 0
+        while at < len(texts):
+            lists, size = [], 0
+            while at < len(texts) and size < CHUNK_CHARS:
+                text = texts[at]
+                size += len(text)
+                lists.append((text.lower() if text.isascii() else text).replace("\n", " ").split(" "))
+                at += 1
+            if len(self.known) > self.limit:
+                self.known.clear()
             if len(self.stems) > self.limit:
                 self.stems.clear()
-            return out
+            new = set().union(*lists).difference(self.known)
+            if new:
+                self._learn(list(new))
+            known = self.known
+            for words in lists:
+                yield b"".join([known[w] for w in words])
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -101,8 +197,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
         end = END_ID.to_bytes(4, "little")
         for batch in batches:
             doc, number, start, length, crc = [], [], [], [], []
-            for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = ids_of(text) + end
+            for d, ids in zip(batch.column(0).to_pylist(), ids_of.many(batch.column(1).to_pylist()), strict=True):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     doc.append(d)

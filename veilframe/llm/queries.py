@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import media, packing, secrets
-from .common import table
+from . import media, mixing, neardup, packing, quality, rules, secrets, substrings, toxicity, urls
+from .common import held_out, table
 
 
 def tokenizer_path() -> str:
@@ -17,22 +18,73 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.schedule(docs).select(
+        "doc_id",
+        F.col("mix_source").alias("source"),
+        F.col("mix_tokens").alias("n_tokens"),
+        F.col("mix_epoch").alias("epoch"),
+        F.col("mix_block").alias("block"),
+        "mix_key",
+    )
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels, ~held_out(F.col("doc_id"), 5, 0))
+    return quality.score(docs, model).select(
+        "doc_id",
+        held_out(F.col("doc_id"), 5, 0).alias("held_out"),
+        "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents")).drop("rejected_by")
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(media.store_texts(table(spark, sf_dir, "documents")))
 
 
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels, ~held_out(F.col("doc_id"), 4, 2))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        held_out(F.col("doc_id"), 4, 2).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+        "flagged",
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_secrets, op6_media, op9_packing]
+    found = [op1_mixing, op2_secrets, op3_neardup, op4_quality, op5_rules, op6_media, op7_urls, op8_substrings, op9_packing, op10_toxicity]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_rules": rules.ORACLE}
