@@ -1,31 +1,60 @@
-"""A corpus pipeline of five stages over ``documents``."""
+"""A corpus pipeline over ``documents``: rate, deduplicate, mask, mix and pack.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but
+the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veilframe.llm import mixing, neardup, packing, quality, queries, secrets
+from veilframe.llm.common import stash, table
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Learns from all labels of the documents at hand; rejected documents go."""
+    return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels"), F.lit(True)))
 
-from veilframe.llm import packing, queries, secrets
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicates the document with the least id stays."""
+    return neardup.deduplicated(docs)
 
-def drop_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secret scans: every secret span is masked."""
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every secret is masked; no document goes."""
     return secrets.redact_secrets(docs)
 
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Best-fit packing into sequences."""
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at tempered weights: each document once at least, small sources more often."""
+    return mixing.mixed(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Best-fit packing; a document that is shown twice gives its pieces twice."""
     return packing.pack_documents(docs, queries.tokenizer_path())
 
 
-STAGES = [("secrets", drop_secrets), ("packing", pack)]
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("near-duplicates", near_duplicates),
+    ("secrets", secret_scan),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
 
-#: Neither trained models nor the tokenizer can be written in SQL.
+#: Trained models and the tokenizer have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each on what its predecessor kept."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages; what each one returns is written once and read by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if (name, stage) != STAGES[-1]:
+            docs = stash(docs)
     return docs
