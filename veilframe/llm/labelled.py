@@ -25,8 +25,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, train: Column,
     return texts.join(F.broadcast(ids), F.col("d_id") == F.col("t_id")).select("t_id", "text", F.col("t_label").alias("label")), counts
 
 
-def prior_shift(counts: dict[int, int]) -> float:
-    """log odds of class 1 in the labels, to undo training on equal halves."""
+def prior_shift(counts: dict[int, int], taken: list[int] = ()) -> float:
+    """What to add to the log odds of class 1, if ``taken`` labels were learnt from instead of all."""
     import math
 
-    return math.log((counts.get(1, 0) + 1) / (counts.get(0, 0) + 1))
+    ones = sum(taken)
+    sampled = math.log((ones + 1) / (len(taken) - ones + 1)) if len(taken) else 0.0
+    return math.log((counts.get(1, 0) + 1) / (counts.get(0, 0) + 1)) - sampled

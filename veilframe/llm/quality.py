@@ -133,7 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, rows: int = TRA
     if len({r["label"] for r in got}) < 2:
         return Model(np.zeros(BUCKETS + 2), shift)
     model = fit([np.array(r["buckets"], np.int64) for r in got], [np.array(r["counts"], np.float32) for r in got], np.array([r["label"] for r in got]))
-    model.bias += shift
+    model.bias += prior_shift(counts, [r["label"] for r in got])
     return model
 
 

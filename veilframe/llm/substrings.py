@@ -124,13 +124,17 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _by_doc(doc: np.ndarray, *values: np.ndarray, spread: int) -> Iterator[tuple]:
-    """Rows that carry values straight to their documents; they pass the buckets untouched."""
+    """Rows that carry values (32 bits each, side by side) straight to their documents.
+
+    They pass the buckets untouched.
+    """
+    table = np.stack(values, 1).astype(np.uint32)
     order = np.argsort(doc, kind="stable")
     cut = np.flatnonzero(np.diff(doc[order])) + 1
     for k in np.split(order, cut):
         if len(k):
             d = int(doc[k[0]])
-            yield d % spread, -1, d, _pack(*(v[k] for v in values))
+            yield d % spread, -1, d, table[k].tobytes()
 
 
 def _deal_anchors(buckets: int):
@@ -213,7 +217,7 @@ def _deal_stretches(buckets: int, low: int, width: int):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             data, starts, sizes = _buffer(batch.column(1).to_pylist())
             doc, first, count, place, h = anchors(data, starts, sizes)
-            wanted = [np.concatenate([_unpack(b)[0] for b in blobs]).astype(np.int64) + s for blobs, s in zip(batch.column(2).to_pylist(), starts, strict=True)]
+            wanted = [np.frombuffer(b"".join(blobs), np.uint32).astype(np.int64) + s for blobs, s in zip(batch.column(2).to_pylist(), starts, strict=True)]
             ok = np.isin(place + starts[doc], np.concatenate(wanted)) if len(doc) else np.zeros(0, bool)
             if not ok.any():
                 continue
@@ -356,10 +360,13 @@ def united(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
+def raw_texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(whole_text(), "UTF-8").alias("raw"))
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id and blobs of spans, for the documents that have any."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(whole_text(), "UTF-8").alias("raw"))
-    usable = texts.where("doc_id is not null")
+    usable = raw_texts(docs).where("doc_id is not null")
     total, low, high = docs.select(F.sum(F.octet_length("text")), F.min("doc_id"), F.max("doc_id")).first()
     buckets = max(LEAST_BUCKETS, int(total or 0) // BUCKET_BYTES)
     low, high = int(low or 0), int(high or 0)
@@ -382,7 +389,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         for batch in batches:
             n_removed, n_spans, sha, kept = [], [], [], []
             for raw, blobs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                runs = united(*(np.concatenate(x) for x in zip(*map(_unpack, blobs), strict=True))) if blobs else []
+                runs = united(*np.frombuffer(b"".join(blobs), np.uint32).reshape(-1, 2).T) if blobs else []
                 at, parts = 0, []
                 for a, b in runs:
                     parts.append(raw[at:a])
@@ -398,6 +405,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
             )
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(whole_text(), "UTF-8").alias("raw"))
-    joined = texts.join(repeated_spans(docs).hint("merge"), "doc_id", "left").select("doc_id", "raw", "spans")
+    texts = raw_texts(docs)
+    spans = repeated_spans(docs)
+    # The same texts were dealt by id before, so this join reuses that exchange.
+    named = texts.where("doc_id is not null").join(spans.hint("merge"), "doc_id", "left").select("doc_id", "raw", "spans")
+    nameless = texts.where("doc_id is null").select("doc_id", "raw", F.lit(None).cast("array<binary>").alias("spans"))
+    joined = named.unionByName(nameless)
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
