@@ -55,7 +55,7 @@ _BYTE = _mix(np.arange(1, 257, dtype=_U64) * _U64(0x9E3779B97F4A7C15))
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    return zstandard.compress(pickle.dumps(arrays, protocol=5), 1)
+    return zstandard.compress(pickle.dumps(arrays, protocol=5), 3)
 
 
 def _unpack(blob: bytes) -> tuple:
@@ -237,7 +237,9 @@ def _deal_stretches(buckets: int, low: int, width: int):
             code = bucket * RANGES + part
             order = np.argsort(code, kind="stable")
             for k in np.split(order, np.flatnonzero(np.diff(code[order])) + 1):
-                rows.append((int(bucket[k[0]]), int(part[k[0]]), None, _pack(h[k], doc[k], first[k].astype(np.uint32), count[k].astype(np.uint8), text[k])))
+                k = k[np.argsort(doc[k], kind="stable")]  # documents in a row pack well
+                short = (h[k] >> _U64(32)).astype(np.uint32)  # narrows candidates; strings are compared
+                rows.append((int(bucket[k[0]]), int(part[k[0]]), None, _pack(short, doc[k], first[k].astype(np.uint32), count[k].astype(np.uint8), text[k])))
             yield _rows(rows)
 
     return run
@@ -269,7 +271,7 @@ class Family:
             n = b - a
             k = np.repeat(a - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
             got.append([x[k] for x in level])
-        return tuple(np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, _U64), np.zeros(0, f"S{_STRETCH}"), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return tuple(np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, np.uint32), np.zeros(0, f"S{_STRETCH}"), np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def scan(family: Family, h, text, count, doc, first):
@@ -361,17 +363,29 @@ def united(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
 
 
 def raw_texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(whole_text(), "UTF-8").alias("raw"))
+    """doc_id (long) and the text's bytes. No alias where none is needed: exchanges must look alike to be reused."""
+    doc_id = F.col("doc_id")
+    if docs.schema["doc_id"].dataType.typeName() != "long":
+        doc_id = doc_id.cast("long").alias("doc_id")
+    return docs.select(doc_id, F.encode(whole_text(), "UTF-8").alias("raw"))
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc_id and blobs of spans, for the documents that have any."""
+def whole_copies(docs: DataFrame) -> DataFrame:
+    """doc_id, copy (true) of the documents whose whole text a smaller one has."""
+    sums = raw_texts(docs).where("doc_id is not null and octet_length(raw) >= 50").select("doc_id", F.md5("raw").alias("sum"))
+    first = sums.groupBy("sum").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    return sums.join(first, "sum").where("doc_id > first").groupBy("doc_id").agg(F.lit(True).alias("copy"))
+
+
+def repeated_spans(docs: DataFrame, copies: DataFrame) -> DataFrame:
+    """doc_id and blobs of spans, for the documents that have any; ``copies`` stay out."""
     usable = raw_texts(docs).where("doc_id is not null")
+    plain = usable.join(copies.hint("merge"), "doc_id", "left").where("copy is null").select("doc_id", "raw")
     total, low, high = docs.select(F.sum(F.octet_length("text")), F.min("doc_id"), F.max("doc_id")).first()
     buckets = max(LEAST_BUCKETS, int(total or 0) // BUCKET_BYTES)
     low, high = int(low or 0), int(high or 0)
     width = max(1, -(-(high - low + 1) // RANGES))
-    dealt = usable.mapInArrow(_deal_anchors(buckets), _OUT).repartition(buckets, "bucket").sortWithinPartitions("bucket", "part")
+    dealt = plain.mapInArrow(_deal_anchors(buckets), _OUT).repartition(buckets, "bucket").sortWithinPartitions("bucket", "part")
     places = dealt.mapInArrow(_shared_anchors, _OUT).groupBy("doc_id").agg(F.collect_list("blob").alias("places"))
     around = usable.join(places.hint("merge"), "doc_id").select("doc_id", "raw", "places")
     dealt = around.mapInArrow(_deal_stretches(buckets, low, width), _OUT).repartition(buckets, "bucket").sortWithinPartitions("bucket", "part")
@@ -388,8 +402,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_removed, n_spans, sha, kept = [], [], [], []
-            for raw, blobs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                runs = united(*np.frombuffer(b"".join(blobs), np.uint32).reshape(-1, 2).T) if blobs else []
+            for raw, blobs, copy in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                runs = [(0, len(raw))] if copy else united(*np.frombuffer(b"".join(blobs), np.uint32).reshape(-1, 2).T) if blobs else []
                 at, parts = 0, []
                 for a, b in runs:
                     parts.append(raw[at:a])
@@ -406,9 +420,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             )
 
     texts = raw_texts(docs)
-    spans = repeated_spans(docs)
-    # The same texts were dealt by id before, so this join reuses that exchange.
-    named = texts.where("doc_id is not null").join(spans.hint("merge"), "doc_id", "left").select("doc_id", "raw", "spans")
-    nameless = texts.where("doc_id is null").select("doc_id", "raw", F.lit(None).cast("array<binary>").alias("spans"))
+    copies = whole_copies(docs)
+    spans = repeated_spans(docs, copies)
+    # All joins deal the same texts by id, so one exchange serves them.
+    named = texts.where("doc_id is not null").join(spans.hint("merge"), "doc_id", "left").join(copies.hint("merge"), "doc_id", "left")
+    named = named.select("doc_id", "raw", "spans", "copy")
+    nameless = texts.where("doc_id is null").select("doc_id", "raw", F.lit(None).cast("array<binary>").alias("spans"), F.lit(None).cast("boolean").alias("copy"))
     joined = named.unionByName(nameless)
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
