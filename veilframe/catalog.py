@@ -1,15 +1,167 @@
-"""The catalogue of registered queries."""
+"""The catalogue of registered queries, and the same results in SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import validators
+from .operators import conversations, detect, mask, metrics, policy, risk
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = detect.detect(_read(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    return found.withColumn("risk", risk.assess(F.col("detections")))
+
+
+def risk_bucket_by_lang(spark, sf_dir):
+    return _assessed(spark, sf_dir).groupBy("lang", F.col("risk.bucket").alias("bucket")).agg(F.count("*").alias("n"), F.sum("risk.score").alias("total_score"))
+
+
+def risk_score(spark, sf_dir):
+    return _assessed(spark, sf_dir).select("doc_id", F.col("risk.score").cast("long").alias("score"), F.col("risk.bucket").alias("bucket"), F.array_join("risk.signals", ",").alias("signals"))
+
+
+def _found(df: DataFrame, key: str) -> DataFrame:
+    return df.select(F.col(key), F.explode("detections").alias("d")).select(key, "d.entity_type", F.col("d.start").cast("long").alias("start"), F.col("d.end").cast("long").alias("end"), "d.confidence", "d.recognizer", "d.state")
+
+
+def detect_documents(spark, sf_dir):
+    return _found(detect.detect(_read(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id")
+
+
+def detect_pages(spark, sf_dir):
+    return _found(detect.detect(_read(spark, sf_dir, "pages").select("page_id", "html"), "html"), "page_id")
+
+
+def _masked(spark, sf_dir, mode):
+    found = detect.detect(_read(spark, sf_dir, "documents").select(F.col("doc_id").alias("scope_id"), "text"))
+    return mask.mask(found, mode, key="demo")
+
+
+def mask_semantic(spark, sf_dir):
+    return _masked(spark, sf_dir, "semantic_placeholder")[0].select("scope_id", "masked")
+
+
+def mask_redact(spark, sf_dir):
+    return _masked(spark, sf_dir, "redact")[0].select("scope_id", "masked")
+
+
+def rehydrate_roundtrip(spark, sf_dir):
+    rows, table = _masked(spark, sf_dir, "placeholder")
+    return mask.restore(rows, table).select(F.col("scope_id").alias("doc_id"), F.col("restored").alias("text"))
+
+
+def validate_numbers(spark, sf_dir):
+    base = F.col("o_orderkey").cast("string")
+    card = F.concat(F.lit("4"), F.lpad(F.reverse(base), 15, "0"))
+    made = _read(spark, sf_dir, "orders").select("o_orderkey", card.alias("card"), F.lpad(base, 10, "0").alias("inn"), F.lpad(base, 11, "0").alias("snils"))
+    return made.select("o_orderkey", validators.luhn(F.col("card")).alias("luhn"), validators.inn(F.col("inn")).alias("inn"), validators.snils(F.col("snils")).alias("snils"))
+
+
+EVENT_POLICY = policy.Policy(
+    (
+        policy.Rule("large", 90, "REQUIRE_REVIEW", min_confidence=90.0),
+        policy.Rule("purchase", 80, "TOKENIZE", {"event_type": ("purchase",)}),
+        policy.Rule("view", 70, "ALLOW", {"event_type": ("view", "click")}, max_confidence=50.0),
+    )
+)
+
+
+def policy_first_match(spark, sf_dir):
+    events = _read(spark, sf_dir, "events").select("event_id", "event_type", F.col("value").alias("confidence"), (F.col("user_id") % 10 == 0).alias("public"))
+    return policy.decide(events, EVENT_POLICY, F.col("public")).select("event_id", "action", "rule_id")
+
+
+def public_digest(spark, sf_dir):
+    return _read(spark, sf_dir, "customer").select("c_custkey", policy.digest(F.lit("PERSON"), F.col("c_name")).alias("sha"))
+
+
+def principal_namespace(spark, sf_dir):
+    made = _read(spark, sf_dir, "customer").select("c_custkey", metrics.principal(F.concat(F.lit("Bearer "), "c_name")).alias("p"))
+    return made.select("c_custkey", "p.tenant_id", "p.subject_id", "p.method")
+
+
+def conversation_trim_count(spark, sf_dir):
+    return conversations.trim_by_count(_read(spark, sf_dir, "conversations"), 4)
+
+
+def conversation_trim_chars(spark, sf_dir):
+    return conversations.trim_by_chars(_read(spark, sf_dir, "conversations"), 400)
+
+
+def turn_count(spark, sf_dir):
+    return conversations.turn_counts(_read(spark, sf_dir, "conversations"))
+
+
+def stream_reassemble(spark, sf_dir):
+    return conversations.reassemble(conversations.fragments(_read(spark, sf_dir, "conversations")))
+
+
+def metrics_counts(spark, sf_dir):
+    return metrics.counters(_read(spark, sf_dir, "events"), "event_type", "event_id", 3)
+
+
+def latency_summary(spark, sf_dir):
+    return metrics.latency(_read(spark, sf_dir, "events"), "event_type", "value")
+
+
+def p95_nearest_rank(spark, sf_dir):
+    return metrics.nearest_rank(_read(spark, sf_dir, "events"), "event_type", "value")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    found = [
+        risk_bucket_by_lang, risk_score, detect_documents, detect_pages, mask_semantic, mask_redact, rehydrate_roundtrip, validate_numbers, policy_first_match, public_digest,
+        principal_namespace, conversation_trim_count, conversation_trim_chars, turn_count, stream_reassemble, metrics_counts, latency_summary, p95_nearest_rank,
+    ]
+    return {f.__name__: f for f in found}
+
+
+def _sum(text: str, weights: list[int]) -> str:
+    return " + ".join(f"cast(substr({text}, {i + 1}, 1) as int) * {w}" for i, w in enumerate(weights))
+
+
+_LUHN = " + ".join(
+    f"cast(substr(card, {i + 1}, 1) as int)" if i % 2 else f"(case when 2 * cast(substr(card, {i + 1}, 1) as int) > 9 then 2 * cast(substr(card, {i + 1}, 1) as int) - 9 else 2 * cast(substr(card, {i + 1}, 1) as int) end)"
+    for i in range(16)
+)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    system = "coalesce(role = 'system', false)"
+    return {
+        "rehydrate_roundtrip": "select doc_id, text from documents",
+        "stream_reassemble": "select conv_id, turn, text from conversations where text is not null",
+        "turn_count": "select conv_id, count(*) filter (role = 'user') as turns, count(*) as messages, cast(coalesce(sum(length(text)), 0) as bigint) as chars from conversations group by conv_id",
+        "validate_numbers": f"""
+            with n as (select o_orderkey, '4' || lpad(reverse(cast(o_orderkey as varchar)), 15, '0') as card, lpad(cast(o_orderkey as varchar), 10, '0') as inn, lpad(cast(o_orderkey as varchar), 11, '0') as snils from orders)
+            select o_orderkey, ({_LUHN}) % 10 = 0 as luhn, (({_sum("inn", [2, 4, 10, 3, 5, 9, 4, 6, 8])}) % 11) % 10 = cast(substr(inn, 10, 1) as int) as inn,
+              (({_sum("snils", [9, 8, 7, 6, 5, 4, 3, 2, 1])}) % 101) % 100 = cast(substr(snils, 10, 2) as int) as snils from n""",
+        "policy_first_match": """
+            with r as (select event_id, user_id % 10 = 0 as public, case when value >= 90 then 'large' when event_type = 'purchase' then 'purchase' when event_type in ('view', 'click') and value <= 50 then 'view' end as rule from events),
+            p as (select *, public and coalesce(rule <> 'large', true) as open from r)
+            select event_id, case when open then 'ALLOW' when rule = 'large' then 'REQUIRE_REVIEW' when rule = 'purchase' then 'TOKENIZE' when rule = 'view' then 'ALLOW' else 'BLOCK' end as action, case when open then null else rule end as rule_id from p""",
+        "public_digest": "select c_custkey, sha256('PERSON' || chr(0) || lower(trim(regexp_replace(c_name, '\\s+', ' ', 'g')))) as sha from customer",
+        "principal_namespace": "select c_custkey, 'credential:' || substr(sha256(c_name), 1, 32) as tenant_id, 'credential:' || substr(sha256(c_name), 33, 32) as subject_id, 'bearer' as method from customer",
+        "conversation_trim_count": f"""
+            with r as (select *, {system} as s, count(*) over (partition by conv_id) as n, row_number() over (partition by conv_id, {system} order by turn) as a, row_number() over (partition by conv_id, {system} order by turn desc) as z from conversations)
+            select conv_id, turn, role, text, row_number() over (partition by conv_id order by case when n > 4 and s then 0 else 1 end, turn) as position from r where n <= 4 or (s and a <= 2) or (not s and z <= 2)""",
+        "conversation_trim_chars": f"""
+            with r as (select *, sum(coalesce(length(text), 0)) over w as c, count(*) over w as k from conversations window w as (partition by conv_id order by {system}, turn rows between current row and unbounded following))
+            select conv_id, turn, role, text from r where c <= 400 or k = 1""",
+        "metrics_counts": """
+            with e as (select case when regexp_full_match(upper(trim(event_type)), '[A-Z][A-Z0-9_]{0,63}') then upper(trim(event_type)) else 'UNKNOWN' end as label, event_id from events),
+            g as (select label, count(*) as n, row_number() over (order by min(event_id), label) as r from e group by label)
+            select case when r <= 3 then label else 'OTHER' end as label, cast(sum(n) as bigint) as n from g group by 1""",
+        "latency_summary": "select event_type as stage, count(value) as count, sum(value * 1000) as total_ms, max(value * 1000) as maximum_ms from events group by event_type",
+        "p95_nearest_rank": """
+            with r as (select event_type as label, value, row_number() over (partition by event_type order by value) - 1 as i, count(*) over (partition by event_type) as n from events where value is not null)
+            select label, n, value from r where i = round_even((n - 1) * 0.95, 0)""",
+    }
