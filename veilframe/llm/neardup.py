@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, stash, whole_text
+from .common import cut, release, stash, whole_text
 from .components import components
 from .wordhash import WordRows
 
@@ -215,6 +215,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
             links = good if links is None else links.unionByName(good)
             comps = components(links)
         turn += 1
+        release(docs.sparkSession)
         if rest:
             break
     of_text = nodes.where("size(bands) > 0").select("text_hash", "node")

@@ -96,14 +96,14 @@ def rules() -> list[Rule]:
     ]
 
 
-def ordered(counted: DataFrame, given: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+def ordered(docs: DataFrame, given: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """``given`` by estimated rejections per second, best first.
 
     The sample is drawn by ``DataFrame.sample`` and has ``sample_rows`` rows on average. Rules
     that reject nothing there come last, the cheapest first. An empty sample keeps the order.
     """
-    total = counted.select("doc_id").count()
-    sample = cut(counted.sample(fraction=min(1.0, sample_rows / max(total, 1)), seed=7))
+    total = docs.select("doc_id").count()
+    sample = cut(with_counts(docs.sample(fraction=min(1.0, sample_rows / max(total, 1)), seed=7)))
     rates = sample.agg(*(F.avg(r.rejects.cast("double")).alias(r.name) for r in given)).first()
     if rates is None or rates[0] is None:
         return given
@@ -126,7 +126,7 @@ def cascade(order: list[Rule]) -> Column:
 def judge(docs: DataFrame, given: list[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Counts, base_failed, rejected_by and kept for every row of ``docs``."""
     counted = with_counts(docs)
-    by = cascade(ordered(counted, given or rules(), sample_rows))
+    by = cascade(ordered(docs, given or rules(), sample_rows))
     return counted.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base_failed().alias("base_failed"), by.alias("rejected_by"), by.isNull().alias("kept"),
