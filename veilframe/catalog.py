@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import validators
-from .operators import conversations, detect, mask, metrics, policy, risk
+from .operators import conversations, detect, mask, metrics, policy, ratelimit, risk, sse, wire
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -116,10 +116,50 @@ def p95_nearest_rank(spark, sf_dir):
     return metrics.nearest_rank(_read(spark, sf_dir, "events"), "event_type", "value")
 
 
+def sse_frames(spark, sf_dir):
+    said = _read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("stream_id"), F.col("turn").alias("seq"), F.col("text").alias("data"))
+    return sse.frames(sse.emit(said))
+
+
+def rate_limit(spark, sf_dir):
+    return ratelimit.limited(_read(spark, sf_dir, "events").select(F.col("event_id").alias("request_id"), F.col("user_id").alias("identity"), "ts"), 3, 3600)
+
+
+def vault_budget(spark, sf_dir):
+    made = _read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("scope_id"), F.col("c_custkey").alias("pos"), F.col("c_name").alias("original"))
+    return mask.over_budget(made, "pos", 40, 1024)
+
+
+def vault_collisions(spark, sf_dir):
+    made = _read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("scope_id"), F.col("c_mktsegment").alias("replacement"), F.col("c_name").alias("original"), F.lit(True).alias("restore"))
+    return mask.collisions(made)
+
+
+def wire_numbers(spark, sf_dir):
+    none = F.lit(None).cast("array<string>")
+    made = _read(spark, sf_dir, "events").select(F.col("event_id").alias("request_id"), F.col("props").alias("body"), F.lit("custom").alias("provider"), none.alias("tokens"), none.alias("values"))
+    return wire.violations(made)
+
+
+def wire_check(spark, sf_dir):
+    none = F.lit(None).cast("array<string>")
+    body = F.to_json(F.struct(F.lit("m").alias("model"), F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content"))).alias("messages"), F.lit(64).alias("max_tokens")))
+    made = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("request_id"), body.alias("body"), F.lit("custom").alias("provider"), none.alias("tokens"), none.alias("values"))
+    return wire.violations(made)
+
+
+def output_guard(spark, sf_dir):
+    """Documents as a provider's answers to their own masked text: all that was masked comes back."""
+    rows, table = _masked(spark, sf_dir, "placeholder")
+    pairs = table.where("restore").groupBy("scope_id").agg(F.collect_list(F.struct("replacement", "original")).alias("pairs"))
+    return wire.guard_text(rows.join(pairs, "scope_id", "left"), "masked").select(F.col("scope_id").alias("doc_id"), "guarded")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         risk_bucket_by_lang, risk_score, detect_documents, detect_pages, mask_semantic, mask_redact, rehydrate_roundtrip, validate_numbers, policy_first_match, public_digest,
         principal_namespace, conversation_trim_count, conversation_trim_chars, turn_count, stream_reassemble, metrics_counts, latency_summary, p95_nearest_rank,
+        sse_frames, rate_limit, vault_budget, vault_collisions, wire_numbers, wire_check, output_guard,
     ]
     return {f.__name__: f for f in found}
 
@@ -139,6 +179,18 @@ def oracle_sql() -> dict[str, str]:
     return {
         "rehydrate_roundtrip": "select doc_id, text from documents",
         "stream_reassemble": "select conv_id, turn, text from conversations where text is not null",
+        "sse_frames": "select conv_id as stream_id, row_number() over (partition by conv_id order by turn) - 1 as frame, text as data, cast(null as varchar) as error from conversations where text is not null",
+        "rate_limit": """
+            with recursive e as (select event_id, user_id, epoch_us(ts) as us from events where ts is not null),
+            w as (select user_id, min(us) as s from e group by user_id union all select w.user_id, min(e.us) from w join e on e.user_id = w.user_id and e.us >= w.s + 3600000000 group by w.user_id, w.s),
+            p as (select e.event_id, e.user_id, e.us, max(w.s) as s from e join w on w.user_id = e.user_id and w.s <= e.us group by all),
+            r as (select *, row_number() over (partition by user_id, s order by us, event_id) as k from p)
+            select event_id as request_id, case when k > 3 then greatest(cast(ceil((3600000000 - (us - s)) / 1000000.0) as bigint), 1) end as retry_after from r""",
+        "vault_budget": """
+            with r as (select c_nationkey as scope_id, c_custkey as pos, c_name as original, count(*) over w as n, sum(strlen(c_name)) over w as b from customer window w as (partition by c_nationkey order by c_custkey rows unbounded preceding))
+            select scope_id, pos, original, case when n > 40 or b > 1024 then 'capacity' end as error from r""",
+        "vault_collisions": "select c_nationkey as scope_id, c_mktsegment as replacement, count(distinct c_name) as originals from customer group by all having count(distinct c_name) > 1",
+        "wire_numbers": "select event_id as request_id, case when json_type(props, '$.k') in ('BIGINT', 'UBIGINT', 'DOUBLE') then 'unclassified numeric value at $.k' end as violation from events",
         "turn_count": "select conv_id, count(*) filter (role = 'user') as turns, count(*) as messages, cast(coalesce(sum(length(text)), 0) as bigint) as chars from conversations group by conv_id",
         "validate_numbers": f"""
             with n as (select o_orderkey, '4' || lpad(reverse(cast(o_orderkey as varchar)), 15, '0') as card, lpad(cast(o_orderkey as varchar), 10, '0') as inn, lpad(cast(o_orderkey as varchar), 11, '0') as snils from orders)

@@ -1,7 +1,7 @@
 """Detection: recognizers, thresholds, merging of equal spans and greedy de-overlap.
 
 All of it is expressions over one array of candidates per text, so a text is scanned where it
-lies and nothing is shuffled.
+lies and nothing is shuffled. Patterns see the canonical text; spans are those of the original.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import validators
+from ..functions import canonical, validators
 from ..functions.spans import spans
 from ..plans import patterns as P
 
@@ -18,7 +18,7 @@ DETECTION = "struct<ord:int,entity_type:string,data_class:string,start:int,end:i
 
 def candidates(text: Column, profile: str = "BALANCED") -> Column:
     """Candidates of all recognizers that reach the profile's threshold, in recognizer order."""
-    specs = [*P.SECRETS, *P.STRUCTURED, *([P.BARE_PASSPORT] if profile == "STRICT" else []), *P.LEGACY]
+    specs = [*P.SECRETS, *P.STRUCTURED, *([P.BARE_PASSPORT] if profile == "STRICT" else []), *P.NETWORK, *P.LEGACY]
     found = [_candidates(text, k, s, profile) for k, s in enumerate(specs)]
     return F.filter(F.concat(*found), lambda c: c["confidence"] >= P.THRESHOLDS[profile])
 
@@ -94,7 +94,24 @@ def resolve_overlaps(found: Column) -> Column:
     return F.transform(F.array_sort(by_place), lambda k: k["it"])
 
 
-def detect(df: DataFrame, text: str = "text", profile: str = "BALANCED", into: str = "detections") -> DataFrame:
-    """``df`` plus an array of detections of column ``text`` (null: none)."""
-    stages = df.withColumn(into, candidates(F.col(text), profile)).withColumn(into, merge_equal(F.col(into)))
-    return stages.withColumn(into, resolve_overlaps(F.col(into)))
+def _to_original(found: Column, view: Column, text: Column) -> Column:
+    def back(d: Column) -> Column:
+        start, end = canonical.original_span(view, d["start"], d["end"])
+        own = {"start": start, "end": end, "value": F.substring(text, start + 1, end - start)}
+        names = [x.split(":")[0] for x in DETECTION[7:-1].split(",")]
+        return F.struct(*[own.get(n, d[n]).alias(n) for n in names])
+
+    return F.when(view["text"].isNull(), found).otherwise(F.transform(found, back))
+
+
+def detect(df: DataFrame, text: str = "text", profile: str = "BALANCED", into: str = "detections", plain: bool = False) -> DataFrame:
+    """``df`` plus an array of detections of column ``text`` (null: none).
+
+    ``plain`` takes texts as they are, without the canonical view.
+    """
+    if plain:
+        stages = df.withColumn(into, candidates(F.col(text), profile)).withColumn(into, merge_equal(F.col(into)))
+        return stages.withColumn(into, resolve_overlaps(F.col(into)))
+    seen = df.withColumn("_view", canonical.view(F.col(text))).withColumn("_seen", F.coalesce("_view.text", text))
+    found = detect(seen, "_seen", profile, into, plain=True)
+    return found.withColumn(into, _to_original(F.col(into), F.col("_view"), F.col(text))).drop("_view", "_seen")

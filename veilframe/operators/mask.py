@@ -66,3 +66,19 @@ def restore(df: DataFrame, table: DataFrame, column: str = "masked") -> DataFram
 def injected(text: Column) -> Column:
     """Whether incoming text already holds reserved tokens."""
     return F.coalesce(text.rlike(f"{OPAQUE}|{SEMANTIC}"), F.lit(False))
+
+
+def over_budget(table: DataFrame, order: str, most_rows: int = 5_000, most_bytes: int = 2 << 20) -> DataFrame:
+    """``table`` plus ``error``: a scope's mappings past its budget of rows or of original bytes.
+
+    Mappings are taken by ``order``; those after the first refused one are refused too.
+    """
+    upto = Window.partitionBy("scope_id").orderBy(order, "original").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = table.withColumns({"_n": F.count("*").over(upto), "_bytes": F.sum(F.octet_length("original")).over(upto)})
+    over = (F.col("_n") > max(most_rows, 1)) | (F.col("_bytes") > max(most_bytes, 1024))
+    return counted.withColumn("error", F.when(over, "capacity")).drop("_n", "_bytes")
+
+
+def collisions(table: DataFrame) -> DataFrame:
+    """scope_id, replacement, originals: restorable replacements that several originals share."""
+    return table.where("restore").groupBy("scope_id", "replacement").agg(F.count_distinct("original").alias("originals")).where("originals > 1")

@@ -29,6 +29,11 @@ STRUCTURED = (
     Spec("structured-identifiers", "IBAN", "FINANCIAL", 0.995, "VALID", r"(?<![A-Z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Z0-9])"),
     Spec("structured-identifiers", "PASSPORT", "DIRECT_PII", 0.94, "UNVALIDATED", r"(?iu)\bпаспорт\s*[:№#]?\s*(?:серия\s*)?(\d{4}\s*[,;]?\s*(?:номер|№|#)?\s*\d{6})(?!\d)", 1),
 )
+_H = "[0-9A-Fa-f]{1,4}"
+_SHORT = "|".join((f"{_H}(?::{_H}){{{n - 1}}}" if n else "") + (f"::(?:{_H}(?::{_H}){{0,{6 - n}}})?" if n < 7 else "::") for n in range(8))
+NETWORK = (
+    Spec("network-address", "IP_ADDRESS", "QUASI_IDENTIFIER", 0.995, "VALID", rf"(?<![0-9A-Za-z:])(?=[0-9A-Fa-f:]{{3}})(?:{_H}(?::{_H}){{7}}|{_SHORT})(?![0-9A-Za-z:])", 0, ":"),
+)
 BARE_PASSPORT = Spec("structured-identifiers", "PASSPORT", "DIRECT_PII", 0.58, "AMBIGUOUS", r"(?<!\d)(\d{4}\s+\d{6})(?!\d)", 1)
 LEGACY = (
     Spec("legacy-regex", "API_KEY", "AUTH_SECRET", 0.82, "UNVALIDATED", r"(?iu)\b(?:sk-[a-z0-9_-]{16,}|rk-[a-z0-9_-]{16,}|ghp_[a-z0-9]{20,}|github_pat_[a-z0-9_]{20,}|xox[baprs]-[a-z0-9-]{10,}|AKIA[0-9A-Z]{16}|AIza[0-9A-Za-z_-]{20,})\b"),
