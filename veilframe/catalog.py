@@ -191,6 +191,7 @@ def oracle_sql() -> dict[str, str]:
             select scope_id, pos, original, case when n > 40 or b > 1024 then 'capacity' end as error from r""",
         "vault_collisions": "select c_nationkey as scope_id, c_mktsegment as replacement, count(distinct c_name) as originals from customer group by all having count(distinct c_name) > 1",
         "wire_numbers": "select event_id as request_id, case when json_type(props, '$.k') in ('BIGINT', 'UBIGINT', 'DOUBLE') then 'unclassified numeric value at $.k' end as violation from events",
+        "output_guard": "select doc_id, text as guarded from documents",
         "turn_count": "select conv_id, count(*) filter (role = 'user') as turns, count(*) as messages, cast(coalesce(sum(length(text)), 0) as bigint) as chars from conversations group by conv_id",
         "validate_numbers": f"""
             with n as (select o_orderkey, '4' || lpad(reverse(cast(o_orderkey as varchar)), 15, '0') as card, lpad(cast(o_orderkey as varchar), 10, '0') as inn, lpad(cast(o_orderkey as varchar), 11, '0') as snils from orders)
