@@ -52,3 +52,33 @@ def test_query(spark):
     got = queries.op7_urls(spark, "/root/testdata/sf0.001")
     assert got.count() == spark.read.parquet("/root/testdata/sf0.001/pages.parquet").count()
     assert got.where(F.col("verdict").isNull()).count() == 0
+
+
+def test_labels_reach_urls_without_a_rule(spark):
+    """Unlabelled urls take the labels of a merged branch, of their host, then of parent hosts."""
+    rules = (("block", "bad.com", "/a/"), ("block", "h.org", "/x/p/"), ("block", "h.org", "/x/q/"), ("allow", "h.org", "/ok/"))
+    rows = [f"http://bad.com/a/{i}" for i in range(300)] + ["http://bad.com/free/1", "http://sub.bad.com/free/1", "http://else.net/free/1"]
+    rows += [f"http://h.org/x/{s}/{i}" for s in "pq" for i in range(250)] + [f"http://h.org/ok/{i}" for i in range(500)] + ["http://h.org/x/r/1", "http://h.org/y/r/1"]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(rows)], "page_id long, url string")
+    got = {rows[r["page_id"]]: (r["rule"], r["verdict"]) for r in urls.judge(pages, rules).collect()}
+    assert got["http://bad.com/free/1"] == got["http://sub.bad.com/free/1"] == (None, "block")
+    assert got["http://h.org/x/r/1"] == (None, "block")
+    assert got["http://h.org/y/r/1"] == got["http://else.net/free/1"] == (None, "allow")
+
+
+def test_deep_siblings_merge(spark):
+    counts = spark.createDataFrame([("g", "/s/a/#", 9, 10), ("g", "/s/b/#", 9, 10), ("g", "/s/n/#", 0, 0)], "host string, template string, blocked long, labelled long")
+    assert {(r["template"], r["depth"], r["branch"]) for r in urls.merged(counts).collect()} == {(f"/s/{x}/#", 2, "/s/*/#") for x in "ab"}
+
+
+def test_a_label_counts_once_on_the_way(spark):
+    """Ten labels of one template, far down a long host name, weigh no more than ten anywhere."""
+    counts = spark.createDataFrame([("a.b.c.d", "/x/#", 10, 10), ("a.b.c.d", "/y/#", 0, 0), ("e", "/z", 0, 30)], "host string, template string, blocked long, labelled long")
+    got = {r["template"]: r["purity"] for r in urls.purities(counts).collect()}
+    assert abs(got["/y/#"] - (10 + 10 * 0.25) / 20) < 1e-12 and abs(got["/x/#"] - got["/y/#"]) < 1e-12
+
+
+def test_rejects_on_the_real_table(spark):
+    got = queries.op7_urls(spark, "/root/testdata/sf0.1").where(F.col("rule").isNull())
+    n = {r["verdict"]: r["count"] for r in got.groupBy("verdict").count().collect()}
+    assert n.get("block", 0) > 0 and n.get("allow", 0) > 0

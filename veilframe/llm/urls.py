@@ -2,8 +2,9 @@
 
 Fixed rules come first. For other urls a tree of path templates is learnt per host: segments that
 vary become wildcards, sibling branches whose labels do not differ significantly merge, and a
-template is rejected if the smoothed share of blocked pages among its labelled ones is high. The
-urls that a fixed rule fits are the labelled ones.
+template is rejected if its share of blocked labels, smoothed towards the labels of its merged
+branch, of the nodes above it and of the parent hosts, is high. The urls that a fixed rule fits are
+the labelled ones; a label counts by its pages.
 """
 
 from __future__ import annotations
@@ -11,13 +12,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stash
+
 #: Fixed values: (verdict, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: A segment stays literal if at least this share of its parent's urls go through it ...
 LITERAL_SHARE = 0.05
 #: ... or its parent has at most this many different segments.
 FEW_SEGMENTS = 8
-#: Pseudo-labels that pull a template's purity to the share over all labels.
+#: Pseudo-labels that pull a purity to that of the next wider node.
 SMOOTHING = 10.0
 #: Smoothed share of blocked labels from which a template is rejected.
 REJECT_FROM = 0.95
@@ -74,48 +77,91 @@ def templates(urls: DataFrame) -> DataFrame:
     )
 
 
-def merged(counts: DataFrame) -> DataFrame:
-    """Templates that merge with their siblings: host, template, branch.
+def branches(counts: DataFrame) -> DataFrame:
+    """``counts`` once for every segment after the first ``/``: depth, and the template with ``*`` there as branch."""
+    segments = F.split("template", "/")
+    many = counts.select("*", segments.alias("_s"), F.explode(F.expr("filter(sequence(0, size(split(template, '/')) - 1), d -> d > 0)")).alias("depth"))
+    return many.withColumn("branch", F.expr("array_join(transform(_s, (x, i) -> if(i = depth, '*', x)), '/')")).drop("_s")
+
 
-    ``counts`` has host, template, blocked and labelled. Siblings differ in the first segment
-    alone. The labelled ones merge to ``/*...`` if a chi-square test over their shares of blocked
-    labels stays within three standard deviations of its mean; unlabelled ones never merge.
+def alike(known: DataFrame) -> DataFrame:
+    """Branches whose labelled members merge: host, depth, branch, and the labels b and l of all.
+
+    Siblings differ in one segment alone, at any depth. They merge if a chi-square test over their
+    shares of blocked labels stays within three standard deviations of its mean.
     """
-    branch = F.regexp_replace("template", r"^/[^/]*", "/*")
-    known = counts.where("labelled > 0").withColumn("branch", branch)
-    pooled = known.groupBy("host", "branch").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l"), F.count("*").alias("k"))
+    pooled = known.groupBy("host", "depth", "branch").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l"), F.count("*").alias("k"))
     p = F.col("b") / F.col("l")
     each = F.when((F.col("b") > 0) & (F.col("b") < F.col("l")), (F.col("blocked") - F.col("labelled") * p) ** 2 / (F.col("labelled") * p * (1 - p))).otherwise(0.0)
-    chi = known.join(pooled, ["host", "branch"]).groupBy("host", "branch", "k").agg(F.sum(each).alias("chi"))
-    alike = chi.where((F.col("k") > 1) & (F.col("chi") <= F.col("k") - 1 + 3 * F.sqrt(2.0 * (F.col("k") - 1)))).select("host", "branch")
-    return known.join(alike, ["host", "branch"]).select("host", "template", "branch")
+    chi = known.join(pooled, ["host", "depth", "branch"]).groupBy("host", "depth", "branch", "b", "l", "k").agg(F.sum(each).alias("chi"))
+    return chi.where((F.col("k") > 1) & (F.col("chi") <= F.col("k") - 1 + 3 * F.sqrt(2.0 * (F.col("k") - 1)))).select("host", "depth", "branch", "b", "l")
+
+
+def merged(counts: DataFrame) -> DataFrame:
+    """Labelled templates that merge with their siblings: host, template, depth, branch.
+
+    ``counts`` has host, template, blocked and labelled.
+    """
+    known = branches(counts.where("labelled > 0"))
+    return known.join(alike(known), ["host", "depth", "branch"]).select("host", "template", "depth", "branch")
+
+
+def _lookup(keyed: DataFrame, by: list[str], name: str) -> DataFrame:
+    """The labels (b, l) of each of a row's nested nodes, from the widest on, as array ``name``.
+
+    ``keyed`` has the columns ``by``, blocked, labelled and ``nodes``, one array of node keys a
+    row; nodes hold the labels of all rows that have their key. Rows with no labels look up too.
+    """
+    each = keyed.select(*by, "blocked", "labelled", F.posexplode("nodes").alias("at", "node"))
+    scope = ["host", "node"] if len(by) > 1 else ["node"]
+    sums = each.where("labelled > 0").groupBy(*scope).agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l"))
+    found = each.join(sums, scope, "left").groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("b", F.lit(0)).alias("b"), F.coalesce("l", F.lit(0)).alias("l")))).alias(name))
+    return found.withColumn(name, F.transform(name, lambda x: F.struct(x["b"].alias("b"), x["l"].alias("l"))))
+
+
+def purities(counts: DataFrame) -> DataFrame:
+    """host, template, purity: the smoothed share of blocked labels of every template.
+
+    Evidence is taken from the widest to the nearest: all labels, the parent hosts, the host, the
+    nodes above the template, then its deepest merged branch or else its own labels. Each step
+    pulls by ``SMOOTHING`` to the one before and counts only the labels that no nearer node on
+    the template's way holds, so a label is not counted again at every depth.
+    """
+    hosts = counts.groupBy("host").agg(F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled"))
+    suffixes = F.expr("transform(sequence(1, size(split(host, '[.]'))), i -> array_join(slice(split(host, '[.]'), -i, i), '.'))")
+    of_host = _lookup(hosts.withColumn("nodes", suffixes), ["host"], "wide")
+    prefixes = F.expr("transform(sequence(1, size(split(template, '/'))), i -> array_join(slice(split(template, '/'), 1, i), '/'))")
+    of_path = _lookup(counts.withColumn("nodes", prefixes), ["host", "template"], "deep")
+    many = branches(counts)
+    merges = many.join(alike(many.where("labelled > 0")), ["host", "depth", "branch"]).groupBy("host", "template").agg(F.max_by(F.struct("b", "l"), "depth").alias("pool"))
+    overall = counts.agg((F.sum("blocked") / F.greatest(F.sum("labelled"), F.lit(1))).alias("share"))
+    own = F.struct(F.col("blocked").alias("b"), F.col("labelled").alias("l"))
+    found = counts.join(of_path, ["host", "template"]).join(of_host, "host").join(merges, ["host", "template"], "left").join(F.broadcast(overall))  # one row
+    found = found.withColumn("nested", F.concat("wide", "deep", F.array(own)))
+    rings = F.expr("transform(slice(nested, 1, size(nested) - 1), (x, i) -> struct(x.b - nested[i + 1].b as b, x.l - nested[i + 1].l as l))")
+    steps = F.concat(rings, F.array(F.coalesce("pool", own)))
+    start = F.coalesce("share", F.lit(0.0)).cast("double")
+    purity = F.aggregate(steps, start, lambda p, x: (x["b"] + SMOOTHING * p) / (x["l"] + SMOOTHING))
+    return found.select("host", "template", purity.alias("purity"))
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, template for every row of ``pages``.
 
     Repeated rows stay; an empty host or path has a template like any other. A template with no
-    labels has the overall share as its purity and is allowed if that is below ``REJECT_FROM``.
+    labels of its own is judged by those around it, see :func:`purities`.
     """
     split = parts(pages).withColumn("rule", rule_column(rules))
     split = split.withColumn("by_rule", verdict_of_rule(rules))
     urls = split.groupBy("host", "path", "by_rule").agg(F.count("*").alias("n"))
     tree = templates(urls.groupBy("host", "path").agg(F.sum("n").alias("n")))
+    urls = stash(urls.join(tree.drop("n"), ["host", "path"]))
     blocked = F.sum(F.when(F.col("by_rule") == "block", F.col("n")).otherwise(0))
     labelled = F.sum(F.when(F.col("by_rule").isNotNull(), F.col("n")).otherwise(0))
-    counts = urls.join(tree.drop("n"), ["host", "path"]).groupBy("host", "template").agg(blocked.alias("blocked"), labelled.alias("labelled"))
-    groups = counts.join(merged(counts), ["host", "template"], "left").withColumn("branch", F.coalesce("branch", "template"))
-    # Labels of an unlabelled template are its own; a merged branch pools those of its members.
-    sums = groups.groupBy("host", "branch", (F.col("labelled") > 0).alias("known")).agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l"))
-    overall = counts.agg((F.sum("blocked") / F.greatest(F.sum("labelled"), F.lit(1))).alias("share"))
-    purity = (F.col("b") + SMOOTHING * F.coalesce(F.col("share"), F.lit(0.0))) / (F.col("l") + SMOOTHING)
-    judged = (
-        groups.withColumn("known", F.col("labelled") > 0)
-        .join(sums, ["host", "branch", "known"])
-        .join(F.broadcast(overall))  # one row
-        .select("host", "template", F.when(purity >= REJECT_FROM, F.lit("block")).otherwise(F.lit("allow")).alias("by_tree"))
-    )
-    of_path = tree.select("host", "path", "template").join(judged, ["host", "template"])
+    counts = stash(urls.groupBy("host", "template").agg(blocked.alias("blocked"), labelled.alias("labelled")))
+    by_tree = F.when(F.col("purity") >= REJECT_FROM, F.lit("block")).otherwise(F.lit("allow"))
+    judged = purities(counts).select("host", "template", by_tree.alias("by_tree"))
+    of_path = urls.select("host", "path", "template").join(judged, ["host", "template"])
     return split.join(of_path, ["host", "path"]).select(
         "page_id", "host", "path", "rule", F.coalesce("by_rule", "by_tree").alias("verdict"), "template"
     )
