@@ -93,3 +93,22 @@ def test_query(spark):
     assert len(rows) == len(docs)
     for d in docs:
         assert rows[d["doc_id"]]["base_sha256"] == hashlib.sha256(named(brute(d["text"])).encode()).hexdigest()
+
+
+def test_plain_sentences_stay(spark):
+    """Words that documents hold are cheap; leaked values do not become words."""
+    prose = ["Patience helps, and claims were invalidated.", "With patience, élan and care it was invalidated."]
+    plain = ["the secret is patience", "the token was invalidated.", "secret isolation and token issuance", "the secret isélancé", "Token Wasteland"]
+    leaks = ["the password is zqxvkwjpgh", "my password was zqxvkwjpgh", "password: Zqxvkwjpgh"]
+    docs = spark.createDataFrame(list(enumerate(prose + plain + leaks)), "doc_id long, text string")
+    assert {"patience", "invalidated"} <= set(secrets.frequent_words(docs)) and "zqxvkwjpgh" not in secrets.frequent_words(docs)
+    got = [r["text"] for r in secrets.redact_secrets(docs).orderBy("doc_id").collect()]
+    assert got == prose + plain + ["the password is [SECRET]", "my password was [SECRET]", "[SECRET]"]
+    assert secrets.find_secrets(docs).where("n_guess > 0").count() == 3
+
+
+def test_dictionary_is_bounded_and_by_documents(spark):
+    docs = spark.createDataFrame([(1, "often often often rare"), (2, "often even"), (3, "Often even x1rare"), (4, None)], "doc_id long, text string")
+    assert secrets.frequent_words(docs) == ["often", "even"] and secrets.frequent_words(docs, 1) == ["often"]
+    cost = secrets.GuessCost(["aaa"], ["bbb", "even"])
+    assert cost.rank == {"aaa": 1, "bbb": 1, "even": 2}

@@ -4,7 +4,8 @@ Fixed shapes (``assign``, ``access``, ``hex``) are found by regular expressions.
 that stand in a credential context (``password is ...``, ``pwd: ...``) are priced: a dynamic
 programme finds the segmentation into dictionary words, dates, repeats, keyboard walks and
 brute-force spans with the least total log10 of guesses. Values that cost at least
-``MIN_LOG10_GUESSES`` become ``guess`` spans.
+``MIN_LOG10_GUESSES`` become ``guess`` spans. The dictionaries are common passwords and the words
+that most documents hold, counted over all of them.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 
 CONTEXT = re.compile(
     r"(?:pass(?:word|wd|phrase|code)s?|pwd|secret|token|credentials?|api[ _-]?key|access[ _-]?key|auth[ _-]?key)"
-    r"[\"']?(?:\s*(?::|=>|->|=)\s*|\s+(?:is|was)\s*:?\s*)[\"'`]?([^\s\"'`,;()\[\]{}]+)",
+    r"[\"']?(?:\s*(?::|=>|->|=)\s*|\s+(?:is|was)(?!(?u:\w))\s*:?\s*)[\"'`]?([^\s\"'`,;()\[\]{}]+)",
     re.I | re.A,
 )
 #: Texts without any of these (in lower case) need neither ASSIGN nor CONTEXT.
@@ -51,6 +52,10 @@ WORDS = tuple(
     guest root changeme default temp example please enter required none null true false string value here
     horse correct battery staple green blue red black white orange house money music world star tiger""".split()
 )
+#: The dictionary of the corpus holds at most so many words, for the broadcast: those in most documents ...
+DICTIONARY = 50_000
+#: ... and in so many at least.
+LEAST_DOCUMENTS = 2
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "qazwsxedcrfvtgbyhnujm")
 _LEET = str.maketrans("@4301!$57", "aaeoiisst"[:9])
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:0?[1-9]|[12]\d|3[01]))?|(?:0?[1-9]|[12]\d|3[01])[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:19|20)\d\d")
@@ -62,10 +67,11 @@ class GuessCost:
     #: Each further segment multiplies the guesses by this (log10): an attacker tries orders.
     STEP = math.log10(2.0)
 
-    def __init__(self, words: Iterable[str] = WORDS):
+    def __init__(self, words: Iterable[str] = WORDS, frequent: Iterable[str] = ()):
         self.rank = {}
-        for i, w in enumerate(words, 1):
-            self.rank.setdefault(w, i)
+        for dictionary in (words, frequent):  # each by its own ranks; the least counts
+            for i, w in enumerate(dictionary, 1):
+                self.rank[w] = min(i, self.rank.get(w, i))
         self.longest = max(map(len, self.rank), default=0)
         self.walks = [s for row in ROWS for s in (row, row[::-1])]
 
@@ -170,15 +176,30 @@ FOUND = T.StructType(
 )
 
 
+def frequent_words(docs: DataFrame, most: int = DICTIONARY, least: int = LEAST_DOCUMENTS) -> list[str]:
+    """The words (three letters or more, in lower case) that most documents hold, most frequent first.
+
+    What stands as a value in a credential context is not counted, so that a secret never enters
+    the dictionary by being leaked often. Few partitions choose the words, as each one sends
+    ``most`` words to the driver.
+    """
+    context = CONTEXT.pattern.replace(r"(?u:\w)", r"[\p{L}\p{N}_]")
+    prose = F.lower(F.regexp_replace(whole_text(), F.lit("(?i)" + context), F.lit(" ")))
+    found = F.regexp_extract_all(prose, F.lit(r"(?<![\p{L}\p{N}_])\p{L}{3,32}(?![\p{L}\p{N}_])"), F.lit(0))
+    counts = docs.select(F.explode(F.array_distinct(found)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return [r["word"] for r in counts.where(F.col("n") >= least).repartition(8).orderBy(F.desc("n"), "word").limit(most).collect()]
+
+
 def find_secrets(docs: DataFrame, words: Iterable[str] = WORDS, least: float = MIN_LOG10_GUESSES) -> DataFrame:
     """One row per document with its secret spans; null texts are empty, repeated rows stay.
 
     ``spans`` lists base spans and ``guess`` spans; offsets are code points.
     """
     words = tuple(words)
+    shared = docs.sparkSession.sparkContext.broadcast(frequent_words(docs))  # bounded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cost = GuessCost(words)
+        cost = GuessCost(words, shared.value)
         for batch in batches:
             rows: list[list] = [[] for _ in FOUND]
             for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -204,9 +225,10 @@ def redact_secrets(docs: DataFrame, words: Iterable[str] = WORDS, least: float =
     All columns stay; ``n_chars``, if there is one, follows the new text. A null text stays null.
     """
     words, schema = tuple(words), docs.schema
+    shared = docs.sparkSession.sparkContext.broadcast(frequent_words(docs))  # bounded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cost = GuessCost(words)
+        cost = GuessCost(words, shared.value)
         for batch in batches:
             at = batch.schema.get_field_index("text")
             out = []
