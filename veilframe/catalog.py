@@ -53,6 +53,10 @@ def mask_redact(spark, sf_dir):
     return _masked(spark, sf_dir, "redact")[0].select("scope_id", "masked")
 
 
+def mask_surrogate(spark, sf_dir):
+    return _masked(spark, sf_dir, "surrogate")[0].select("scope_id", "masked")
+
+
 def rehydrate_roundtrip(spark, sf_dir):
     rows, table = _masked(spark, sf_dir, "placeholder")
     return mask.restore(rows, table).select(F.col("scope_id").alias("doc_id"), F.col("restored").alias("text"))
@@ -157,7 +161,7 @@ def output_guard(spark, sf_dir):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
-        risk_bucket_by_lang, risk_score, detect_documents, detect_pages, mask_semantic, mask_redact, rehydrate_roundtrip, validate_numbers, policy_first_match, public_digest,
+        risk_bucket_by_lang, risk_score, detect_documents, detect_pages, mask_semantic, mask_redact, mask_surrogate, rehydrate_roundtrip, validate_numbers, policy_first_match, public_digest,
         principal_namespace, conversation_trim_count, conversation_trim_chars, turn_count, stream_reassemble, metrics_counts, latency_summary, p95_nearest_rank,
         sse_frames, rate_limit, vault_budget, vault_collisions, wire_numbers, wire_check, output_guard,
     ]

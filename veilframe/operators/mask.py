@@ -24,6 +24,30 @@ def opaque_token(scope: Column, original: Column, key: str) -> Column:
     return F.concat(F.lit("<MG:"), F.translate(F.concat(*groups), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), F.lit(">"))
 
 
+def surrogate(entity_type: Column, n: Column) -> Column:
+    """The ``n``-th synthetic value of a type; types without a template get their name in title case."""
+    templates = {
+        "PERSON": F.format_string("Demo Person %d", n),
+        "ORG": F.format_string("Example Organization %d", n),
+        "EMAIL": F.format_string("demo.%d@example.test", n),
+        "PHONE": F.format_string("+1 202-555-%04d ext %d", n % 10_000, n),
+        "IP_ADDRESS": F.format_string("198.51.%d.%d", F.floor(n / 254) % 254, n % 254 + 1),
+        "DOMAIN": F.format_string("demo-%d.example.test", n),
+        "URL": F.format_string("https://example.test/resource/%d", n),
+        "API_KEY": F.format_string("sk-test-maskgate-%024d", n),
+        "FILE_PATH": F.format_string("C:\\MaskGate\\Synthetic\\file-%d.txt", n),
+        "MONEY": F.concat(F.lit("$"), F.format_number(n, 0), F.lit(".00")),
+        "CARD_NUMBER": F.format_string("0000 0000 %04d %04d", F.floor(n / 10_000), n % 10_000),
+        "BANK": F.format_string("Example Bank %d", n),
+        "LOCATION": F.format_string("Example Location %d", n),
+    }
+    title = F.array_join(F.transform(F.split(entity_type, "(?<=[^A-Za-z])(?=[A-Za-z])"), F.initcap), "")
+    out = F.concat(F.lit("Synthetic "), title, F.lit(" "), n.cast("string"))
+    for name, made in templates.items():
+        out = F.when(entity_type == name, made).otherwise(out)
+    return out
+
+
 def vault(found: DataFrame, mode: str, key: str = "", namespace: str = "r") -> DataFrame:
     """scope_id, entity_type, original, replacement, restore of distinct originals in each scope.
 
@@ -37,10 +61,10 @@ def vault(found: DataFrame, mode: str, key: str = "", namespace: str = "r") -> D
         out = first.withColumn("replacement", F.concat(F.lit("[REDACTED_"), "entity_type", F.lit("]")))
     else:
         order = Window.partitionBy("scope_id", "entity_type").orderBy("pos", "original")
-        out = first.withColumn("n", F.row_number().over(order).cast("string"))
+        out = first.withColumn("n", F.row_number().over(order))
         name = F.concat(F.lit(f"<MG_{namespace}_"), "entity_type", F.lit("_"), "n", F.lit(">"))
         if mode == "surrogate":
-            name = F.concat(F.lit("Synthetic "), F.initcap(F.translate("entity_type", "_", " ")), F.lit(" "), "n")
+            name = surrogate(F.col("entity_type"), F.col("n"))
         out = out.withColumn("replacement", name)
     return out.select("scope_id", "entity_type", "original", "replacement", F.lit(mode != "redact").alias("restore"))
 
