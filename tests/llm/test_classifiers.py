@@ -86,3 +86,22 @@ def test_held_out(spark):
 
     rows = spark.range(200).select("id", held_out(F.col("id"), 5, 0).alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 5 == 0) for r in rows)
+
+
+def test_cut_at_the_true_class_mix():
+    """Few fresh toxic rows stand for all toxic ones; fitted rows give the class mix alone."""
+    counts = [(40, 1, 50, 10), (10, 1, 50, 10), (10, 0, 900, 400), (-40, 0, 100, 100)]
+    assert toxicity.best_cut(counts) == pytest.approx(1 / (1 + np.exp(-(40 + 11) / 2 / toxicity.BINS)))
+    assert toxicity.best_cut([(40, 1, 9, 0), (-40, 0, 9, 9)]) == pytest.approx(1 / (1 + np.exp(-(40 - 39) / 2 / toxicity.BINS)))
+    assert toxicity.best_cut([(1, 0, 5, 5)]) is None
+
+
+def test_thresholds_use_labels_outside_the_sample(spark):
+    """A language of 2 % has a threshold of its own, though the fitting sample holds few of its rows."""
+    rows = [(i, ("vile brute " if i % 8 == 0 else "calm prose ") * 4 + f"w{i % 97}", "xx" if i % 50 < 1 or i % 50 == 8 else "en") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 8 == 0)) for i, *_ in rows], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, F.lit(True), rows=200)
+    assert set(model.thresholds) == {"", "en", "xx"}
+    wrong = toxicity.score(docs, model).where(F.col("flagged") != (F.col("doc_id") % 8 == 0))
+    assert wrong.count() == 0

@@ -4,8 +4,8 @@ A word's embedding is the sum of two hashed vectors, one for the word (lower cas
 punctuation around it) and one for its first letters, so that inflected forms share one.
 Filters of widths 1, 2 and 3 run over the word sequence; each filter's maximum over the text goes
 into a logistic output. All of it is trained in numpy by gradient descent; the maximum passes a
-gradient to one place a filter and text. Thresholds are then calibrated by language on labelled
-documents that were held back from the descent.
+gradient to one place a filter and text. Thresholds are then calibrated by language on all labelled
+documents that the descent did not see, counted at the class mix of all labels.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import whole_text
 from .labelled import prior_shift, training_rows
@@ -36,6 +37,8 @@ TRAIN_ROWS = 4000
 THRESHOLD = 0.3
 #: A language gets a threshold of its own from this many labelled documents of each class on.
 LEAST_FOR_LANGUAGE = 20
+#: Score bins for thresholds: so many to a unit of log odds, of which more than 20 count as 20.
+BINS = 20
 _AROUND = ".,;:!?\"'()[]{}*#$%&|<>-_"
 
 
@@ -169,7 +172,10 @@ def _sequences(texts: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, may_learn: Column, rows: int = TRAIN_ROWS) -> Model:
     """A model of ``labels.toxic``; without rows of both classes, one that gives the prior."""
-    texts, counts = training_rows(docs, labels, "toxic", may_learn, rows)
+    usable = labels.where(may_learn & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
+    back = F.pmod(F.xxhash64("doc_id", F.lit("threshold")), F.lit(5)) == 4
+    some = usable.count() >= 50  # of fewer, none is held back
+    texts, counts = training_rows(docs, labels, "toxic", may_learn & ~back if some else may_learn, rows)
     shift = prior_shift(counts)
     got = sorted(_sequences(texts.withColumn("t_id", F.col("t_id").cast("long"))).collect(), key=lambda r: (r["t_id"], r["label"]))
     if len({r["label"] for r in got}) < 2:
@@ -179,31 +185,60 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, rows: int = TRA
         return model
     ids = [np.array(r["ids"], np.int32).reshape(-1, 2) for r in got]
     y = np.array([r["label"] for r in got])
-    held = np.arange(len(y)) % 5 == 4 if len(y) >= 50 else np.ones(len(y), bool)
-    learn = np.flatnonzero(~held) if len(y) >= 50 else np.arange(len(y))
-    model = fit([ids[k] for k in learn], y[learn])
-    model.bias += prior_shift(counts, y[learn].tolist())
-    back = np.flatnonzero(held)
-    scores = np.concatenate([sigmoid(model.margin(ids[k], np.array([len(ids[k])]))) for k in back])
-    lang = _languages(docs, [got[k]["t_id"] for k in back])
-    where = np.array([lang.get(got[k]["t_id"]) or "" for k in back])
-    if len(learn) < len(y):  # thresholds come from rows held back; the model then learns from all
-        model = fit(ids, y)
-        model.bias += prior_shift(counts, y.tolist())
-    model.thresholds = {"": best_threshold(scores, y[back])}
-    for name in sorted(set(where)):
-        own = where == name
-        if name and min(y[back][own].sum(), (1 - y[back][own]).sum()) >= LEAST_FOR_LANGUAGE:
-            model.thresholds[name] = best_threshold(scores[own], y[back][own])
+    model = fit(ids, y)
+    model.bias += prior_shift(counts, y.tolist())
+    model.thresholds = thresholds(docs, usable, model, {r["t_id"] for r in got})
     return model
 
 
-def _languages(docs: DataFrame, ids: list[int]) -> dict[int, str]:
-    """Languages of some training rows (their number is bounded), to choose thresholds only."""
-    if "lang" not in docs.columns or not ids:
-        return {}
-    some = docs.sparkSession.createDataFrame([(i,) for i in set(ids)], "h_id long")
-    return {r["doc_id"]: r["lang"] for r in docs.select("doc_id", "lang").join(F.broadcast(some), F.col("doc_id") == F.col("h_id")).collect()}
+def thresholds(docs: DataFrame, labels: DataFrame, model: Model, fitted: set[int]) -> dict[str, float]:
+    """Thresholds by language, and for all others under ''.
+
+    All documents are scored where they lie and only scores meet the labels. Rows of ``fitted``
+    (bounded) count for the class mix alone. A language with fewer than ``LEAST_FOR_LANGUAGE``
+    other rows of a class goes into '' before its counts come to the driver.
+    """
+    spark = docs.sparkSession
+    seen = spark.createDataFrame([(i,) for i in sorted(fitted)], "f_id long").withColumn("fitted", F.lit(True))
+    truth = labels.select(F.col("doc_id").cast("long").alias("t_id"), F.col("toxic").cast("int").alias("label"))
+    odds = F.ln(F.col("score") / (1 - F.col("score")))
+    at = F.floor(F.greatest(F.lit(-20.0), F.least(F.lit(20.0), odds)) * BINS).cast("int")
+    rows = _scores(docs, model).select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), at.alias("bin"))
+    rows = rows.join(truth, F.col("doc_id") == F.col("t_id")).join(F.broadcast(seen), F.col("doc_id") == F.col("f_id"), "left")
+    fresh = F.sum(F.when(F.col("fitted").isNull(), 1).otherwise(0))
+    counts = rows.groupBy("lang", "label", "bin").agg(F.count("*").alias("n"), fresh.alias("fresh"))
+    whole = Window.partitionBy("lang")  # bounded by the bins
+    rarer = F.least(*(F.sum(F.when(F.col("label") == k, F.col("fresh")).otherwise(0)).over(whole) for k in (0, 1)))
+    named = counts.withColumn("lang", F.when(rarer >= LEAST_FOR_LANGUAGE, F.col("lang")).otherwise(""))
+    found = named.groupBy("lang", "label", "bin").agg(F.sum("n").alias("n"), F.sum("fresh").alias("fresh")).collect()
+    out = {}
+    for name in {r["lang"] for r in found} | {""}:
+        limit = best_cut([(r["bin"], r["label"], r["n"], r["fresh"]) for r in found if name in ("", r["lang"])])
+        if limit is not None:
+            out[name] = limit
+    return out
+
+
+def best_cut(counts: list[tuple[int, int, int, int]]) -> float | None:
+    """The score of best F1, from (bin, label, n, fresh) counts: scores fresh, class mix of n.
+
+    A class without fresh rows is measured on all its rows. The cut is the middle of the gap below
+    the last bin that counts as toxic; without both classes there is none.
+    """
+    n = [sum(c[2] for c in counts if c[1] == k) for k in (0, 1)]
+    new = [sum(c[3] for c in counts if c[1] == k) for k in (0, 1)]
+    if not min(n):
+        return None
+    bins: dict[int, list[float]] = {}
+    for b, k, all_, fresh in counts:
+        if weight := fresh * n[k] / new[k] if new[k] else float(all_):
+            bins.setdefault(b, [0.0, 0.0])[k] += weight
+    order = sorted(bins, reverse=True)
+    hits = np.cumsum([bins[b][1] for b in order])
+    taken = np.cumsum([sum(bins[b]) for b in order])
+    k = int(np.argmax(2 * hits / (taken + n[1])))
+    below = order[k + 1] + 1 if k + 1 < len(order) else order[k]
+    return float(sigmoid((order[k] + below) / 2 / BINS))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -211,6 +246,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     Null and empty texts get the score of no words. ``lang`` never enters the score.
     """
+    return _scores(docs, model).drop("lang")
+
+
+def _scores(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, lang, score, flagged."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
 
@@ -231,6 +271,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                     scores.append(sigmoid(model.margin(ids, np.array([len(p) for p in part]))))
             s = np.concatenate(scores).astype(np.float64) if scores else np.zeros(0)
             limit = np.array([model.thresholds.get(x, other) for x in batch.column(2).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array(s >= limit, pa.bool_())], names=["doc_id", "score", "flagged"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(s), pa.array(s >= limit, pa.bool_())], names=["doc_id", "lang", "score", "flagged"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"), lang.alias("lang")).mapInArrow(run, "doc_id long, score double, flagged boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"), lang.alias("lang")).mapInArrow(run, "doc_id long, lang string, score double, flagged boolean")
