@@ -63,6 +63,27 @@ def test_policy(spark):
     assert [(r["action"], r["rule_id"]) for r in got] == [("BLOCK", "b"), ("ALLOW", None), ("ALLOW", "a"), ("BLOCK", None), ("ALLOW", None)]
 
 
+def test_assertion_scope(spark):
+    """An assertion holds in its own scope only; open sets let everything through; rows never multiply."""
+    import duckdb
+
+    context = dict(entity_type="person", value="Ann  Lee", tenant="t", application="a", direction="d", provider="p", purpose="u", route="r", model="m", jurisdiction="j")
+    rows = [context] + [context | {c: "other"} for c, _ in policy.SCOPE + policy.OPEN_SCOPE] + [context | {"tenant": None}]
+    df = spark.createDataFrame(rows)
+    scope = "struct<" + ",".join(f"{s}:array<string>" for _, s in policy.SCOPE + policy.OPEN_SCOPE) + ">"
+    sha = df.select(policy.digest(F.lit("PERSON"), F.lit("ann lee"))).first()[0]
+    made = lambda *open_, day="2999-01-01": spark.createDataFrame([("PERSON", sha, (["t"], ["a"], ["d"], ["p"], ["u"], *open_), day)] * 2, f"entity_type string, value_sha256 string, scope {scope}, day string").withColumn("expires_at", F.col("day").cast("timestamp"))
+    count = lambda a: [policy.asserted(df, a).count(), policy.asserted(df, a).where("public").count()]
+    assert count(made(["r"], ["m"], ["j"])) == [10, 1]
+    assert count(made([], None, [])) == [10, 4]
+    assert count(made([], [], [], day="2000-01-01")) == [10, 0]
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.sql(f"create view customer as select * from '{folder}/customer.parquet'")
+    got = catalog.queries()["policy_asserted"](spark, folder).collect()
+    assert sorted(map(tuple, got)) == sorted(con.sql(catalog.oracle_sql()["policy_asserted"]).fetchall()) and {r["action"] for r in got} == {"ALLOW", "TOKENIZE"}
+
+
 def test_mask_and_restore(spark):
     import base64
     import hashlib

@@ -83,6 +83,26 @@ def policy_first_match(spark, sf_dir):
     return policy.decide(events, EVENT_POLICY, F.col("public")).select("event_id", "action", "rule_id")
 
 
+def policy_asserted(spark, sf_dir):
+    """Customers' names, of which the even ones are asserted public for some tenants, providers and jurisdictions."""
+    customers = _read(spark, sf_dir, "customer")
+    words = lambda *w: F.array(*map(F.lit, w))
+    none = F.array().cast("array<string>")
+    scope = F.struct(
+        words("BUILDING", "MACHINERY").alias("tenants"), words("chat").alias("applications"), words("request").alias("directions"), words("p0", "p1").alias("providers"),
+        words("support").alias("purposes"), none.alias("routes"), none.alias("models"), F.when(F.col("c_custkey") % 4 == 0, none).otherwise(words("n1", "n2", "n3")).alias("jurisdictions"),
+    )
+    until = F.when(F.col("c_custkey") % 10 == 0, "2000-01-01 00:00:00").otherwise("2999-01-01 00:00:00").cast("timestamp")
+    person = F.lit("PERSON")
+    assertions = customers.where("c_custkey % 2 = 0").select(person.alias("entity_type"), policy.digest(person, F.col("c_name")).alias("value_sha256"), scope.alias("scope"), until.alias("expires_at"))
+    context = customers.select(
+        "c_custkey", person.alias("entity_type"), F.col("c_name").alias("value"), F.col("c_mktsegment").alias("tenant"), F.lit("chat").alias("application"), F.lit("request").alias("direction"),
+        F.concat(F.lit("p"), F.col("c_nationkey") % 3).alias("provider"), F.lit("support").alias("purpose"), F.lit("r").alias("route"), F.lit("m").alias("model"), F.concat(F.lit("n"), "c_nationkey").alias("jurisdiction"),
+    )
+    rules = policy.Policy((policy.Rule("person", 10, "TOKENIZE", {"entity_type": ("PERSON",)}),))
+    return policy.decide(policy.asserted(context, assertions), rules, F.col("public")).select("c_custkey", "action", "rule_id")
+
+
 def public_digest(spark, sf_dir):
     return _read(spark, sf_dir, "customer").select("c_custkey", policy.digest(F.lit("PERSON"), F.col("c_name")).alias("sha"))
 
@@ -161,7 +181,7 @@ def output_guard(spark, sf_dir):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
-        risk_bucket_by_lang, risk_score, detect_documents, detect_pages, mask_semantic, mask_redact, mask_surrogate, rehydrate_roundtrip, validate_numbers, policy_first_match, public_digest,
+        risk_bucket_by_lang, risk_score, detect_documents, detect_pages, mask_semantic, mask_redact, mask_surrogate, rehydrate_roundtrip, validate_numbers, policy_first_match, policy_asserted, public_digest,
         principal_namespace, conversation_trim_count, conversation_trim_chars, turn_count, stream_reassemble, metrics_counts, latency_summary, p95_nearest_rank,
         sse_frames, rate_limit, vault_budget, vault_collisions, wire_numbers, wire_check, output_guard,
     ]
@@ -205,6 +225,9 @@ def oracle_sql() -> dict[str, str]:
             with r as (select event_id, user_id % 10 = 0 as public, case when value >= 90 then 'large' when event_type = 'purchase' then 'purchase' when event_type in ('view', 'click') and value <= 50 then 'view' end as rule from events),
             p as (select *, public and coalesce(rule <> 'large', true) as open from r)
             select event_id, case when open then 'ALLOW' when rule = 'large' then 'REQUIRE_REVIEW' when rule = 'purchase' then 'TOKENIZE' when rule = 'view' then 'ALLOW' else 'BLOCK' end as action, case when open then null else rule end as rule_id from p""",
+        "policy_asserted": """
+            with r as (select c_custkey, c_custkey % 2 = 0 and c_custkey % 10 <> 0 and c_mktsegment in ('BUILDING', 'MACHINERY') and c_nationkey % 3 in (0, 1) and (c_custkey % 4 = 0 or c_nationkey in (1, 2, 3)) as public from customer)
+            select c_custkey, case when public then 'ALLOW' else 'TOKENIZE' end as action, case when public then null else 'person' end as rule_id from r""",
         "public_digest": "select c_custkey, sha256('PERSON' || chr(0) || lower(trim(regexp_replace(c_name, '\\s+', ' ', 'g')))) as sha from customer",
         "principal_namespace": "select c_custkey, 'credential:' || substr(sha256(c_name), 1, 32) as tenant_id, 'credential:' || substr(sha256(c_name), 33, 32) as subject_id, 'bearer' as method from customer",
         "conversation_trim_count": f"""

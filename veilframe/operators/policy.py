@@ -106,16 +106,36 @@ def digest(entity_type: Column, value: Column) -> Column:
 
     Persons' white space is collapsed. Case is folded by ``lower``, as is right for ASCII.
     """
-    normal = F.lower(F.trim(F.when(entity_type == "PERSON", F.regexp_replace(value, r"(?U)\s+", " ")).otherwise(value)))
+    normal = F.lower(F.trim(F.when(F.upper(entity_type) == "PERSON", F.regexp_replace(value, r"(?U)\s+", " ")).otherwise(value)))
     return F.sha2(F.concat(F.upper(entity_type), F.lit("\0"), normal), 256)
 
 
+#: Context column and scope field; the first five must hold the context, the others only if they list anything.
+SCOPE = (("tenant", "tenants"), ("application", "applications"), ("direction", "directions"), ("provider", "providers"), ("purpose", "purposes"))
+OPEN_SCOPE = (("route", "routes"), ("model", "models"), ("jurisdiction", "jurisdictions"))
+
+
 def asserted(df: DataFrame, assertions: DataFrame) -> DataFrame:
-    """``df`` (entity_type, value) plus ``public``: a live assertion names the value."""
-    live = assertions.where(F.col("expires_at") > F.current_timestamp()).select(F.col("entity_type").alias("a_type"), F.col("value_sha256").alias("a_sha")).distinct()
+    """``df`` (entity_type, value and the context columns) plus ``public``: a live assertion names the value in this scope.
+
+    ``assertions`` has entity_type, value_sha256, expires_at and ``scope``, a struct of sets. The
+    scopes of a value become one array, so no row of ``df`` multiplies.
+    """
+    live = assertions.where(F.col("expires_at") > F.current_timestamp())
+    scopes = live.groupBy(F.col("entity_type").alias("a_type"), F.col("value_sha256").alias("a_sha")).agg(F.collect_set("scope").alias("a_scopes"))
     keyed = df.withColumn("_sha", digest(F.col("entity_type"), F.col("value")))
-    hit = keyed.join(live, (F.col("entity_type") == F.col("a_type")) & (F.col("_sha") == F.col("a_sha")), "left")
-    return hit.withColumn("public", F.col("a_sha").isNotNull()).drop("_sha", "a_type", "a_sha")
+    hit = keyed.join(scopes, (F.upper("entity_type") == F.col("a_type")) & (F.col("_sha") == F.col("a_sha")), "left")
+
+    def fits(scope: Column) -> Column:
+        out = F.lit(True)
+        for context, allowed in SCOPE:
+            out = out & F.coalesce(F.array_contains(scope[allowed], F.col(context)), F.lit(False))
+        for context, allowed in OPEN_SCOPE:
+            empty = F.coalesce(F.size(scope[allowed]) <= 0, F.lit(True))
+            out = out & (empty | F.coalesce(F.array_contains(scope[allowed], F.col(context)), F.lit(False)))
+        return out
+
+    return hit.withColumn("public", F.coalesce(F.exists("a_scopes", fits), F.lit(False))).drop("_sha", "a_type", "a_sha", "a_scopes")
 
 
 def load(spark: SparkSession, rows: DataFrame) -> Policy:
