@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veilframe.llm import quality, queries, toxicity
+from veilframe.llm import labelled, quality, queries, toxicity
 from veilframe.llm.common import held_out
 from veilframe.llm.wordhash import WordRows, ngram_buckets
 
@@ -57,9 +57,23 @@ def test_quality_score_is_the_network(spark):
     tokens += [quality.NEW_PAIR] * new + [quality.OLD_PAIR] * (len(pairs) - new)
     want = 1 / (1 + np.exp(-(model.margin[tokens].mean() + 0.3)))
     assert abs(quality.Scorer(model.margin, model.bias)([text])[0] - want) < 1e-12
-    docs = spark.createDataFrame([(1, text)], "t_id long, text string")
-    row = quality.bags(docs).first()
-    assert dict(zip(row["buckets"], row["counts"], strict=True)) == {b: tokens.count(b) for b in set(tokens)}
+    docs = spark.createDataFrame([(1, text, 0)], "t_id long, text string, label int")
+    buckets, counts = quality.unpacked(np.frombuffer(quality.bags(docs).first()["data"], np.uint8))
+    assert dict(zip(buckets.tolist(), counts.tolist(), strict=True)) == {b: tokens.count(b) for b in set(tokens)}
+
+
+def test_fitting_sample_is_bounded(spark):
+    """One row an id, of each class as many whole rows as fit; a huge row does not bar those after it."""
+    texts = [(i % 50, "abcdef ghijkl " * (4000 if i == 3 else 1) + f"w{i % 50}", i % 2) for i in range(100)]
+    docs = spark.createDataFrame(texts, "t_id long, text string, label int")
+    whole = labelled.fetch(docs, toxicity._sequences)
+    assert whole.ids == list(range(50)) and whole.labels.tolist() == [i % 2 for i in range(50)]
+    assert len(whole.row(3)) == 8 * 8001 and len(whole.data) == sum(len(whole.row(k)) for k in range(50))
+    some = labelled.fetch(docs, toxicity._sequences, most_bytes=2 * 10 * 24)
+    assert len(some.ids) == 20 and 3 not in some.ids and sum(some.labels) == 10
+    for k, i in enumerate(some.ids):
+        assert bytes(some.row(k)) == bytes(whole.row(i))
+    assert labelled.fetch(docs.limit(0), toxicity._sequences).ids == []
 
 
 def test_convolution_is_plain():

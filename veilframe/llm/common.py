@@ -15,15 +15,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a checkpoint in the shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate data that all machines share, which ``spark.checkpoint.dir`` names.
 
-    The cluster names the folder in ``spark.checkpoint.dir``; only where that is unset (a
-    local test) a temporary folder is taken.
+    Only a local session (a test) may leave it unset and gets a temporary folder; on a cluster
+    that is an error, as a folder of one machine would not do.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.sparkContext.getCheckpointDir()
+    return folder.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut by a checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -38,19 +47,13 @@ def held_out(doc_id: Column, mod: int, rest: int) -> Column:
 
 
 def stash(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet below the shared checkpoint folder, and read again.
+    """``df`` written as Parquet below the shared folder, and read again.
 
     As :func:`cut`, but compressed and by column; for texts.
     """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        folder = spark.sparkContext.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/stash-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/stash-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:

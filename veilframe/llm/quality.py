@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import whole_text
-from .labelled import prior_shift, training_rows
+from .labelled import fetch, prior_shift, training_rows
 from .wordhash import WordRows, ngram_buckets, sigmoid
 
 BUCKETS = 1 << 16
@@ -53,15 +53,13 @@ def _bucket_rows(words: list[str]) -> np.ndarray:
 
 
 def bags(texts: DataFrame) -> DataFrame:
-    """Columns of ``texts`` but ``text``, with the token counts: buckets and counts."""
-    kept = [c for c in texts.columns if c != "text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema if f.name != "text")
+    """t_id, label and ``data``: the token counts of a text as int32 buckets, then float32 counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = WordRows(_bucket_rows)
         for batch in batches:
-            at, ids, counts = batch.schema.get_field_index("text"), [], []
-            for chunk in rows.chunks(batch.column(at).to_pylist()):
+            cells = []
+            for chunk in rows.chunks(batch.column(2).to_pylist()):
                 for numbers in chunk:
                     words, n = np.unique(numbers, return_counts=True)
                     made = [rows.rows[w] for w in words]
@@ -71,12 +69,16 @@ def bags(texts: DataFrame) -> DataFrame:
                         np.concatenate([*(np.full(len(m), k) for m, k in zip(made, n, strict=True)), [new, old]]),
                     )
                     used = np.flatnonzero(bag)
-                    ids.append(used.astype(np.int32))
-                    counts.append(bag[used].astype(np.float32))
-            cols = [batch.column(batch.schema.get_field_index(c)) for c in kept]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.float32()))], names=[*kept, "buckets", "counts"])
+                    cells.append(used.astype(np.int32).tobytes() + bag[used].astype(np.float32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cells, pa.binary())], names=["t_id", "label", "data"])
 
-    return texts.mapInArrow(run, f"{schema}, buckets array<int>, counts array<float>")
+    return texts.select("t_id", "label", "text").mapInArrow(run, "t_id long, label int, data binary")
+
+
+def unpacked(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and counts of a row of :func:`bags`."""
+    half = len(data) // 2
+    return np.frombuffer(data[:half].tobytes(), np.int32), np.frombuffer(data[half:].tobytes(), np.float32)
 
 
 @dataclass
@@ -129,11 +131,12 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, rows: int = TRA
     shift = prior_shift(counts)
     if not counts.get(0) or not counts.get(1):
         return Model(np.zeros(BUCKETS + 2), shift)
-    got = sorted(bags(texts).collect(), key=lambda r: (r["t_id"], r["label"]))
-    if len({r["label"] for r in got}) < 2:
+    got = fetch(texts, bags)
+    if len(set(got.labels.tolist())) < 2:
         return Model(np.zeros(BUCKETS + 2), shift)
-    model = fit([np.array(r["buckets"], np.int64) for r in got], [np.array(r["counts"], np.float32) for r in got], np.array([r["label"] for r in got]))
-    model.bias += prior_shift(counts, [r["label"] for r in got])
+    buckets, weights = zip(*(unpacked(got.row(k)) for k in range(len(got.ids))), strict=True)
+    model = fit(buckets, weights, got.labels)
+    model.bias += prior_shift(counts, got.labels.tolist())
     return model
 
 

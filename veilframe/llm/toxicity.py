@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import whole_text
-from .labelled import prior_shift, training_rows
+from .labelled import fetch, prior_shift, training_rows
 from .wordhash import WordRows, sigmoid
 
 BUCKETS = 1 << 15
@@ -159,15 +159,15 @@ def best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
 
 
 def _sequences(texts: DataFrame) -> DataFrame:
-    """t_id, label, lang and the words' buckets, two after each other."""
+    """t_id, label and ``data``: the words' buckets as int32, two after each other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = WordRows(word_buckets)
         for batch in batches:
-            ids = [rows.rows[numbers].ravel() for chunk in rows.chunks(batch.column(1).to_pylist()) for numbers in chunk]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ids, pa.list_(pa.int32()))], names=["t_id", "label", "ids"])
+            cells = [rows.rows[numbers].tobytes() for chunk in rows.chunks(batch.column(2).to_pylist()) for numbers in chunk]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cells, pa.binary())], names=["t_id", "label", "data"])
 
-    return texts.select("t_id", "text", "label").mapInArrow(run, "t_id long, label int, ids array<int>")
+    return texts.select("t_id", "label", "text").mapInArrow(run, "t_id long, label int, data binary")
 
 
 def train(docs: DataFrame, labels: DataFrame, may_learn: Column, rows: int = TRAIN_ROWS) -> Model:
@@ -177,17 +177,15 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, rows: int = TRA
     some = usable.count() >= 50  # of fewer, none is held back
     texts, counts = training_rows(docs, labels, "toxic", may_learn & ~back if some else may_learn, rows)
     shift = prior_shift(counts)
-    got = sorted(_sequences(texts.withColumn("t_id", F.col("t_id").cast("long"))).collect(), key=lambda r: (r["t_id"], r["label"]))
-    if len({r["label"] for r in got}) < 2:
+    got = fetch(texts, _sequences)
+    if len(set(got.labels.tolist())) < 2:
         model = new_model()
         model.weights[:] = 0
         model.bias = shift
         return model
-    ids = [np.array(r["ids"], np.int32).reshape(-1, 2) for r in got]
-    y = np.array([r["label"] for r in got])
-    model = fit(ids, y)
-    model.bias += prior_shift(counts, y.tolist())
-    model.thresholds = thresholds(docs, usable, model, {r["t_id"] for r in got})
+    model = fit([np.frombuffer(got.row(k).tobytes(), np.int32).reshape(-1, 2) for k in range(len(got.ids))], got.labels)
+    model.bias += prior_shift(counts, got.labels.tolist())
+    model.thresholds = thresholds(docs, usable, model, set(got.ids))
     return model
 
 
