@@ -90,6 +90,37 @@ def test_empty_and_repeated_rows(spark):
     assert neardup.classes(docs.limit(0)).collect() == []
 
 
+def test_chains_and_groups_without_links(spark, monkeypatch):
+    """Members of one bucket of which no pair is linked, and a group that holds together by its hub alone."""
+    monkeypatch.setattr(neardup, "BLOCK", 3)
+    monkeypatch.setattr(neardup, "KEY_ROWS", 4)
+    monkeypatch.setattr(neardup, "BROADCAST_ROWS", 5)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    base, other = [word() for _ in range(200)], [word() for _ in range(200)]
+
+    def changed(text, times, size):
+        out = list(text)
+        for _ in range(times):
+            at = rng.randrange(len(out) - size)
+            out[at : at + size] = [word() for _ in range(size)]
+        return " ".join(out)
+
+    texts = [" ".join(base)] + [changed(base, 1, 14) for _ in range(25)] + [changed(other, 3, 12) for _ in range(25)] + [changed(base, 4, 2) for _ in range(10)]
+    texts = list(zip(rng.sample(range(1000), len(texts)), texts, strict=True))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(docs).collect()}
+    assert got == brute(texts) and 1 < len(set(got.values())) < len(texts)
+
+
+def test_null_ids_and_very_long_texts(spark):
+    long = " ".join(f"w{i % 5000}x{i // 7}" for i in range(120_000))
+    rows = [(1, long), (2, long + " end"), (None, long), (None, "alone with no id at all here"), (3, "word " * 100_000), (4, "word " * 99_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["class_id"]) for r in neardup.classes(docs).collect()), key=str)
+    assert got == sorted([(1, 1), (2, 1), (None, 1), (None, None), (3, 3), (4, 3)], key=str)
+
+
 def test_query(spark):
     texts = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     got = {r["doc_id"]: r["class_id"] for r in queries.op3_neardup(spark, "/root/testdata/sf0.001").collect()}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -56,10 +55,21 @@ def stash(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files of plans that nothing refers to any more.
+class Scratch:
+    """A folder of intermediate tables below the shared folder, for one operator's run."""
 
-    A loop of jobs would else keep them until the driver happens to collect its garbage.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.made = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", 0
+
+    def write(self, df: DataFrame) -> DataFrame:
+        """``df`` written as Parquet and read again, with its lineage cut."""
+        self.made += 1
+        path = f"{self.path}/{self.made}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def delete(self) -> None:
+        """Removes the folder; nothing that was read from it may be used any more."""
+        jvm = self.spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(self.path)
+        folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

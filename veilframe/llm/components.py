@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, cut: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
     """node, comp for every end of ``links`` (a, b); comp is the least node that can be reached.
 
     Alternates large-star and small-star steps, each a grouped minimum (which combines before the
-    shuffle) and a join, until nothing changes: a number of rounds logarithmic in the nodes.
+    shuffle) and a join, until nothing changes: a number of rounds logarithmic in the nodes. Rows
+    are two ids wide; the edges of a hub are one join key, which adaptive execution splits.
+    ``cut`` writes what a round made.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = None

@@ -7,10 +7,12 @@ slot, the earliest point below its weights, so two documents agree on a slot wit
 of exactly their weighted Jaccard similarity. Points are made in order of arrival and stop once
 none can win, so a signature takes about n + m log m steps.
 
-Bands of slots give buckets. In each bucket members are compared with one pivot, and the multiset
-overlap is verified on whole texts. Links give components; buckets that still hold several
-components go on with other pivots until few pairs are left, and those are all compared. So no
-pair that shares a bucket is given up unless it is connected already.
+Bands of slots give buckets. Documents that share one are compared by turns: in each bucket the
+member that shares most buckets is the first pivot, then come sixteen pivots, then 256, and so on,
+until every pair of a bucket was compared or lies in one component. Pairs that cannot be similar
+enough are left out before: by their sizes and, after the first turn, by their items that no other
+open document has. What is compared are bags of hashes, packed into blocks of documents that
+share their largest bucket, so that a block is fetched once for all its pairs.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release, stash, whole_text
+from .common import Scratch, stash, whole_text
 from .components import components
 from .wordhash import WordRows
 
@@ -31,8 +33,14 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 5
 SLOTS = BANDS * ROWS
-#: All pairs left are compared once they are at most this many times the bucket entries.
-REST = 4
+#: A block of bags holds about so many documents, or shingles.
+BLOCK, BLOCK_SHINGLES = 64, 100_000
+#: Pivots of a bucket grow by this factor from turn to turn.
+MORE_PIVOTS = 16
+#: Tables of ids up to so many rows are broadcast (16 bytes a row); longer ones are joined by shuffle.
+BROADCAST_ROWS = 200_000
+#: Rows of one key of a join that a task takes; more are dealt over salted copies.
+KEY_ROWS = 10_000
 _U64 = np.uint64
 
 
@@ -139,95 +147,174 @@ def similarity(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.nda
     return both / whole if whole else 0.0
 
 
-def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """a, b, ok of each pair (a, b): whether the multisets of shingles are similar enough."""
-    one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+def bag_bytes(bag: tuple[np.ndarray, np.ndarray]) -> bytes:
+    """A bag as its sorted 64-bit items, then their 32-bit counts."""
+    return bag[0].tobytes() + bag[1].astype(np.int32).tobytes()
+
+
+def bag_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(data) // 12
+    return np.frombuffer(data, _U64, n), np.frombuffer(data, np.int32, n, 8 * n)
+
+
+PACK = "block long, members array<struct<node:bigint,data:binary>>"
+
+
+def packed(texts: DataFrame) -> DataFrame:
+    """``texts`` (block, node, text) as a row a block, with the bags of its documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = WordRows(word_hashes)
-        last: dict[int, tuple] = {}
         for batch in batches:
-            ok = []
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                ids = [c.to_pylist() for c in part.columns[:2]]
-                bags = []
-                for k in (0, 1):
-                    need = {x: n for n, x in enumerate(ids[k]) if x not in last}
-                    got = part.column(2 + k).take(pa.array(list(need.values()), pa.int64())).to_pylist()
-                    made = [_bag(rows.rows[numbers]) for chunk in rows.chunks(got) for numbers in chunk]
-                    own = dict(zip(need, made, strict=True))
-                    bags.append([own[x] if x in own else last[x] for x in ids[k]])
-                ok += [similarity(x, y) >= least for x, y in zip(*bags, strict=True)]
-                last = {ids[1][-1]: bags[1][-1]}  # pivots come in runs
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
-
-    joined = pairs.select("a", "b").join(one, "a").join(two, "b")
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, ok boolean")
+            data = [bag_bytes(_bag(rows.rows[numbers])) for chunk in rows.chunks(batch.column(2).to_pylist()) for numbers in chunk]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary())], names=["block", "node", "data"])
 
+    bags = texts.select("block", "node", "text").mapInArrow(run, "block long, node long, data binary")
+    return bags.groupBy("block").agg(F.collect_list(F.struct("node", "data")).alias("members"))
 
-def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id (the least id of the class) and class_size for every row of ``docs``.
 
-    Documents are linked if their multisets of five-word shingles have a weighted Jaccard
-    similarity of ``least`` or more; classes are the components. Equal word sequences are linked
-    always; texts without words (null, empty) never are. Rows with one id count as one document.
-    A pair of exactly 0.8 similarity shares a bucket with a probability of 0.999997.
+def similar(lists: DataFrame, least: float) -> DataFrame:
+    """a, b, ok from rows of ``pairs`` and the packed blocks ``one`` and ``two`` that hold their bags."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                pairs, *blocks = (c[k].as_py() for c in batch.columns)
+                bags = {m["node"]: bag_of(m["data"]) for block in blocks for m in block or ()}
+                ok = [similarity(bags[p["a"]], bags[p["b"]]) >= least for p in pairs]
+                yield pa.RecordBatch.from_arrays([pa.array([p[c] for p in pairs], pa.int64()) for c in "ab"] + [pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
+
+    return lists.select("pairs", "one", "two").mapInArrow(run, "a long, b long, ok boolean")
+
+
+def verified(pairs: DataFrame, packs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """a, b, ok of pairs (a, b, block_a, block_b): whether the multisets of shingles are similar enough.
+
+    Pairs of the same two blocks make one row. A block that many others meet is dealt out in
+    copies, so that its pairs need not lie in one task.
     """
-    sketched = stash(sketch(docs))
-    nodes = sketched.groupBy("text_hash").agg(F.min("doc_id").alias("node"), F.min_by("n", "doc_id").alias("n"), F.min_by("bands", "doc_id").alias("bands"))
-    entries = nodes.select("node", "n", F.explode("bands").alias("key"))
-    shared = entries.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
-    entries = stash(entries.join(shared, "key"))
-    involved = entries.select("node").distinct()
+    swap = F.col("block_a") > F.col("block_b")
+    lists = pairs.groupBy(F.least("block_a", "block_b").alias("x"), F.greatest("block_a", "block_b").alias("y")).agg(
+        F.collect_list(F.struct(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"))).alias("pairs")
+    )
+    salts = {}
+    for side in ("x", "y"):
+        met = pairs.select(F.least("block_a", "block_b").alias("x"), F.greatest("block_a", "block_b").alias("y")).where("x <> y").distinct().groupBy(side).agg(F.count("*").alias("c"))
+        salts[side] = met.where(F.col("c") > BLOCK).select(F.col(side), F.ceil(F.col("c") / BLOCK).alias("copies"))
+
+    def with_block(rows: DataFrame, side: str, name: str) -> DataFrame:
+        other = "y" if side == "x" else "x"
+        dealt = rows.join(salts[side], side, "left").withColumn("salt", F.pmod(F.xxhash64(other), F.coalesce("copies", F.lit(1)))).drop("copies")
+        copies = packs.select(F.col("block").alias(side), F.col("members").alias(name)).join(salts[side], side, "left")
+        copies = copies.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(1)) - 1))).drop("copies")
+        return dealt.join(copies, [side, "salt"]).drop("salt")
+
+    none = F.lit(None).cast("array<struct<node:bigint,data:binary>>")
+    inside = lists.where("x = y").join(packs.select(F.col("block").alias("x"), F.col("members").alias("one")), "x").withColumn("two", none)
+    across = with_block(with_block(lists.where("x <> y"), "x", "one"), "y", "two")
+    return similar(inside.select("pairs", "one", "two").unionByName(across.select("pairs", "one", "two")), least)
+
+
+def shared_shingles(packs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, alone: how many shingles of each of ``nodes`` (with repetitions) no other of them has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                items, counts = bag_of(data)
+                again = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)  # 0, 1, ... of each item
+                tokens = _mix(np.repeat(items, counts) + again.astype(_U64)).view(np.int64)
+                for at in range(0, len(tokens), 100_000):
+                    part = tokens[at : at + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), node)), pa.array(part)], names=["node", "token"])
+
+    open_bags = packs.select(F.explode("members").alias("m")).select("m.node", "m.data").join(nodes, "node", "left_semi")
+    tokens = open_bags.mapInArrow(run, "node long, token long")
+    once = tokens.groupBy("token").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
+    return once.groupBy("node").agg(F.count("*").alias("alone"))
+
+
+def few(df: DataFrame) -> DataFrame:
+    """``df``, a table of ids, to be broadcast if it is short enough."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def linked(docs: DataFrame, sketched: DataFrame, scratch: Scratch, least: float) -> tuple[DataFrame, DataFrame | None]:
+    """(text_hash, node) of texts with words, and (node, comp) of those that have links, or None."""
+    nodes = sketched.where("doc_id is not null and size(bands) > 0").groupBy("text_hash").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("n", "bands"), "doc_id").alias("s"))
+    each = nodes.select("node", "s.n", F.explode("s.bands").alias("key"))
+    shared = each.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    entries = scratch.write(each.join(shared, "key"))
+    involved = entries.groupBy("node").agg(F.max("n").alias("n"), F.sum("members").alias("rank"), F.max(F.struct("members", "key"))["key"].alias("home"))
+    homes = involved.groupBy("home").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
+    block = F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("parts")))
+    involved = scratch.write(involved.join(homes, "home").select("node", "rank", block.alias("block")))
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), whole_text().alias("text"))
-    texts = stash(texts.join(involved, "node", "left_semi").dropDuplicates(["node"]))
-    total = entries.count()
+    packs = scratch.write(packed(texts.join(few(involved.select("node", "block")), "node").dropDuplicates(["node"])))
+    live = entries.join(involved, "node").withColumn("shared", F.col("n"))
     done = links = comps = None
-    turn, near = 0, (F.least("n", "n_b") >= least * F.greatest("n", "n_b"))
-    while total:
-        now = entries if comps is None else entries.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        if comps is None:
-            now = now.withColumn("comp", F.col("node"))
-        sizes = now.groupBy("key", "comp").agg(F.count("*").alias("c"))
-        open_ = sizes.groupBy("key").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("same")).where("all * all > same")
-        left = open_.agg(F.sum((F.col("all") * F.col("all") - F.col("same")) / 2)).first()[0] or 0
-        if not left:
+    turn, share = 0, least / (1 + least)  # of both sizes, that the overlap must reach
+    while True:
+        now = live.withColumn("comp", F.col("node")) if comps is None else live.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        open_ = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+        now = scratch.write(now.join(open_, "key", "left_semi"))
+        if now.isEmpty():
             break
-        now = now.join(open_.select("key"), "key", "left_semi")
-        rest = turn > 0 and (left <= REST * total or not found)
-        if rest:
-            other = now.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
-            pairs = now.withColumnRenamed("node", "a").join(other, "key").where((F.col("a") > F.col("b")) & (F.col("comp") != F.col("comp_b")) & near)
-        else:
-            order = F.struct(F.xxhash64(F.lit(turn), "node"), "node", "n", "comp")
-            pivots = now.groupBy("key").agg(F.min(order).alias("p")).select("key", F.col("p.node").alias("b"), F.col("p.n").alias("n_b"), F.col("p.comp").alias("comp_b"))
-            pairs = now.withColumnRenamed("node", "a").join(pivots, "key").where((F.col("comp") != F.col("comp_b")) & near)
-        pairs = pairs.select("a", "b").distinct()
+        if turn == 1:
+            alone = shared_shingles(packs.join(few(now.select("block").distinct()), "block", "left_semi"), few(now.select("node").distinct()))
+            now = now.join(alone, "node", "left").withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+            now = scratch.write(now.where(F.col("shared") >= least * F.col("n")))
+            packs = scratch.write(packs.join(few(now.select("block").distinct()), "block", "left_semi"))
+        group = F.pmod(F.xxhash64("node"), F.lit(MORE_PIVOTS**turn))
+        first = F.max_by(F.struct("node", "n", "shared", "comp", "block", "members"), F.struct("rank", -F.col("node")))
+        pivots = now.groupBy("key", group.alias("group")).agg(first.alias("p")).select("key", "p.*")
+        salts = F.floor(F.col("members") / KEY_ROWS) + 1  # copies of a bucket's pivots, each for a part of its members
+        copies = pivots.select("key", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "shared", "comp", "block")), F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
+        dealt = now.withColumn("salt", F.pmod(F.xxhash64("node"), salts))
+        fits = F.least("shared", "shared_b") >= F.lit(share - 1e-9) * (F.col("n") + F.col("n_b"))
+        pairs = dealt.join(copies, ["key", "salt"]).where((F.col("comp") != F.col("comp_b")) & fits)
+        less = F.col("node") < F.col("node_b")
+        side = lambda c: (F.when(less, F.col(c)).otherwise(F.col(f"{c}_b")), F.when(less, F.col(f"{c}_b")).otherwise(F.col(c)))
+        (a, b), (block_a, block_b) = side("node"), side("block")
+        pairs = pairs.select(a.alias("a"), b.alias("b"), block_a.alias("block_a"), block_b.alias("block_b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
-        new = cut(verified(pairs, texts, least))
-        found = new.where("ok").count()
+        pairs = scratch.write(pairs)
+        new = scratch.write(verified(pairs, packs, least))
         done = new.select("a", "b") if done is None else done.unionByName(new.select("a", "b"))
-        if found:
-            good = new.where("ok").select("a", "b")
+        good = new.where("ok").select("a", "b")
+        if not good.isEmpty():
             links = good if links is None else links.unionByName(good)
-            comps = components(links)
+            comps = components(links, scratch.write)
+        # A pivot has met all of its bucket; without it, what is left shrinks until no pair is open.
+        live = now.drop("comp").join(pivots.select("key", "node"), ["key", "node"], "left_anti")
         turn += 1
-        release(docs.sparkSession)
-        if rest:
-            break
-    of_text = nodes.where("size(bands) > 0").select("text_hash", "node")
+    return nodes.select("text_hash", "node"), comps
+
+
+def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """doc_id, class_id (the least id of the class) and class_size for every row of ``docs``.
+
+    Documents are linked if their multisets of five-word shingles have a weighted Jaccard
+    similarity of ``least`` or more; classes are the components. Equal word sequences are linked
+    always; texts without words (null, empty) never are. Rows with one id count as one document.
+    Rows with a null id take the class of their text's other rows, and have none without any.
+    A pair of exactly 0.8 similarity shares a bucket with a probability of 0.999997.
+    """
+    scratch = Scratch(docs.sparkSession)
+    sketched = scratch.write(sketch(docs))
+    of_text, comps = linked(docs, sketched, scratch, least)
     comp = F.col("node")
     if comps is not None:
         of_text = of_text.join(comps, "node", "left")
         comp = F.coalesce("comp", "node")
     # A text without words has no class but its own row's.
     named = sketched.select("doc_id", "text_hash").join(of_text.select("text_hash", comp.alias("of_text")), "text_hash", "left")
-    named = named.select("doc_id", F.coalesce("of_text", "doc_id").alias("class_id"))
+    named = scratch.write(named.select("doc_id", F.coalesce("of_text", "doc_id").alias("class_id")))
     sizes = named.groupBy("class_id").agg(F.count("*").alias("class_size"))
-    return named.join(sizes, "class_id", "left").select("doc_id", "class_id", "class_size")
+    out = stash(named.join(sizes, "class_id", "left").select("doc_id", "class_id", "class_size"))
+    scratch.delete()
+    return out
 
 
 def deduplicated(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
