@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from veilframe.llm import mixing
 
@@ -63,3 +64,14 @@ def test_empty(spark):
 @pytest.mark.parametrize("rows", [[(1, "a", None, None)], [(1, "a", "x", None), (1, "a", "x", None)]])
 def test_small(spark, rows):
     assert len(mixing.mixed(frame(spark, rows)).collect()) == len(rows)
+
+
+def test_clashing_columns_and_few_ranges(spark):
+    names = ["mix_source", "left", "size", "blocks", "total", "budget", "mix_fine", "upto", "hash", "range", "before", "_c0"]
+    docs = frame(spark, corpus())
+    more = docs.select("*", *[F.lit(f"own {n}").alias(n) for n in names])
+    got = mixing.mixed(more, target=0.95, most=3.0, block_tokens=50).collect()
+    want = mixing.mixed(docs, target=0.95, most=3.0, block_tokens=50).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter((r["doc_id"], r["text"]) for r in want)
+    assert all(r[n] == f"own {n}" for r in got for n in names)
+    assert mixing.schedule(more).columns == ["doc_id", "source", "text", *names[1:], *mixing.MIX]

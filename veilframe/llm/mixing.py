@@ -28,6 +28,8 @@ MAX_SOURCES = 1_000_000
 BISECTIONS = 50
 #: Scale of ``mix_key``: a source's schedule runs from 0 to this.
 SCALE = 1_000_000_000
+#: Running sums go over 16 to this power ranges of a hash, and then within each.
+HASH_DIGITS = 3
 #: A block table of at most this many rows is broadcast; a longer one is joined by shuffle.
 BROADCAST_ROWS = 50_000
 
@@ -79,9 +81,9 @@ def exponent_for(totals: dict[str, int], target: float = ENTROPY, most: float =
     return max(reach, limit)
 
 
-def token_count() -> Column:
+def token_count(text: Column) -> Column:
     """Words between ASCII white space."""
-    return F.expr(r"size(array_remove(split(coalesce(cast(text as string), ''), r'[\x20\x09-\x0D]+', -1), ''))").cast("long")
+    return F.size(F.array_remove(F.split(F.coalesce(text.cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", -1), "")).cast("long")
 
 
 def by_hash(*parts) -> Column:
@@ -95,12 +97,27 @@ def schedule(docs: DataFrame, target: float = ENTROPY, most: float = REPETITIONS
     Sorting by ``mix_key`` interleaves the sources in proportion at block grain. A null source
     counts as ``''``; documents without tokens cost nothing and are shown in every epoch of
     their block. Rows with the same id are apart unless all columns agree, and then both stay.
+    A column of ``docs`` that has the name of one of the new ones gives way to it.
     """
-    names = docs.columns
-    sized = docs.select("*", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("mix_source"), token_count().alias("mix_tokens"))
+    shown, columns = _showings(docs, target, most, block_tokens)
+    return shown.select(*[c.alias(n) for n, c in columns if n not in MIX], *MIX)
+
+
+MIX = ("mix_source", "mix_tokens", "mix_epoch", "mix_block", "mix_key")
+
+
+def _showings(docs: DataFrame, target: float = ENTROPY, most: float = REPETITIONS, block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame, list[tuple[str, Column]]]:
+    """The showings, and names and columns in them of all columns of ``docs``.
+
+    Columns of ``docs`` get numbers for names meanwhile, so that none can clash.
+    """
+    given = {n: f"_c{i}" for i, n in enumerate(docs.columns)}
+    plain = docs.toDF(*given.values())
+    source, text, id_ = (F.col(given[n]) for n in ("source", "text", "doc_id"))
+    sized = plain.select("*", F.coalesce(source.cast("string"), F.lit("")).alias("mix_source"), token_count(text).alias("mix_tokens"))
     # One narrow pass over the texts: per source and fine bucket, so that a hot source is dealt out.
     spark = docs.sparkSession
-    ids = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    ids = F.coalesce(id_.cast("string"), F.lit(""))
     fine = F.conv(F.substring(by_hash("block", ids), 1, 7), 16, 10).cast("long")
     sized = sized.withColumn("mix_fine", fine)
     totals = {r["mix_source"]: int(r["t"]) for r in sized.groupBy("mix_source").agg(F.sum("mix_tokens").alias("t")).limit(MAX_SOURCES + 1).collect()}
@@ -112,10 +129,15 @@ def schedule(docs: DataFrame, target: float = ENTROPY, most: float = REPETITIONS
     sources = spark.createDataFrame(plan, "mix_source string, total long, budget long, blocks long")
     side = F.broadcast(sources) if len(plan) <= BROADCAST_ROWS else sources
     placed = sized.join(side, "mix_source").withColumn("mix_block", F.expr("mix_fine % blocks")).drop("mix_fine", "blocks", "total", "budget")
-    blocks = placed.groupBy("mix_source", "mix_block").agg(F.sum("mix_tokens").alias("size")).join(side, "mix_source")
+    blocks = cut(placed.groupBy("mix_source", "mix_block").agg(F.sum("mix_tokens").alias("size"))).join(side, "mix_source")
     rounds = blocks.withColumn("mix_epoch", F.explode(F.expr("sequence(0L, if(total > 0, (budget - 1) div total, 0L))")))
-    order = Window.partitionBy("mix_source", "mix_epoch").orderBy(by_hash("epoch", F.col("mix_epoch"), F.col("mix_source"), F.col("mix_block")), "mix_block")
-    before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # Running sums in two levels, as one source may have most blocks: over ranges of the hash, and within each.
+    rounds = rounds.withColumn("hash", by_hash("epoch", F.col("mix_epoch"), F.col("mix_source"), F.col("mix_block"))).withColumn("range", F.substring("hash", 1, HASH_DIGITS))
+    ranges = rounds.groupBy("mix_source", "mix_epoch", "range").agg(F.sum("size").alias("of_range"))
+    by_range, within = Window.partitionBy("mix_source", "mix_epoch").orderBy("range"), Window.partitionBy("mix_source", "mix_epoch", "range").orderBy("hash", "mix_block")
+    ranges = ranges.select("mix_source", "mix_epoch", "range", F.coalesce(F.sum("of_range").over(by_range.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    rounds = rounds.join(ranges, ["mix_source", "mix_epoch", "range"])
+    before = F.col("before") + F.coalesce(F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rounds = cut(
         rounds.withColumn("left", F.col("budget") - F.col("mix_epoch") * F.col("total") - before)
         .withColumn("mix_key", F.expr(f"(budget - left) * cast({SCALE} as decimal(20,0)) div greatest(budget, 1L)").cast("long"))
@@ -126,17 +148,18 @@ def schedule(docs: DataFrame, target: float = ENTROPY, most: float = REPETITIONS
     tables = {k: rounds.where(F.col("all") if k else ~F.col("all")).drop("all") for k in (True, False)}
     shown = [placed.join(F.broadcast(t) if small else t, ["mix_source", "mix_block"]) for t in tables.values()]
     # One block a source at most is taken in part, in an order of its own.
-    inside = Window.partitionBy("mix_source", "mix_block", "mix_epoch").orderBy(by_hash("doc", F.col("mix_epoch"), ids), *names_of(docs))
+    inside = Window.partitionBy("mix_source", "mix_block", "mix_epoch").orderBy(by_hash("doc", F.col("mix_epoch"), ids), *names_of(plain, given["text"]))
     part = shown[1].withColumn("upto", F.sum("mix_tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0))).where("upto <= left").drop("upto")
-    cols = [*names, "mix_source", "mix_tokens", "mix_epoch", "mix_block", "mix_key"]
-    return shown[0].select(cols).unionByName(part.select(cols))
+    cols = [*plain.columns, *MIX]
+    return shown[0].select(cols).unionByName(part.select(cols)), [(n, F.col(c)) for n, c in given.items()]
 
 
-def names_of(docs: DataFrame) -> list[str]:
+def names_of(docs: DataFrame, text: str) -> list[str]:
     """Columns that order rows of one id: those that compare, without the text."""
-    return [f.name for f in docs.schema if f.dataType.typeName() in ("long", "integer", "string") and f.name != "text"]
+    return [f.name for f in docs.schema if f.dataType.typeName() in ("long", "integer", "string") and f.name != text]
 
 
 def mixed(docs: DataFrame, **settings) -> DataFrame:
     """The columns of ``docs`` alone, a row for each showing."""
-    return schedule(docs, **settings).select(docs.columns)
+    shown, columns = _showings(docs, **settings)
+    return shown.select(*[c.alias(n) for n, c in columns])
