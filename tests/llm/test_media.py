@@ -142,3 +142,17 @@ def test_query(spark):
     assert len(rows) == len(docs)
     for r in rows:
         assert r["payload_sha256"] == hashlib.sha256(jpeg.pad(docs[r["doc_id"]].encode())).hexdigest()
+
+
+def test_payloads_beyond_one_width_of_rows():
+    """Over 4095 rows of the usual width a frame gets wider."""
+    payload = np.random.default_rng(1).integers(0, 256, 192 * (64 * jpeg.MOST_ROWS + 1), dtype=np.uint8).tobytes()
+    assert jpeg.payload_of(jpeg.Frame(jpeg.store(payload))) == payload
+
+
+def test_digest_of_null_and_foreign_bytes(spark):
+    rows = [(1, 3, None), (2, 3, b""), (3, 3, b"\xff\xd8\xff\xd9"), (4, 3, b"\xff\xd8\xff\xc2\x00"), (5, 192, jpeg.store(b" " * 192))]
+    got = {r["doc_id"]: r for r in media.digest(spark.createDataFrame([(a, b, None if c is None else bytearray(c)) for a, b, c in rows], "doc_id long, n_bytes long, media binary")).collect()}
+    assert got[1]["media_bytes"] is None and got[1]["feature"] is None
+    assert [got[k]["media_bytes"] for k in (2, 3, 4)] == [0, 4, 5] and all(got[k]["payload_sha256"] is None for k in (2, 3, 4))
+    assert got[5]["payload_bytes"] == 192

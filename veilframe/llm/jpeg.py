@@ -21,6 +21,8 @@ import numpy as np
 UNIT = 192
 #: MCUs in a row of a stored payload.
 COLUMNS = 64
+#: Rows of units in a frame: its height is a 16-bit number.
+MOST_ROWS = 4095
 _BAND = 32  # AC coefficients 1..32 carry the payload
 _NOTE = b"payload "
 
@@ -385,7 +387,7 @@ def pad(raw: bytes) -> bytes:
 def store(payload: bytes) -> bytes:
     """A progressive JPEG that holds ``payload`` (a positive multiple of a unit)."""
     units = len(payload) // UNIT
-    across = min(units, COLUMNS)
+    across = min(units, max(COLUMNS, -(-units // MOST_ROWS)))  # a frame of up to 3.2 GB
     down = -(-units // across)
     data = np.frombuffer(payload.ljust(across * down * UNIT, b"\0"), np.uint8).reshape(down, across, 6, _BAND)
     luma = data[:, :, :4].reshape(down, across, 2, 2, _BAND).transpose(0, 2, 1, 3, 4).reshape(-1, _BAND)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import whole_text
-from .jpeg import Frame, pad, payload_of, store
+from .jpeg import Frame, JpegError, pad, payload_of, store
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
@@ -61,18 +62,31 @@ def feature(rgb: np.ndarray) -> str:
     return f"{h}x{w}:{means[0]},{means[1]},{means[2]}:{step}"
 
 
+def _digests(data: bytes | None) -> tuple:
+    if data is None:
+        return (None,) * 7
+    own = len(data), hashlib.sha256(data).hexdigest()
+    try:
+        frame = Frame(data)
+        payload = payload_of(frame)
+    except (JpegError, IndexError, KeyError, struct.error):
+        return None, None, None, *own, None, None
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), *own, feature(frame.rgb()), frame.scans
+
+
 def digest(media: DataFrame) -> DataFrame:
-    """Reads stored media back: payload and media digests and the feature of the RGB tensor."""
+    """Reads stored media back: payload and media digests and the feature of the RGB tensor.
+
+    All these are null where ``media`` is null. Bytes that are no JPEG, or one that
+    :func:`store_texts` did not write, give media_bytes and media_sha256 alone.
+    """
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_scans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[list] = [[] for _ in names[2:]]
             for data in batch.column(2):
-                data = data.as_py()
-                frame = Frame(data)
-                payload = payload_of(frame)
-                made = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature(frame.rgb()), frame.scans)
+                made = _digests(data.as_py())
                 for col, v in zip(rows, made, strict=True):
                     col.append(v)
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32()]
