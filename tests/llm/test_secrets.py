@@ -1,5 +1,9 @@
 import hashlib
+import math
 import re
+import time
+
+import pytest
 
 from veilframe.llm import queries, secrets
 
@@ -112,3 +116,13 @@ def test_dictionary_is_bounded_and_by_documents(spark):
     assert secrets.frequent_words(docs) == ["often", "even"] and secrets.frequent_words(docs, 1) == ["often"]
     cost = secrets.GuessCost(["aaa"], ["bbb", "even"])
     assert cost.rank == {"aaa": 1, "bbb": 1, "even": 2}
+
+
+def test_cost_is_linear_in_the_length():
+    """Long runs, walks and words take seconds, not hours; a repeat is as cheap as its unit."""
+    cost = secrets.GuessCost()
+    for text, most in (("a" * 100_000, 40), ("qwertyuiop" * 5_000, 20_000), ("abc123" * 10_000, 40)):
+        began = time.process_time()
+        assert cost(text) < most
+        assert time.process_time() - began < 20
+    assert cost("aaaa") == pytest.approx(min(cost.brute("a") + math.log10(4), 4 * math.log10(26)))

@@ -90,7 +90,11 @@ class GuessCost:
     def segments(self, value: str) -> Iterator[tuple[int, int, str, float]]:
         """Known patterns in a value: (start, end, kind, log10 guesses)."""
         n, low = len(value), value.lower()
+        if len(low) != n:  # a few letters have longer lower forms
+            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
         plain = low.translate(_LEET)
+        periods = [self.period(value, unit) for unit in range(1, min(8, n // 2) + 1)]
+        prices: dict[str, float] = {}
         for i in range(n):
             for j in range(i + 3, min(n, i + self.longest) + 1):
                 rank = self.rank.get(low[i:j])
@@ -110,16 +114,24 @@ class GuessCost:
                     while i + k < n and at + k < len(walk) and walk[at + k] == low[i + k]:
                         k += 1
                     yield i, i + k, "walk", math.log10(10 * len(self.walks) * k)
-            for unit in range(1, min(8, (n - i) // 2) + 1):
-                k = i + unit
-                while value.startswith(value[i : i + unit], k):
-                    k += unit
-                times = (k - i) // unit
+            for unit, same in enumerate(periods, 1):
+                times = 1 + same[i] // unit
                 if times >= (3 if unit == 1 else 2):
-                    yield i, k, "repeat", self.brute(value[i : i + unit]) * unit + math.log10(times)
+                    text = value[i : i + unit]
+                    if text not in prices:
+                        prices[text] = self.brute(text) * unit
+                    yield i, i + times * unit, "repeat", prices[text] + math.log10(times)
+
+    @staticmethod
+    def period(value: str, unit: int) -> list[int]:
+        """For each place, how many characters from there on equal those ``unit`` further on."""
+        out = [0] * (len(value) + 1)
+        for i in range(len(value) - unit - 1, -1, -1):
+            out[i] = out[i + 1] + 1 if value[i] == value[i + unit] else 0
+        return out
 
     def __call__(self, value: str) -> float:
-        """The least cost; O(length x longest pattern) steps."""
+        """The least cost, in steps linear in the length: patterns from one place are bounded in number."""
         n = len(value)
         if not n:
             return 0.0
