@@ -113,6 +113,17 @@ def test_chains_and_groups_without_links(spark, monkeypatch):
     assert got == brute(texts) and 1 < len(set(got.values())) < len(texts)
 
 
+def test_overlaps(monkeypatch):
+    monkeypatch.setattr(neardup, "COLUMNS", 7)
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(-40, 40, rng.integers(0, 60))) for _ in range(9)]
+    got = neardup.overlaps(sets[:4], sets[4:])
+    assert (got == [[len(np.intersect1d(x, y)) for y in sets[4:]] for x in sets[:4]]).all()
+    assert neardup.overlaps(sets[:1], []).shape == (1, 0)
+    data = neardup.bag_bytes((np.array([5, 9], np.uint64), np.array([3, 1])))
+    assert len(set(neardup.tokens_of(data).tolist())) == 4
+
+
 def test_null_ids_and_very_long_texts(spark):
     long = " ".join(f"w{i % 5000}x{i // 7}" for i in range(120_000))
     rows = [(1, long), (2, long + " end"), (None, long), (None, "alone with no id at all here"), (3, "word " * 100_000), (4, "word " * 99_000)]

@@ -7,12 +7,13 @@ slot, the earliest point below its weights, so two documents agree on a slot wit
 of exactly their weighted Jaccard similarity. Points are made in order of arrival and stop once
 none can win, so a signature takes about n + m log m steps.
 
-Bands of slots give buckets. Documents that share one are compared by turns: in each bucket the
-member that shares most buckets is the first pivot, then come sixteen pivots, then 256, and so on,
-until every pair of a bucket was compared or lies in one component. Pairs that cannot be similar
-enough are left out before: by their sizes and, after the first turn, by their items that no other
-open document has. What is compared are bags of hashes, packed into blocks of documents that
-share their largest bucket, so that a block is fetched once for all its pairs.
+Bands of slots give buckets. In each bucket all members are first compared with the one that
+shares most buckets, which links the copies of one text to each other. What is left are pairs of a
+bucket that lie in different components: documents of which a fifth of the shingles occurs in no
+other open document drop out, as they cannot have a partner, and the others are compared block
+by block, each task counting the overlaps of two blocks at once and giving links only. So no pair
+that shares a bucket is given up, and none becomes a row. What is compared are bags of hashes,
+packed into blocks of documents that share their largest bucket.
 """
 
 from __future__ import annotations
@@ -34,9 +35,9 @@ SIMILARITY = 0.8
 BANDS, ROWS = 32, 5
 SLOTS = BANDS * ROWS
 #: A block of bags holds about so many documents, or shingles.
-BLOCK, BLOCK_SHINGLES = 64, 100_000
-#: Pivots of a bucket grow by this factor from turn to turn.
-MORE_PIVOTS = 16
+BLOCK, BLOCK_SHINGLES = 128, 100_000
+#: Shingles that a task lines up at once to count overlaps.
+COLUMNS = 20_000
 #: Tables of ids up to so many rows are broadcast (16 bytes a row); longer ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
 #: Rows of one key of a join that a task takes; more are dealt over salted copies.
@@ -157,9 +158,6 @@ def bag_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, _U64, n), np.frombuffer(data, np.int32, n, 8 * n)
 
 
-PACK = "block long, members array<struct<node:bigint,data:binary>>"
-
-
 def packed(texts: DataFrame) -> DataFrame:
     """``texts`` (block, node, text) as a row a block, with the bags of its documents."""
 
@@ -190,29 +188,56 @@ def similar(lists: DataFrame, least: float) -> DataFrame:
 def verified(pairs: DataFrame, packs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """a, b, ok of pairs (a, b, block_a, block_b): whether the multisets of shingles are similar enough.
 
-    Pairs of the same two blocks make one row. A block that many others meet is dealt out in
-    copies, so that its pairs need not lie in one task.
+    Pairs of the same two blocks make one row.
     """
     swap = F.col("block_a") > F.col("block_b")
     lists = pairs.groupBy(F.least("block_a", "block_b").alias("x"), F.greatest("block_a", "block_b").alias("y")).agg(
         F.collect_list(F.struct(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"))).alias("pairs")
     )
+    met = pairs.select(F.least("block_a", "block_b").alias("x"), F.greatest("block_a", "block_b").alias("y")).distinct()
+    return similar(with_blocks(lists, met, packs), least)
+
+
+def with_blocks(rows: DataFrame, met: DataFrame, packs: DataFrame) -> DataFrame:
+    """``rows`` (x, y, ...) with the members of their blocks as ``one`` and, if x and y differ, ``two``.
+
+    ``met`` lists the distinct (x, y). A block that meets many others is dealt out in copies.
+    """
     salts = {}
     for side in ("x", "y"):
-        met = pairs.select(F.least("block_a", "block_b").alias("x"), F.greatest("block_a", "block_b").alias("y")).where("x <> y").distinct().groupBy(side).agg(F.count("*").alias("c"))
-        salts[side] = met.where(F.col("c") > BLOCK).select(F.col(side), F.ceil(F.col("c") / BLOCK).alias("copies"))
+        count = met.where("x <> y").groupBy(side).agg(F.count("*").alias("c"))
+        salts[side] = count.where(F.col("c") > BLOCK).select(F.col(side), F.ceil(F.col("c") / BLOCK).alias("copies"))
 
-    def with_block(rows: DataFrame, side: str, name: str) -> DataFrame:
+    def joined(rows: DataFrame, side: str, name: str) -> DataFrame:
         other = "y" if side == "x" else "x"
         dealt = rows.join(salts[side], side, "left").withColumn("salt", F.pmod(F.xxhash64(other), F.coalesce("copies", F.lit(1)))).drop("copies")
         copies = packs.select(F.col("block").alias(side), F.col("members").alias(name)).join(salts[side], side, "left")
         copies = copies.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(1)) - 1))).drop("copies")
         return dealt.join(copies, [side, "salt"]).drop("salt")
 
-    none = F.lit(None).cast("array<struct<node:bigint,data:binary>>")
-    inside = lists.where("x = y").join(packs.select(F.col("block").alias("x"), F.col("members").alias("one")), "x").withColumn("two", none)
-    across = with_block(with_block(lists.where("x <> y"), "x", "one"), "y", "two")
-    return similar(inside.select("pairs", "one", "two").unionByName(across.select("pairs", "one", "two")), least)
+    inside = rows.where("x = y").join(packs.select(F.col("block").alias("x"), F.col("members").alias("one")), "x")
+    inside = inside.withColumn("two", F.lit(None).cast(packs.schema["members"].dataType))
+    return inside.unionByName(joined(joined(rows.where("x <> y"), "x", "one"), "y", "two"))
+
+
+def tokens_of(data: bytes) -> np.ndarray:
+    """A bag as a set: the k-th repetition of a shingle is an item of its own."""
+    items, counts = bag_of(data)
+    again = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)  # 0, 1, ... of each item
+    return _mix(np.repeat(items, counts) + again.astype(_U64)).view(np.int64)
+
+
+def repacked(packs: DataFrame, placed: DataFrame) -> DataFrame:
+    """The documents of ``placed`` (node, comp, block) by their new blocks, with their bags as sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = [tokens_of(d.as_py()).tobytes() for d in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(data, pa.binary())], names=["block", "node", "comp", "data"])
+
+    bags = packs.select(F.explode("members").alias("m")).select("m.node", "m.data").join(few(placed.select("node", "comp", "block")), "node")
+    sets = bags.select("block", "node", "comp", "data").mapInArrow(run, "block long, node long, comp long, data binary")
+    return sets.groupBy("block").agg(F.collect_list(F.struct("node", "comp", "data")).alias("members"))
 
 
 def shared_shingles(packs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -221,9 +246,7 @@ def shared_shingles(packs: DataFrame, nodes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for node, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                items, counts = bag_of(data)
-                again = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)  # 0, 1, ... of each item
-                tokens = _mix(np.repeat(items, counts) + again.astype(_U64)).view(np.int64)
+                tokens = tokens_of(data)
                 for at in range(0, len(tokens), 100_000):
                     part = tokens[at : at + 100_000]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), node)), pa.array(part)], names=["node", "token"])
@@ -234,61 +257,123 @@ def shared_shingles(packs: DataFrame, nodes: DataFrame) -> DataFrame:
     return once.groupBy("node").agg(F.count("*").alias("alone"))
 
 
+def overlaps(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """How many items each of the sets ``one`` shares with each of ``two``."""
+    sides = [(np.concatenate([np.zeros(0, np.int64), *sets]), np.repeat(np.arange(len(sets)), [len(x) for x in sets])) for sets in (one, two)]
+    both = np.intersect1d(sides[0][0], sides[1][0])
+    out = np.zeros((len(one), len(two)), np.float64)
+    for at in range(0, len(both), COLUMNS):
+        part, tables = both[at : at + COLUMNS], []
+        for (items, rows), sets in zip(sides, (one, two), strict=True):
+            place = np.searchsorted(part, items)
+            hit = part[np.minimum(place, len(part) - 1)] == items
+            table = np.zeros((len(sets), len(part)), np.float32)
+            table[rows[hit], place[hit]] = 1
+            tables.append(table)
+        out += tables[0] @ tables[1].T
+    return out
+
+
+def block_links(rows: DataFrame, least: float) -> DataFrame:
+    """a, b: links that join all components which pairs of the blocks ``one`` and ``two`` connect."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                one, two = (c[k].as_py() for c in batch.columns)
+                sides = [one, one if two is None else two]
+                sets = [[np.frombuffer(m["data"], np.int64) for m in side] for side in sides]
+                both = overlaps(*sets)
+                n = [np.array([len(x) for x in side], np.float64) for side in sets]
+                good = both / (n[0][:, None] + n[1][None] - both) >= least
+                comps = [np.array([m["comp"] for m in side]) for side in sides]
+                good &= comps[0][:, None] != comps[1][None]
+                root: dict[int, int] = {}
+
+                def find(c: int) -> int:
+                    while (up := root.get(c, c)) != c:
+                        c = up
+                    return c
+
+                found = []
+                for i, j in np.argwhere(good).tolist():
+                    x, y = find(sides[0][i]["comp"]), find(sides[1][j]["comp"])
+                    if x != y:
+                        root[max(x, y)] = min(x, y)
+                        found.append((sides[0][i]["node"], sides[1][j]["node"]))
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return rows.select("one", "two").mapInArrow(run, "a long, b long")
+
+
+def blocks_of(entries: DataFrame) -> DataFrame:
+    """node, block and what else is the same in all of a node's ``entries`` (n, members, key, ...).
+
+    Documents that share their largest bucket share a block, or one of several if they are many.
+    """
+    others = [c for c in entries.columns if c not in ("node", "key", "members")]
+    each = entries.groupBy("node").agg(*(F.max(c).alias(c) for c in others), F.sum("members").alias("rank"), F.max(F.struct("members", "key"))["key"].alias("home"))
+    homes = each.groupBy("home").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
+    block = F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("parts")))
+    return each.join(homes, "home").select("node", "rank", *others, block.alias("block"))
+
+
 def few(df: DataFrame) -> DataFrame:
     """``df``, a table of ids, to be broadcast if it is short enough."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def linked(docs: DataFrame, sketched: DataFrame, scratch: Scratch, least: float) -> tuple[DataFrame, DataFrame | None]:
-    """(text_hash, node) of texts with words, and (node, comp) of those that have links, or None."""
+def dealt(df: DataFrame, by: str) -> DataFrame:
+    """``df`` plus ``salt``, which deals the rows of a large bucket (members) over several keys."""
+    return df.withColumn("salt", F.pmod(F.xxhash64(by), F.floor(F.col("members") / KEY_ROWS) + 1))
+
+
+def copied(df: DataFrame) -> DataFrame:
+    """``df`` once for each salt of its bucket."""
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("members") / KEY_ROWS)))).drop("members")
+
+
+def still_open(entries: DataFrame) -> DataFrame:
+    """Entries of buckets that hold several components."""
+    open_ = entries.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+    return entries.join(open_, "key", "left_semi")
+
+
+def linked(docs: DataFrame, sketched: DataFrame, scratch: Scratch, least: float) -> tuple[DataFrame, DataFrame]:
+    """(text_hash, node) of texts with words, and (node, comp) of those that have links."""
     nodes = sketched.where("doc_id is not null and size(bands) > 0").groupBy("text_hash").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("n", "bands"), "doc_id").alias("s"))
     each = nodes.select("node", "s.n", F.explode("s.bands").alias("key"))
     shared = each.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     entries = scratch.write(each.join(shared, "key"))
-    involved = entries.groupBy("node").agg(F.max("n").alias("n"), F.sum("members").alias("rank"), F.max(F.struct("members", "key"))["key"].alias("home"))
-    homes = involved.groupBy("home").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
-    block = F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("parts")))
-    involved = scratch.write(involved.join(homes, "home").select("node", "rank", block.alias("block")))
+    involved = scratch.write(blocks_of(entries))
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), whole_text().alias("text"))
     packs = scratch.write(packed(texts.join(few(involved.select("node", "block")), "node").dropDuplicates(["node"])))
-    live = entries.join(involved, "node").withColumn("shared", F.col("n"))
-    done = links = comps = None
-    turn, share = 0, least / (1 + least)  # of both sizes, that the overlap must reach
-    while True:
-        now = live.withColumn("comp", F.col("node")) if comps is None else live.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        open_ = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-        now = scratch.write(now.join(open_, "key", "left_semi"))
-        if now.isEmpty():
-            break
-        if turn == 1:
-            alone = shared_shingles(packs.join(few(now.select("block").distinct()), "block", "left_semi"), few(now.select("node").distinct()))
-            now = now.join(alone, "node", "left").withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
-            now = scratch.write(now.where(F.col("shared") >= least * F.col("n")))
-            packs = scratch.write(packs.join(few(now.select("block").distinct()), "block", "left_semi"))
-        group = F.pmod(F.xxhash64("node"), F.lit(MORE_PIVOTS**turn))
-        first = F.max_by(F.struct("node", "n", "shared", "comp", "block", "members"), F.struct("rank", -F.col("node")))
-        pivots = now.groupBy("key", group.alias("group")).agg(first.alias("p")).select("key", "p.*")
-        salts = F.floor(F.col("members") / KEY_ROWS) + 1  # copies of a bucket's pivots, each for a part of its members
-        copies = pivots.select("key", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "shared", "comp", "block")), F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
-        dealt = now.withColumn("salt", F.pmod(F.xxhash64("node"), salts))
-        fits = F.least("shared", "shared_b") >= F.lit(share - 1e-9) * (F.col("n") + F.col("n_b"))
-        pairs = dealt.join(copies, ["key", "salt"]).where((F.col("comp") != F.col("comp_b")) & fits)
-        less = F.col("node") < F.col("node_b")
-        side = lambda c: (F.when(less, F.col(c)).otherwise(F.col(f"{c}_b")), F.when(less, F.col(f"{c}_b")).otherwise(F.col(c)))
-        (a, b), (block_a, block_b) = side("node"), side("block")
-        pairs = pairs.select(a.alias("a"), b.alias("b"), block_a.alias("block_a"), block_b.alias("block_b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = scratch.write(pairs)
-        new = scratch.write(verified(pairs, packs, least))
-        done = new.select("a", "b") if done is None else done.unionByName(new.select("a", "b"))
-        good = new.where("ok").select("a", "b")
-        if not good.isEmpty():
-            links = good if links is None else links.unionByName(good)
-            comps = components(links, scratch.write)
-        # A pivot has met all of its bucket; without it, what is left shrinks until no pair is open.
-        live = now.drop("comp").join(pivots.select("key", "node"), ["key", "node"], "left_anti")
-        turn += 1
+    # First the member of each bucket that shares most buckets, with all others.
+    ranked = entries.join(involved.select("node", "rank", "block"), "node")
+    first = F.max_by(F.struct("node", "n", "block", "members"), F.struct("rank", -F.col("node")))
+    hubs = ranked.groupBy("key").agg(first.alias("h")).select("key", F.col("h.node").alias("node_b"), F.col("h.n").alias("n_b"), F.col("h.block").alias("block_b"), "h.members")
+    near = F.least("n", "n_b") >= F.lit(least - 1e-9) * F.greatest("n", "n_b")
+    met = dealt(ranked, "node").join(copied(hubs), ["key", "salt"]).where((F.col("node") != F.col("node_b")) & near)
+    less = F.col("node") < F.col("node_b")
+    side = lambda c: (F.when(less, F.col(c)).otherwise(F.col(f"{c}_b")), F.when(less, F.col(f"{c}_b")).otherwise(F.col(c)))
+    (a, b), (block_a, block_b) = side("node"), side("block")
+    pairs = scratch.write(met.select(a.alias("a"), b.alias("b"), block_a.alias("block_a"), block_b.alias("block_b")).distinct())
+    links = scratch.write(verified(pairs, packs, least)).where("ok").select("a", "b")
+    comps = components(links, scratch.write)
+    # Then the pairs of a bucket that are in different components.
+    left = scratch.write(still_open(entries.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))))
+    old = involved.select("node", F.col("block").alias("old"))
+    packs = packs.join(few(left.select("node").distinct().join(old, "node").select(F.col("old").alias("block")).distinct()), "block", "left_semi")
+    alone = shared_shingles(packs, few(left.select("node").distinct()))
+    left = left.join(alone, "node", "left").where(F.col("n") - F.coalesce("alone", F.lit(0)) >= F.lit(least - 1e-9) * F.col("n")).drop("alone")
+    left = scratch.write(still_open(left))
+    if not left.isEmpty():
+        placed = scratch.write(blocks_of(left))
+        keyed = left.select("node", "key", "members").join(placed.select("node", "block"), "node").select("key", "members", "block").distinct()
+        other = copied(keyed.withColumnRenamed("block", "y"))
+        met = scratch.write(dealt(keyed, "block").join(other, ["key", "salt"]).where("block <= y").select(F.col("block").alias("x"), "y").distinct())
+        more = block_links(with_blocks(met, met, scratch.write(repacked(packs, placed))), least)
+        comps = components(links.unionByName(scratch.write(more)), scratch.write)
     return nodes.select("text_hash", "node"), comps
 
 
@@ -304,12 +389,9 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     sketched = scratch.write(sketch(docs))
     of_text, comps = linked(docs, sketched, scratch, least)
-    comp = F.col("node")
-    if comps is not None:
-        of_text = of_text.join(comps, "node", "left")
-        comp = F.coalesce("comp", "node")
+    of_text = of_text.join(comps, "node", "left").withColumn("of_text", F.coalesce("comp", "node"))
     # A text without words has no class but its own row's.
-    named = sketched.select("doc_id", "text_hash").join(of_text.select("text_hash", comp.alias("of_text")), "text_hash", "left")
+    named = sketched.select("doc_id", "text_hash").join(of_text.select("text_hash", "of_text"), "text_hash", "left")
     named = scratch.write(named.select("doc_id", F.coalesce("of_text", "doc_id").alias("class_id")))
     sizes = named.groupBy("class_id").agg(F.count("*").alias("class_size"))
     out = stash(named.join(sizes, "class_id", "left").select("doc_id", "class_id", "class_size"))
