@@ -55,6 +55,24 @@ def stash(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Keys with at least this part (one in ...) of all rows are heavy; there are no more of them than that.
+HEAVY = 1000
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """``left`` joined (inner or left) with ``right``, whose ``keys`` are unique, so that no key is a hot one.
+
+    ``weight``, a column of ``right`` that is not returned, is how many rows of ``left`` have the
+    key. Heavy keys are ``HEAVY`` at most and are broadcast; all others are joined by shuffle.
+    Both sides are read more than once, so they should be written tables.
+    """
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    heavy = F.col(weight) * HEAVY >= total
+    hot = F.broadcast(right.where(heavy).drop(weight))
+    rest = left.join(F.broadcast(right.where(heavy).select(*keys)), keys, "left_anti")
+    return left.join(hot, keys).unionByName(rest.join(right.where(~heavy).drop(weight), keys, how))
+
+
 class Scratch:
     """A folder of intermediate tables below the shared folder, for one operator's run."""
 

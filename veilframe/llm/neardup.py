@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, stash, whole_text
+from .common import Scratch, spread_join, stash, whole_text
 from .components import components
 from .wordhash import WordRows
 
@@ -340,8 +340,8 @@ def still_open(entries: DataFrame) -> DataFrame:
 
 
 def linked(docs: DataFrame, sketched: DataFrame, scratch: Scratch, least: float) -> tuple[DataFrame, DataFrame]:
-    """(text_hash, node) of texts with words, and (node, comp) of those that have links."""
-    nodes = sketched.where("doc_id is not null and size(bands) > 0").groupBy("text_hash").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("n", "bands"), "doc_id").alias("s"))
+    """(text_hash, node, copies) of texts with words, and (node, comp) of those that have links."""
+    nodes = sketched.where("doc_id is not null and size(bands) > 0").groupBy("text_hash").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("n", "bands"), "doc_id").alias("s"), F.count("*").alias("copies"))
     each = nodes.select("node", "s.n", F.explode("s.bands").alias("key"))
     shared = each.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     entries = scratch.write(each.join(shared, "key"))
@@ -374,7 +374,7 @@ def linked(docs: DataFrame, sketched: DataFrame, scratch: Scratch, least: float)
         met = scratch.write(dealt(keyed, "block").join(other, ["key", "salt"]).where("block <= y").select(F.col("block").alias("x"), "y").distinct())
         more = block_links(with_blocks(met, met, scratch.write(repacked(packs, placed))), least)
         comps = components(links.unionByName(scratch.write(more)), scratch.write)
-    return nodes.select("text_hash", "node"), comps
+    return nodes.select("text_hash", "node", "copies"), comps
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -389,12 +389,12 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     sketched = scratch.write(sketch(docs))
     of_text, comps = linked(docs, sketched, scratch, least)
-    of_text = of_text.join(comps, "node", "left").withColumn("of_text", F.coalesce("comp", "node"))
-    # A text without words has no class but its own row's.
-    named = sketched.select("doc_id", "text_hash").join(of_text.select("text_hash", "of_text"), "text_hash", "left")
+    of_text = scratch.write(of_text.join(comps, "node", "left").select("text_hash", "copies", F.coalesce("comp", "node").alias("of_text")))
+    # A text without words has no class but its own row's. A text or class may have most rows.
+    named = spread_join(sketched.select("doc_id", "text_hash"), of_text, ["text_hash"], "copies", "left")
     named = scratch.write(named.select("doc_id", F.coalesce("of_text", "doc_id").alias("class_id")))
-    sizes = named.groupBy("class_id").agg(F.count("*").alias("class_size"))
-    out = stash(named.join(sizes, "class_id", "left").select("doc_id", "class_id", "class_size"))
+    sizes = scratch.write(named.groupBy("class_id").agg(F.count("*").alias("class_size"))).withColumn("weight", F.col("class_size"))
+    out = stash(spread_join(named, sizes, ["class_id"], "weight", "left").select("doc_id", "class_id", "class_size"))
     scratch.delete()
     return out
 

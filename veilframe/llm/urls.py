@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import spread_join, stash
 
 #: Fixed values: (verdict, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -59,19 +59,21 @@ def templates(urls: DataFrame) -> DataFrame:
 
     A segment's shape replaces digit runs by ``#``. Children of a node are counted under the
     host and the shapes above; a segment that varies becomes ``*`` (its shape, if that has a
-    ``#``). Counts are aggregated before any join, so a hot host is no hot key.
+    ``#``). A host, a node or a child with most urls is no hot key: its row is broadcast, see
+    :func:`spread_join`.
     """
     shaped = urls.withColumn("segments", F.split(F.regexp_replace("path", r"[0-9]+", "#"), "/"))
-    nodes = shaped.select("host", "path", "n", "segments", F.posexplode("segments").alias("depth", "segment")).withColumn(
-        "above", F.expr("array_join(slice(segments, 1, depth), '/')")
+    nodes = shaped.select("host", "path", "n", "segments", F.posexplode("segments").alias("depth", "segment")).select(
+        "host", "path", "n", "depth", "segment", F.expr("array_join(slice(segments, 1, depth), '/')").alias("above")
     )
-    children = nodes.groupBy("host", "above", "depth", "segment").agg(F.sum("n").alias("n_child"))
-    parents = children.groupBy("host", "above", "depth").agg(F.sum("n_child").alias("n_parent"), F.count("*").alias("kinds"))
+    nodes = stash(nodes)
+    children = stash(nodes.groupBy("host", "above", "depth", "segment").agg(F.sum("n").alias("n_child"), F.count("*").alias("urls")))
+    parents = stash(children.groupBy("host", "above", "depth").agg(F.sum("n_child").alias("n_parent"), F.count("*").alias("kinds"))).withColumn("weight", F.col("kinds"))
     keep = (F.col("kinds") <= FEW_SEGMENTS) | (F.col("n_child") >= LITERAL_SHARE * F.col("n_parent")) | F.col("segment").contains("#")
-    children = children.join(parents, ["host", "above", "depth"]).select(
-        "host", "above", "depth", "segment", F.when(keep, F.col("segment")).otherwise(F.lit("*")).alias("label")
+    children = spread_join(children, parents, ["host", "above", "depth"], "weight").select(
+        "host", "above", "depth", "segment", "urls", F.when(keep, F.col("segment")).otherwise(F.lit("*")).alias("label")
     )
-    labelled = nodes.select("host", "path", "n", "above", "depth", "segment").join(children, ["host", "above", "depth", "segment"])
+    labelled = spread_join(nodes, stash(children), ["host", "above", "depth", "segment"], "urls")
     return labelled.groupBy("host", "path", "n").agg(
         F.expr("array_join(transform(sort_array(collect_list(struct(depth, label))), x -> x.label), '/')").alias("template")
     )
@@ -153,15 +155,16 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """
     split = parts(pages).withColumn("rule", rule_column(rules))
     split = split.withColumn("by_rule", verdict_of_rule(rules))
-    urls = split.groupBy("host", "path", "by_rule").agg(F.count("*").alias("n"))
+    urls = stash(split.groupBy("host", "path", "by_rule").agg(F.count("*").alias("n")))
     tree = templates(urls.groupBy("host", "path").agg(F.sum("n").alias("n")))
     urls = stash(urls.join(tree.drop("n"), ["host", "path"]))
     blocked = F.sum(F.when(F.col("by_rule") == "block", F.col("n")).otherwise(0))
     labelled = F.sum(F.when(F.col("by_rule").isNotNull(), F.col("n")).otherwise(0))
     counts = stash(urls.groupBy("host", "template").agg(blocked.alias("blocked"), labelled.alias("labelled")))
     by_tree = F.when(F.col("purity") >= REJECT_FROM, F.lit("block")).otherwise(F.lit("allow"))
-    judged = purities(counts).select("host", "template", by_tree.alias("by_tree"))
-    of_path = urls.select("host", "path", "template").join(judged, ["host", "template"])
-    return split.join(of_path, ["host", "path"]).select(
+    weights = urls.groupBy("host", "template").agg(F.count("*").alias("urls"))
+    judged = stash(purities(counts).select("host", "template", by_tree.alias("by_tree")).join(weights, ["host", "template"]))
+    of_path = stash(spread_join(urls.select("host", "path", "n", "template"), judged, ["host", "template"], "urls"))
+    return spread_join(split, of_path, ["host", "path"], "n").select(
         "page_id", "host", "path", "rule", F.coalesce("by_rule", "by_tree").alias("verdict"), "template"
     )
