@@ -62,3 +62,12 @@ def test_query_against_sql(spark):
     want = con.sql(rules.ORACLE)
     assert sorted(want.columns) == sorted(got.columns)
     assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(want.fetchall())
+
+
+def test_greedy_order_is_conditional():
+    """The second rule rejects most of what is left, though the third rejects more in all."""
+    a, b, c = (rules.Rule(n, F.lit(True)) for n in "abc")
+    masks = {0b000: 5, 0b101: 50, 0b001: 10, 0b010: 20, 0b100: 1}
+    assert [r.name for r in rules.greedy([a, b, c], masks, [1.0, 1.0, 1.0])] == ["a", "b", "c"]
+    assert [r.name for r in rules.greedy([a, b, c], masks, [100.0, 1.0, 1.0])] == ["c", "b", "a"]
+    assert [r.name for r in rules.greedy([c, b, a], {0: 9}, [2.0, 1.0, 1.0])] == ["b", "a", "c"]
