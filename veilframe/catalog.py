@@ -8,15 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import validators
-from .operators import conversations, detect, mask, metrics, policy, ratelimit, risk, sse, wire
+from .operators import conversations, detect, mask, metrics, policy, ratelimit, risk, sse, transform, wire
+from .plans.intermediate import dealt
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    return dealt(_read(spark, sf_dir, name))
+
+
 def _assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = detect.detect(_read(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    found = detect.detect(_texts(spark, sf_dir).select("doc_id", "lang", "text"))
     return found.withColumn("risk", risk.assess(F.col("detections")))
 
 
@@ -33,15 +38,15 @@ def _found(df: DataFrame, key: str) -> DataFrame:
 
 
 def detect_documents(spark, sf_dir):
-    return _found(detect.detect(_read(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id")
+    return _found(detect.detect(_texts(spark, sf_dir).select("doc_id", "text")), "doc_id")
 
 
 def detect_pages(spark, sf_dir):
-    return _found(detect.detect(_read(spark, sf_dir, "pages").select("page_id", "html"), "html"), "page_id")
+    return _found(detect.detect(_texts(spark, sf_dir, "pages").select("page_id", "html"), "html"), "page_id")
 
 
 def _masked(spark, sf_dir, mode):
-    found = detect.detect(_read(spark, sf_dir, "documents").select(F.col("doc_id").alias("scope_id"), "text"))
+    found = detect.detect(_texts(spark, sf_dir).select(F.col("doc_id").alias("scope_id"), "text"))
     return mask.mask(found, mode, key="demo")
 
 
@@ -168,22 +173,55 @@ def wire_numbers(spark, sf_dir):
 def wire_check(spark, sf_dir):
     none = F.lit(None).cast("array<string>")
     body = F.to_json(F.struct(F.lit("m").alias("model"), F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content"))).alias("messages"), F.lit(64).alias("max_tokens")))
-    made = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("request_id"), body.alias("body"), F.lit("custom").alias("provider"), none.alias("tokens"), none.alias("values"))
+    made = _texts(spark, sf_dir).select(F.col("doc_id").alias("request_id"), body.alias("body"), F.lit("custom").alias("provider"), none.alias("tokens"), none.alias("values"))
     return wire.violations(made)
 
 
 def output_guard(spark, sf_dir):
     """Documents as a provider's answers to their own masked text: all that was masked comes back."""
     rows, table = _masked(spark, sf_dir, "placeholder")
-    pairs = table.where("restore").groupBy("scope_id").agg(F.collect_list(F.struct("replacement", "original")).alias("pairs"))
-    return wire.guard_text(rows.join(pairs, "scope_id", "left"), "masked").select(F.col("scope_id").alias("doc_id"), "guarded")
+    return wire.guard_text(mask.scope_pairs(rows, table), "masked").select(F.col("scope_id").alias("doc_id"), "guarded")
+
+
+def _letters(spark, sf_dir):
+    """A letter for each customer that holds an address, a phone number and a card number."""
+    key = F.col("c_custkey").cast("string")
+    text = F.concat(F.lit("Mail user"), key, F.lit("@example.com, call +7 495 "), F.lpad(key, 7, "0"), F.lit(", card 4111 1111 1111 1111 for "), key, F.lit("."))
+    return _texts(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("scope_id"), F.col("c_mktsegment").alias("tenant"), text.alias("text"))
+
+
+def detect_letters(spark, sf_dir):
+    return _found(detect.detect(_letters(spark, sf_dir)), "c_custkey").select("c_custkey", "entity_type", "start", "end", "confidence", "state")
+
+
+LETTER_POLICY = policy.Policy(
+    (
+        policy.Rule("cards of machinery", 90, "BLOCK", {"entity_type": ("CARD_NUMBER",), "tenant": ("MACHINERY",)}),
+        policy.Rule("phones", 80, "SURROGATE", {"entity_type": ("PHONE",)}, min_risk_score=50),
+        policy.Rule("open addresses", 70, "ALLOW", {"entity_type": ("EMAIL",), "tenant": ("BUILDING",)}),
+        policy.Rule("addresses", 60, "REDACT", {"entity_type": ("EMAIL",), "risk_bucket": ("CRITICAL",)}),
+        policy.Rule("cards", 50, "TOKENIZE", {"entity_type": ("CARD_NUMBER",)}, min_confidence=0.9),
+    )
+)
+
+
+def transform_actions(spark, sf_dir):
+    """Letters under a policy that differs by tenant; a nation's customers share a vault."""
+    rows, _ = transform.transform(_letters(spark, sf_dir), LETTER_POLICY, order="c_custkey", opaque=False)
+    return rows.select("c_custkey", "masked", "error", F.array_join("blocked", ",").alias("blocked"))
+
+
+def restore_letters(spark, sf_dir):
+    """The same letters, with what may be restored restored within its scope."""
+    rows, table = transform.transform(_letters(spark, sf_dir), LETTER_POLICY, order="c_custkey", opaque=False)
+    return mask.restore(rows, table).select("c_custkey", "restored")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         risk_bucket_by_lang, risk_score, detect_documents, detect_pages, mask_semantic, mask_redact, mask_surrogate, rehydrate_roundtrip, validate_numbers, policy_first_match, policy_asserted, public_digest,
         principal_namespace, conversation_trim_count, conversation_trim_chars, turn_count, stream_reassemble, metrics_counts, latency_summary, p95_nearest_rank,
-        sse_frames, rate_limit, vault_budget, vault_collisions, wire_numbers, wire_check, output_guard,
+        sse_frames, rate_limit, vault_budget, vault_collisions, wire_numbers, wire_check, output_guard, detect_letters, transform_actions, restore_letters,
     ]
     return {f.__name__: f for f in found}
 
@@ -198,6 +236,11 @@ _LUHN = " + ".join(
 )
 
 
+#: A letter's number within its nation decides its phone's surrogate; blocked letters count.
+_LETTERS = """select c_custkey, c_mktsegment, cast(c_custkey as varchar) as k, '+1 202-555-' || lpad(cast(n as varchar), 4, '0') || ' ext ' || n as phone
+    from (select *, row_number() over (partition by c_nationkey order by c_custkey) as n from customer)"""
+
+
 def oracle_sql() -> dict[str, str]:
     system = "coalesce(role = 'system', false)"
     return {
@@ -216,6 +259,18 @@ def oracle_sql() -> dict[str, str]:
         "vault_collisions": "select c_nationkey as scope_id, c_mktsegment as replacement, count(distinct c_name) as originals from customer group by all having count(distinct c_name) > 1",
         "wire_numbers": "select event_id as request_id, case when json_type(props, '$.k') in ('BIGINT', 'UBIGINT', 'DOUBLE') then 'unclassified numeric value at $.k' end as violation from events",
         "output_guard": "select doc_id, text as guarded from documents",
+        "detect_letters": """
+            with l as (select c_custkey, length(cast(c_custkey as varchar)) as k, greatest(length(cast(c_custkey as varchar)), 7) as p from customer)
+            select c_custkey, 'EMAIL' as entity_type, cast(5 as bigint) as start, cast(21 + k as bigint) as "end", cast(0.97 as double) as confidence, 'VALID' as state from l
+            union all select c_custkey, 'PHONE', 28 + k, 35 + k + 7, 0.82, 'UNVALIDATED' from l
+            union all select c_custkey, 'CARD_NUMBER', 49 + k, 68 + k, 0.99, 'VALID' from l""",
+        "transform_actions": f"""
+            with l as ({_LETTERS})
+            select c_custkey, case when c_mktsegment <> 'MACHINERY' then 'Mail ' || case when c_mktsegment = 'BUILDING' then 'user' || k || '@example.com' else '[REDACTED_EMAIL]' end || ', call ' || phone || ', card <MG_r_CARD_NUMBER_1> for ' || k || '.' end as masked,
+              case when c_mktsegment = 'MACHINERY' then 'blocked' end as error, case when c_mktsegment = 'MACHINERY' then 'CARD_NUMBER' end as blocked from l""",
+        "restore_letters": f"""
+            with l as ({_LETTERS})
+            select c_custkey, case when c_mktsegment <> 'MACHINERY' then 'Mail ' || case when c_mktsegment = 'BUILDING' then 'user' || k || '@example.com' else '[REDACTED_EMAIL]' end || ', call +7 495 ' || lpad(k, 7, '0') || ', card ' || '4111 1111 1111 1111 for ' || k || '.' end as restored from l""",
         "turn_count": "select conv_id, count(*) filter (role = 'user') as turns, count(*) as messages, cast(coalesce(sum(length(text)), 0) as bigint) as chars from conversations group by conv_id",
         "validate_numbers": f"""
             with n as (select o_orderkey, '4' || lpad(reverse(cast(o_orderkey as varchar)), 15, '0') as card, lpad(cast(o_orderkey as varchar), 10, '0') as inn, lpad(cast(o_orderkey as varchar), 11, '0') as snils from orders)

@@ -6,33 +6,35 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def spans(text: Column, pattern: str, group: int = 0, cue: str = "") -> Column:
+def spans(text: Column, pattern: str, group: int = 0, cue: str = "", gate: str = "") -> Column:
     """array<struct<start, end, value>> of the pattern's leftmost matches.
 
-    ``group`` is 0 or a group at the end of the match. ``cue`` spares texts that cannot match.
+    ``group`` is 0 or a group at the end of the match. ``cue``, a literal, and ``gate``, a pattern
+    that is cheap to look for, spare texts that cannot match. Places come from one running sum.
     """
     rule = F.lit("(?U)" + pattern)
     pieces = F.split(text, "(?U)" + pattern, -1)
-    whole = F.regexp_extract_all(text, rule, F.lit(0))
-    value = F.regexp_extract_all(text, rule, F.lit(group))
-    made = F.transform(
-        F.array(F.struct(pieces.alias("p"), whole.alias("m"), value.alias("v"))),  # bound once
-        lambda x: F.transform(
-            x["v"],
-            lambda v, i: F.struct(
-                (_lengths(x["p"], i + 1) + _lengths(x["m"], i + 1) - F.length(v)).alias("start"),
-                (_lengths(x["p"], i + 1) + _lengths(x["m"], i + 1)).alias("end"),
-                v.alias("value"),
-            ),
-        ),
-    )[0]
-    nothing = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    found = text.isNotNull() & text.contains(cue) if cue else text.isNotNull()
-    return F.when(found, made).otherwise(nothing)
-
-
-def _lengths(parts: Column, n: Column) -> Column:
-    return F.aggregate(F.slice(parts, 1, n), F.lit(0), lambda a, x: a + F.length(x))
+    parts = [pieces.alias("p"), F.regexp_extract_all(text, rule, F.lit(0)).alias("m")]
+    if group:
+        parts.append(F.regexp_extract_all(text, rule, F.lit(group)).alias("v"))
+    nothing = F.array().cast(SPANS)
+
+    def step(a: Column, x: Column) -> Column:
+        value = x["v"] if group else x["m"]
+        at = a["at"] + F.length(x["p"]) + F.length(x["m"])
+        found = F.struct((at - F.length(value)).alias("start"), at.alias("end"), value.alias("value"))
+        return F.when(x["m"].isNull(), a).otherwise(F.struct(at.alias("at"), F.concat(a["out"], F.array(found)).alias("out")))
+
+    made = F.aggregate(F.arrays_zip(*parts), F.struct(F.lit(0).alias("at"), nothing.alias("out")), step, lambda a: a["out"])
+    maybe = text.isNotNull()
+    if cue:
+        maybe = maybe & text.contains(cue)
+    if gate:
+        maybe = maybe & text.rlike("(?U)" + gate)
+    return F.when(maybe, made).otherwise(nothing)
+
+
+SPANS = "array<struct<start:int,end:int,value:string>>"
 
 
 def splice(text: Column, spans: Column) -> Column:

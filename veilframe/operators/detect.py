@@ -20,6 +20,10 @@ def candidates(text: Column, profile: str = "BALANCED") -> Column:
     """Candidates of all recognizers that reach the profile's threshold, in recognizer order."""
     specs = [*P.SECRETS, *P.STRUCTURED, *([P.BARE_PASSPORT] if profile == "STRICT" else []), *P.NETWORK, *P.LEGACY]
     found = [_candidates(text, k, s, profile) for k, s in enumerate(specs)]
+    if P.BARE_PASSPORT in specs:  # not where a labelled passport covers it
+        labelled, bare = (found[k] for k, s in enumerate(specs) if s.entity_type == "PASSPORT")
+        inside = lambda c: F.exists(labelled, lambda p: (p["start"] <= c["start"]) & (c["end"] <= p["end"]))
+        found[specs.index(P.BARE_PASSPORT)] = F.filter(bare, lambda c: ~inside(c))
     return F.filter(F.concat(*found), lambda c: c["confidence"] >= P.THRESHOLDS[profile])
 
 
@@ -40,7 +44,7 @@ def _candidates(text: Column, ordinal: int, spec: P.Spec, profile: str) -> Colum
             confidence.cast("double").alias("confidence"), F.lit(spec.recognizer).alias("recognizer"), state.alias("state"), value.alias("value"),
         )
 
-    out = F.transform(spans(text, spec.pattern, spec.group, spec.cue), one)
+    out = F.transform(spans(text, spec.pattern, spec.group, spec.cue, spec.gate), one)
     if spec.entity_type == "CARD_NUMBER":  # dropped where it touches letters, digits, _ or -
         before = lambda c: F.substring(text, c["start"], F.when(c["start"] > 0, 1).otherwise(0))
         out = F.filter(out, lambda c: ~before(c).rlike(r"(?U)[\p{Alnum}_-]") & ~F.substring(text, c["end"] + 1, 1).rlike(r"(?U)[\p{Alnum}_-]"))
@@ -66,7 +70,9 @@ def merge_equal(found: Column) -> Column:
         merged = F.transform(acc, lambda a: F.when(same(a, c), join(a, c)).otherwise(a))
         return F.when(F.exists(acc, lambda a: same(a, c)), merged).otherwise(F.concat(acc, F.array(c)))
 
-    return F.aggregate(found, F.array().cast(f"array<{DETECTION}>"), step)
+    keys = F.transform(found, lambda c: F.concat_ws(":", c["entity_type"], c["start"], c["end"]))
+    differ = F.size(F.array_distinct(keys)) == F.size(found)
+    return F.when(differ, found).otherwise(F.aggregate(found, F.array().cast(f"array<{DETECTION}>"), step))
 
 
 def priority(entity_type: Column) -> Column:
@@ -90,8 +96,14 @@ def resolve_overlaps(found: Column) -> Column:
         F.array().cast(f"array<{DETECTION}>"),
         lambda acc, c: F.when(F.exists(acc, lambda a: (c["start"] < a["end"]) & (c["end"] > a["start"])), acc).otherwise(F.concat(acc, F.array(c))),
     )
-    by_place = F.transform(kept, lambda c: F.struct(c["start"].alias("a"), c["end"].alias("b"), c["entity_type"].alias("t"), c.alias("it")))
-    return F.transform(F.array_sort(by_place), lambda k: k["it"])
+    # Sorted by start, spans are apart if each ends before the next begins.
+    apart = F.aggregate(_by_place(found), F.struct(F.lit(0).alias("end"), F.lit(True).alias("ok")), lambda a, c: F.struct(c["end"].alias("end"), (a["ok"] & (c["start"] >= a["end"])).alias("ok")), lambda a: a["ok"])
+    return _by_place(F.when(apart, found).otherwise(kept))
+
+
+def _by_place(found: Column) -> Column:
+    placed = F.transform(found, lambda c: F.struct(c["start"].alias("a"), c["end"].alias("b"), c["entity_type"].alias("t"), c.alias("it")))
+    return F.transform(F.array_sort(placed), lambda k: k["it"])
 
 
 def _to_original(found: Column, view: Column, text: Column) -> Column:

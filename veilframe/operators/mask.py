@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.spans import splice
+from ..plans.intermediate import cut
 
 #: Token grammars.
 OPAQUE = r"<MG:[A-Z2-7]{26}>"
 SEMANTIC = r"<MG_[A-Za-z0-9]+_[A-Z_]+_\d+>"
+# Fixed values end.
 
 
 def opaque_token(scope: Column, original: Column, key: str) -> Column:
@@ -24,6 +26,10 @@ def opaque_token(scope: Column, original: Column, key: str) -> Column:
     return F.concat(F.lit("<MG:"), F.translate(F.concat(*groups), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), F.lit(">"))
 
 
+def semantic_token(namespace: str, entity_type: Column, n: Column) -> Column:
+    return F.concat(F.lit(f"<MG_{namespace}_"), entity_type, F.lit("_"), n, F.lit(">"))
+
+
 def surrogate(entity_type: Column, n: Column) -> Column:
     """The ``n``-th synthetic value of a type; types without a template get their name in title case."""
     templates = {
@@ -34,8 +40,8 @@ def surrogate(entity_type: Column, n: Column) -> Column:
         "IP_ADDRESS": F.format_string("198.51.%d.%d", F.floor(n / 254) % 254, n % 254 + 1),
         "DOMAIN": F.format_string("demo-%d.example.test", n),
         "URL": F.format_string("https://example.test/resource/%d", n),
-        "API_KEY": F.format_string("sk-test-maskgate-%024d", n),
-        "FILE_PATH": F.format_string("C:\\MaskGate\\Synthetic\\file-%d.txt", n),
+        "API_KEY": F.format_string("sk-test-synthetic-%024d", n),
+        "FILE_PATH": F.format_string("C:\\Example\\Synthetic\\file-%d.txt", n),
         "MONEY": F.concat(F.lit("$"), F.format_number(n, 0), F.lit(".00")),
         "CARD_NUMBER": F.format_string("0000 0000 %04d %04d", F.floor(n / 10_000), n % 10_000),
         "BANK": F.format_string("Example Bank %d", n),
@@ -56,13 +62,13 @@ def vault(found: DataFrame, mode: str, key: str = "", namespace: str = "r") -> D
     """
     first = found.groupBy("scope_id", F.col("value").alias("original")).agg(F.min_by("entity_type", "pos").alias("entity_type"), F.min("pos").alias("pos"))
     if mode == "placeholder":
-        out = first.withColumn("replacement", opaque_token(F.col("scope_id").cast("string"), F.col("original"), key))
+        out = first.withColumn("replacement", opaque_token(F.coalesce(F.col("scope_id").cast("string"), F.lit("")), F.col("original"), key))
     elif mode == "redact":
         out = first.withColumn("replacement", F.concat(F.lit("[REDACTED_"), "entity_type", F.lit("]")))
     else:
         order = Window.partitionBy("scope_id", "entity_type").orderBy("pos", "original")
         out = first.withColumn("n", F.row_number().over(order))
-        name = F.concat(F.lit(f"<MG_{namespace}_"), "entity_type", F.lit("_"), "n", F.lit(">"))
+        name = semantic_token(namespace, F.col("entity_type"), F.col("n"))
         if mode == "surrogate":
             name = surrogate(F.col("entity_type"), F.col("n"))
         out = out.withColumn("replacement", name)
@@ -70,21 +76,61 @@ def vault(found: DataFrame, mode: str, key: str = "", namespace: str = "r") -> D
 
 
 def mask(df: DataFrame, mode: str = "semantic_placeholder", key: str = "", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows with ``masked``, vault) for ``df`` with scope_id, ``text`` and detections."""
-    found = df.select("scope_id", F.explode("detections").alias("d")).select("scope_id", "d.entity_type", "d.value", F.col("d.start").alias("pos"))
-    table = vault(found, mode, key)
-    maps = table.groupBy("scope_id").agg(F.map_from_entries(F.collect_list(F.struct("original", "replacement"))).alias("by"))
-    spans = F.transform("detections", lambda d: F.struct(d["start"].alias("start"), d["end"].alias("end"), F.col("by")[d["value"]].alias("replacement")))
-    joined = df.join(maps, "scope_id", "left")
-    return joined.withColumn("masked", splice(F.col(text), spans)).drop("by"), table
+    """(rows with ``masked``, vault) for ``df`` with scope_id, ``text`` and detections.
+
+    ``df`` is written once, as detections are read for the vault and for the rows. Detections
+    meet the vault one by one, so a scope with most rows is no row or map of its own. A null
+    scope is a scope. A detection without a replacement is redacted.
+    """
+    rows = cut(df.withColumn("_row", F.monotonically_increasing_id()))
+    found = rows.select("_row", "scope_id", F.explode("detections").alias("d")).select("_row", "scope_id", "d.entity_type", "d.value", F.col("d.start").alias("pos"), "d.start", "d.end")
+    table = cut(vault(found, mode, key))
+    return spliced(rows, replaced(found, table), text).drop("_row"), table
+
+
+def replaced(found: DataFrame, table: DataFrame) -> DataFrame:
+    """_row and ``cuts``: the replacements of its detections from their scope's vault, in text order."""
+    known = table.select(F.col("scope_id").alias("v_scope"), F.col("original").alias("v_original"), "replacement")
+    joined = found.join(known, F.col("scope_id").eqNullSafe(F.col("v_scope")) & (F.col("value") == F.col("v_original")), "left")
+    put = F.coalesce("replacement", F.concat(F.lit("[REDACTED_"), "entity_type", F.lit("]")))
+    return joined.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", "end", put.alias("replacement")))).alias("cuts"))
+
+
+def spliced(rows: DataFrame, cuts: DataFrame, text: str) -> DataFrame:
+    """``rows`` plus ``masked``: the text with its cuts; only rows with detections are joined."""
+    with_any = rows.where(F.size("detections") > 0).join(cuts, "_row", "left")
+    done = with_any.withColumn("masked", splice(F.col(text), F.coalesce("cuts", F.array().cast("array<struct<start:int,end:int,replacement:string>>")))).drop("cuts")
+    others = rows.where(F.coalesce(F.size("detections"), F.lit(0)) <= 0).withColumn("masked", F.col(text))
+    return done.unionByName(others)
+
+
+PAIRS = "array<struct<replacement:string,original:string>>"
+
+
+def scope_pairs(df: DataFrame, table: DataFrame, column: str = "masked") -> DataFrame:
+    """``df`` plus ``pairs``: the restorable replacements of its scope that stand in ``column``.
+
+    Tokens are taken from the text and looked up one by one; surrogates have no grammar, so those
+    of a scope (whose vault has a budget, see :func:`over_budget`) are all tried.
+    """
+    rows = cut(df.withColumn("_row", F.monotonically_increasing_id()))
+    known = table.where("restore").select(F.col("scope_id").alias("v_scope"), "replacement", "original")
+    token = F.col("replacement").rlike(rf"\A(?:{OPAQUE}|{SEMANTIC})\z")
+    used = rows.select("_row", "scope_id", F.explode(F.array_distinct(F.regexp_extract_all(column, F.lit(f"{OPAQUE}|{SEMANTIC}"), F.lit(0)))).alias("used"))
+    by_token = used.join(known.where(token), F.col("scope_id").eqNullSafe(F.col("v_scope")) & (F.col("used") == F.col("replacement")))
+    gathered = F.collect_list(F.struct("replacement", "original"))
+    by_token = by_token.groupBy("_row").agg(gathered.alias("_tokens"))
+    others = known.where(~token).groupBy("v_scope").agg(gathered.alias("_others"))
+    none = F.array().cast(PAIRS)
+    joined = rows.join(by_token, "_row", "left").join(others, F.col("scope_id").eqNullSafe(F.col("v_scope")), "left")
+    return joined.withColumn("pairs", F.concat(F.coalesce("_tokens", none), F.coalesce("_others", none))).drop("_row", "_tokens", "_others", "v_scope")
 
 
 def restore(df: DataFrame, table: DataFrame, column: str = "masked") -> DataFrame:
     """``df`` plus ``restored``: tokens of its scope replaced, the longest first."""
-    pairs = table.where("restore").groupBy("scope_id").agg(F.collect_list(F.struct((-F.length("replacement")).alias("n"), "replacement", "original")).alias("pairs"))
-    joined = df.join(pairs, "scope_id", "left")
-    out = F.aggregate(F.array_sort(F.coalesce("pairs", F.array().cast("array<struct<n:int,replacement:string,original:string>>"))), F.col(column), lambda t, p: F.replace(t, p["replacement"], p["original"]))
-    return joined.withColumn("restored", out).drop("pairs")
+    paired = scope_pairs(df, table, column)
+    longest = F.array_sort(F.transform("pairs", lambda p: F.struct((-F.length(p["replacement"])).alias("n"), p["replacement"].alias("r"), p["original"].alias("o"))))
+    return paired.withColumn("restored", F.aggregate(longest, F.col(column), lambda t, p: F.replace(t, p["r"], p["o"]))).drop("pairs")
 
 
 def injected(text: Column) -> Column:

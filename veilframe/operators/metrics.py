@@ -55,10 +55,19 @@ def quality(expected: DataFrame, predicted: DataFrame) -> DataFrame:
     return out.withColumn("f1", F.when(total == 0, 0.0).otherwise(2 * F.col("precision") * F.col("recall") / total))
 
 
-def principal(authorization: Column) -> Column:
-    """struct<tenant_id, subject_id, method> of an authorization header; the secret is only hashed."""
-    secret = F.when(authorization.rlike(r"(?i)\Abearer .+"), F.substring(authorization, 8, 1 << 20)).otherwise(authorization)
+def principal(authorization: Column, client: Column | None = None) -> Column:
+    """struct<tenant_id, subject_id, method> of an authorization header; the whole secret is only hashed.
+
+    Without a header the caller is local and known by its host (null or empty: ``unknown``).
+    """
+    secret = F.when(authorization.rlike(r"(?is)\Abearer .+"), F.regexp_replace(authorization, r"(?s)\A.{7}", "")).otherwise(authorization)
     sha = F.sha2(secret, 256)
+    host = F.lit(None).cast("string") if client is None else client
+    local = F.sha2(F.coalesce(F.when(host != "", host), F.lit("unknown")), 256)
+    given = F.coalesce(authorization != "", F.lit(False))
+    part = lambda kind, value, at: F.concat(F.lit(f"{kind}:"), F.substring(value, at, 32))
     return F.struct(
-        F.concat(F.lit("credential:"), F.substring(sha, 1, 32)).alias("tenant_id"), F.concat(F.lit("credential:"), F.substring(sha, 33, 32)).alias("subject_id"), F.lit("bearer").alias("method")
+        F.when(given, part("credential", sha, 1)).otherwise("local").alias("tenant_id"),
+        F.when(given, part("credential", sha, 33)).otherwise(part("client", local, 1)).alias("subject_id"),
+        F.when(given, "bearer").otherwise("local").alias("method"),
     )

@@ -16,6 +16,11 @@ class Spec:
     group: int = 0  # 0, or the group that ends the match
     cue: str = ""  # a text without this cannot match
 
+    @property
+    def gate(self) -> str:
+        """A cheap pattern that every text with a match has too; '' if the cue is enough."""
+        return GATES.get((self.recognizer, self.entity_type, self.group, self.cue), "")
+
 
 # Patterns, confidences, classes, priorities and weights that results depend on.
 SECRETS = (
@@ -61,3 +66,24 @@ RISK_WEIGHTS = {
 }
 TRAILING = ".,;:!?)]}>"
 # Fixed values end.
+
+#: Cheap patterns by recognizer, type, group and cue: parts that every match contains.
+_CURRENCY = r"\p{Nd}\s?[UuEeGgRrРрДдЕе\u1C81]"
+GATES = {
+    ("secrets", "CONNECTION_STRING", 0, "://"): r"://[^\s:/@<>\"']+:",
+    ("structured-identifiers", "INN", 1, ""): r"\p{Nd}{10}",
+    ("structured-identifiers", "SNILS", 1, "-"): r"\p{Nd}{3}-\p{Nd}{3}-\p{Nd}{3}",
+    ("structured-identifiers", "IBAN", 0, ""): r"[A-Z]{2}\p{Nd}{2}",
+    ("structured-identifiers", "PASSPORT", 1, ""): r"\p{Nd}{6}",
+    ("network-address", "IP_ADDRESS", 0, ":"): r":[0-9A-Fa-f]{0,4}:",
+    ("legacy-regex", "API_KEY", 0, ""): r"[A-Za-z0-9_-]{15}",
+    ("legacy-regex", "API_KEY", 1, ""): r"[:=]\s*[\"']?[A-Za-z0-9_./+=-]{12}",
+    ("legacy-regex", "FILE_PATH", 0, "/"): r"/[^\s/<>\"']+/",
+    ("legacy-regex", "CARD_NUMBER", 0, ""): r"(?:\p{Nd}[ -]?){12}\p{Nd}",
+    ("legacy-regex", "INN", 1, ""): r"\p{Nd}{10}",
+    ("legacy-regex", "IP_ADDRESS", 0, "."): r"\p{Nd}\.\p{Nd}{1,3}\.",
+    ("legacy-regex", "PHONE", 0, ""): r"\p{Nd}[\p{Nd}\s()\-]{7}",
+    ("legacy-regex", "MONEY", 0, ""): r"[$€£₽]|" + _CURRENCY,
+    ("legacy-regex", "DOMAIN", 0, "."): r"[A-Za-z0-9]\.[A-Za-z0-9]",
+    ("legacy-regex", "PERSON", 0, ""): r"[А-ЯЁ][а-яё'’-]+\s+[А-ЯЁ]",
+}
