@@ -89,3 +89,11 @@ def test_gates_lose_nothing(spark):
         got = df.select(spans(text, s.pattern, s.group, s.cue, s.gate).alias("a"), spans(text, s.pattern, s.group).alias("b")).collect()
         assert all(r["a"] == r["b"] for r in got), s
         assert sum(len(r["a"]) for r in got) > 0, s
+
+
+def test_rewrite_keeps_the_shape(spark):
+    bodies = ['{"a": ["x", {"b.c": "x", "n": 1.5}], "x": null, "j": "[\\"x\\"]"}', "[1]", None, "{}", '{"é": "x"}']
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "request_id long, body string")
+    out = wire.rewrite(df, lambda leaves: leaves.withColumn("new", F.when(F.col("text") == "x", F.concat("keys", F.lit("!")))))
+    got = {r["request_id"]: r["rewritten"] for r in out.collect()}
+    assert got == {0: '{"a":["a!",{"b.c":"a.b\\\\.c!","n":1.5}],"x":null,"j":"[\\"x\\"]"}', 1: None, 2: None, 3: "{}", 4: '{"é":"é!"}'}

@@ -217,11 +217,24 @@ def restore_letters(spark, sf_dir):
     return mask.restore(rows, table).select("c_custkey", "restored")
 
 
+APPROVED, FOREIGN = "<MG:" + "A" * 26 + ">", "<MG:" + "B" * 26 + ">"
+
+
+def guard_answers(spark, sf_dir):
+    """An answer for each order with an approved token, a foreign one and an address of its own making."""
+    key = F.col("o_orderkey").cast("string")
+    said = F.concat(F.lit("order "), key, F.lit(f" for {APPROVED}, not {FOREIGN}, cc who@other.example"))
+    body = F.to_json(F.struct(F.array(F.struct(F.struct(said.alias("content")).alias("message"))).alias("choices"), F.concat(F.lit(f"ref {APPROVED} "), key).alias("note")))
+    pairs = F.array(F.struct(F.lit(APPROVED).alias("replacement"), F.concat(F.lit("user"), key, F.lit("@example.com")).alias("original")))
+    made = _texts(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("request_id"), body.alias("body"), pairs.alias("pairs"))
+    return wire.guard_bodies(made).select("request_id", "rewritten")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         risk_bucket_by_lang, risk_score, detect_documents, detect_pages, mask_semantic, mask_redact, mask_surrogate, rehydrate_roundtrip, validate_numbers, policy_first_match, policy_asserted, public_digest,
         principal_namespace, conversation_trim_count, conversation_trim_chars, turn_count, stream_reassemble, metrics_counts, latency_summary, p95_nearest_rank,
-        sse_frames, rate_limit, vault_budget, vault_collisions, wire_numbers, wire_check, output_guard, detect_letters, transform_actions, restore_letters,
+        sse_frames, rate_limit, vault_budget, vault_collisions, wire_numbers, wire_check, output_guard, detect_letters, transform_actions, restore_letters, guard_answers,
     ]
     return {f.__name__: f for f in found}
 
@@ -259,6 +272,8 @@ def oracle_sql() -> dict[str, str]:
         "vault_collisions": "select c_nationkey as scope_id, c_mktsegment as replacement, count(distinct c_name) as originals from customer group by all having count(distinct c_name) > 1",
         "wire_numbers": "select event_id as request_id, case when json_type(props, '$.k') in ('BIGINT', 'UBIGINT', 'DOUBLE') then 'unclassified numeric value at $.k' end as violation from events",
         "output_guard": "select doc_id, text as guarded from documents",
+        "guard_answers": f"""
+            select o_orderkey as request_id, '{{"choices":[{{"message":{{"content":"order ' || o_orderkey || ' for user' || o_orderkey || '@example.com, not [REDACTED_PROVIDER_TOKEN], cc [REDACTED_PROVIDER_EMAIL]"}}}}],"note":"ref {APPROVED} ' || o_orderkey || '"}}' as rewritten from orders""",
         "detect_letters": """
             with l as (select c_custkey, length(cast(c_custkey as varchar)) as k, greatest(length(cast(c_custkey as varchar)), 7) as p from customer)
             select c_custkey, 'EMAIL' as entity_type, cast(5 as bigint) as start, cast(21 + k as bigint) as "end", cast(0.97 as double) as confidence, 'VALID' as state from l
