@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import validators
-from .operators import conversations, detect, mask, metrics, policy, ratelimit, risk, sse, transform, wire
-from .plans.intermediate import dealt
+from .operators import conversations, detect, evaluation, gateway, mask, metrics, plain, policy, ratelimit, risk, sse, transform, wire
+from .plans.intermediate import dealt, streamed
+from .streaming import restore as stream
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -230,11 +231,130 @@ def guard_answers(spark, sf_dir):
     return wire.guard_bodies(made).select("request_id", "rewritten")
 
 
+def _notes(spark, sf_dir):
+    """A note for each customer with an address, mostly a phone number, and in one segment a card number."""
+    key, segment = F.col("c_custkey").cast("string"), F.col("c_mktsegment")
+    phone = F.when(segment != "BUILDING", F.concat(F.lit(", call +7 495 "), F.lpad(key, 7, "0"))).otherwise("")
+    card = F.when(segment == "MACHINERY", ", card 4111 1111 1111 1111").otherwise("")
+    return _texts(spark, sf_dir, "customer").select("c_custkey", segment, F.concat(F.lit("Mail user"), key, F.lit("@example.com"), phone, card, F.lit(".")).alias("text"))
+
+
+def plain_notes(spark, sf_dir):
+    found = plain.detect(_notes(spark, sf_dir))
+    return found.select("c_custkey", F.explode(plain.entities(F.col("detections"))).alias("e")).select("c_custkey", "e.type", "e.text", F.col("e.start").cast("long").alias("start"), F.col("e.end").cast("long").alias("end"), "e.method")
+
+
+def plain_verdict(spark, sf_dir):
+    rules = plain.actions([{"entity_type": "phone", "action": "redact"}, {"entity_type": "EMAIL", "action": "drop"}])
+    found = plain.detect(_notes(spark, sf_dir)).withColumn("v", plain.verdict(F.col("detections"), rules))
+    return found.select("c_custkey", "v.action", F.array_join("v.blocked", ",").alias("blocked"))
+
+
+def strike_notes(spark, sf_dir):
+    """Notes struck out; some addresses are public, and cards are blocked."""
+    rules = plain.actions([], public={"emails": ["USER1@example.com", " user8@example.com"]})
+    out = plain.strike(_notes(spark, sf_dir), rules)
+    return out.select("c_custkey", "struck", F.col("redactions").cast("long").alias("redactions"), F.array_join("entity_types", ",").alias("entity_types"), F.array_join("blocked", ",").alias("blocked"))
+
+
+def evaluate_notes(spark, sf_dir):
+    """Notes as cases: phones of one segment are not expected, and one segment expects a name that is not found."""
+    key, segment = F.col("c_custkey").cast("string"), F.col("c_mktsegment")
+    one = lambda kind, value, n=0: F.struct(F.lit(kind).alias("type"), value.alias("value"), F.lit(n).alias("occurrence"))
+    none = F.array().cast("array<struct<type:string,value:string,occurrence:int>>")
+    entities = F.concat(
+        F.array(one("EMAIL", F.concat(F.lit("user"), key, F.lit("@example.com")))),
+        F.when(~segment.isin("BUILDING", "MACHINERY"), F.array(one("PHONE", F.concat(F.lit("+7 495 "), F.lpad(key, 7, "0"))))).otherwise(none),
+        F.when(segment == "MACHINERY", F.array(one("CARD_NUMBER", F.lit("4111 1111 1111 1111")))).otherwise(none),
+        F.when(segment == "BUILDING", F.array(one("PERSON", F.lit("M")))).otherwise(none),
+    )
+    return evaluation.evaluate(_notes(spark, sf_dir).select(key.alias("case_id"), F.lit("en").alias("locale"), "text", entities.alias("entities")))
+
+
+def border_checks(spark, sf_dir):
+    key, name = F.col("c_custkey"), F.col("c_name")
+    header = F.when(key % 3 == 0, F.concat(F.lit("bearer "), name)).when(key % 3 == 1, name)
+    client = F.when(key % 2 == 0, F.concat(F.lit("10.0.0."), key.cast("string")))
+    path = F.concat(F.lit("C:\\in box\\"), name, F.lit(" v.2.docx"))
+    conversation = gateway.conversation_id(F.when(key % 2 == 0, F.replace(name, F.lit("#"), F.lit("_"))).otherwise(name))
+    made = _read(spark, sf_dir, "customer").select("c_custkey", gateway.limit_identity(header, client).alias("identity"), gateway.safe_stem(path).alias("stem"), conversation.alias("c"), gateway.too_large(name, 17).alias("too_large"))
+    return made.select("c_custkey", "identity", "stem", "c.id", "c.error", "too_large")
+
+
+_PARTS = {0: '"plain"', 1: '[{"type":"text"},{"type":"Image_URL"}]', 2: '{"type":"screenshot"}', 3: '[{"type":"text","text":"image"}]'}
+_ANSWERS = {
+    0: '{"choices":[{"message":{"role":"assistant","content":"done"}}]}',
+    1: '{"choices":[]}',
+    2: '{"choices":[{"message":{"role":"assistant","content":"a"}},{"message":{"role":"user","content":"b"}}]}',
+    3: '{"choices":[{"message":{"role":"assistant","content":3}}]}',
+    4: '{"choices":[{"message":{"role":"assistant","tool_calls":[{"type":"function","id":"1","function":{"name":"f","arguments":"{}"}},{"type":"function","function":{"name":"f","arguments":"{}"}}]}}]}',
+    5: '{"choices":[{"message":{"role":"assistant","function_call":{"name":"f","arguments":{}}}}]}',
+    6: '{"choices":[{"message":{"role":"assistant","content":null}}]}',
+    7: "no json",
+}
+
+
+def _pick(key, values):
+    out = F.lit(values[0])
+    for k, v in values.items():
+        out = F.when(key % len(values) == k, v).otherwise(out)
+    return out
+
+
+def unsafe_media(spark, sf_dir):
+    body = F.concat(F.lit('{"messages":[{"role":"user","content":"see [image]"},{"role":"user","content":'), _pick(F.col("o_orderkey"), _PARTS), F.lit("}]}"))
+    return _read(spark, sf_dir, "orders").select("o_orderkey", gateway.unsafe_media(body).alias("media"))
+
+
+def response_errors(spark, sf_dir):
+    return _read(spark, sf_dir, "orders").select("o_orderkey", gateway.response_error(_pick(F.col("o_orderkey"), _ANSWERS)).alias("error"))
+
+
+def instruct_conversations(spark, sf_dir):
+    messages = _read(spark, sf_dir, "conversations")
+    token = F.concat(F.lit("<T"), F.col("conv_id").cast("string"), F.lit(">"))
+    said = messages.select("conv_id").distinct().select("conv_id", gateway.instruction(F.array(token, token, F.lit(None).cast("string"))).alias("instruction"))
+    return conversations.instruct(messages, said)
+
+
+def policy_rule_errors(spark, sf_dir):
+    """Parts as the rules of a file, many of which are wrong in one way or another."""
+    key = F.col("p_partkey")
+    words = lambda *w: F.array(*map(F.lit, w))
+    kinds = F.when(key % 5 == 0, words("email", "EMAIL")).when(key % 7 == 0, words("PHONE", "SHOE")).otherwise(words("phone"))
+    low = F.when(key % 11 == 0, 0.9).otherwise(0.2)
+    rules = _read(spark, sf_dir, "part").select(
+        key.alias("position"), F.when(key % 13 == 0, F.lit(" ")).otherwise(F.concat(F.lit("r"), (key % 1000).cast("string"))).alias("id"), key.cast("double").alias("priority"),
+        F.when(key % 17 == 0, "PERMIT").otherwise("TOKENIZE").alias("action"), F.lit("why").alias("reason"), F.lit(None).cast("array<string>").alias("obligations"),
+        F.create_map(F.lit("entity_types"), kinds).alias("conditions"), F.create_map(F.lit("min_confidence"), low, F.lit("max_confidence"), F.lit(0.5)).alias("ranges"),
+    )
+    return policy.rule_errors(rules)
+
+
+TOKEN = "<MG:" + "C" * 26 + ">"
+
+
+def stream_restore(spark, sf_dir):
+    """Messages that begin with a token, streamed in fragments of 16 characters and restored on the way."""
+    schema = _read(spark, sf_dir, "conversations").schema
+    said = spark.readStream.schema(schema).parquet(f"{sf_dir}/conversations.parquet*").where("text is not null")
+    said = said.select("conv_id", "turn", F.concat(F.lit(f"to {TOKEN} "), "text").alias("text"))
+    last = (F.ceil(F.length("text") / 16) - 1).cast("int")
+    cut = said.select("conv_id", "turn", "text", last.alias("last"), F.explode(F.sequence(F.lit(0), last)).alias("seq"))
+    parts = cut.select(
+        F.concat_ws(":", "conv_id", "turn").alias("stream_id"), F.col("seq").cast("long").alias("seq"), F.substring("text", F.col("seq") * 16 + 1, F.lit(16)).alias("fragment"), (F.col("seq") == F.col("last")).alias("done"),
+        F.array(F.struct(F.lit(TOKEN).alias("replacement"), F.lit("mail@example.com").alias("original"))).alias("pairs"),
+    )
+    shown = streamed(stream.restore(parts, None)).withColumnRenamed("text", "fragment")
+    return conversations.reassemble(shown, ("stream_id",))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         risk_bucket_by_lang, risk_score, detect_documents, detect_pages, mask_semantic, mask_redact, mask_surrogate, rehydrate_roundtrip, validate_numbers, policy_first_match, policy_asserted, public_digest,
         principal_namespace, conversation_trim_count, conversation_trim_chars, turn_count, stream_reassemble, metrics_counts, latency_summary, p95_nearest_rank,
         sse_frames, rate_limit, vault_budget, vault_collisions, wire_numbers, wire_check, output_guard, detect_letters, transform_actions, restore_letters, guard_answers,
+        plain_notes, plain_verdict, strike_notes, evaluate_notes, border_checks, unsafe_media, response_errors, instruct_conversations, policy_rule_errors, stream_restore,
     ]
     return {f.__name__: f for f in found}
 
@@ -254,6 +374,11 @@ _LETTERS = """select c_custkey, c_mktsegment, cast(c_custkey as varchar) as k, '
     from (select *, row_number() over (partition by c_nationkey order by c_custkey) as n from customer)"""
 
 
+#: A note's parts.
+_NOTES = """select c_custkey, c_mktsegment as s, 'user' || c_custkey || '@example.com' as email, case when c_mktsegment <> 'BUILDING' then '+7 495 ' || lpad(cast(c_custkey as varchar), 7, '0') end as phone,
+    case when c_mktsegment = 'MACHINERY' then '4111 1111 1111 1111' end as card from customer"""
+
+
 def oracle_sql() -> dict[str, str]:
     system = "coalesce(role = 'system', false)"
     return {
@@ -286,6 +411,41 @@ def oracle_sql() -> dict[str, str]:
         "restore_letters": f"""
             with l as ({_LETTERS})
             select c_custkey, case when c_mktsegment <> 'MACHINERY' then 'Mail ' || case when c_mktsegment = 'BUILDING' then 'user' || k || '@example.com' else '[REDACTED_EMAIL]' end || ', call +7 495 ' || lpad(k, 7, '0') || ', card ' || '4111 1111 1111 1111 for ' || k || '.' end as restored from l""",
+        "plain_notes": f"""
+            with n as ({_NOTES})
+            select c_custkey, 'EMAIL' as type, email as text, cast(5 as bigint) as start, 5 + length(email) as "end", 'regex' as method from n
+            union all select c_custkey, 'PHONE', phone, 5 + length(email) + 7, 12 + length(email) + length(phone), 'regex' from n where phone is not null
+            union all select c_custkey, 'CARD_NUMBER', card, 12 + length(email) + length(phone) + 7, 19 + length(email) + length(phone) + 19, 'regex' from n where card is not null""",
+        "plain_verdict": f"with n as ({_NOTES}) select c_custkey, case when card is not null then 'BLOCK' when phone is not null then 'REDACT' else 'MASK' end as action, case when card is not null then 'CARD_NUMBER' else '' end as blocked from n",
+        "strike_notes": f"""
+            with n as (select *, c_custkey in (1, 8) as p from ({_NOTES}))
+            select c_custkey, case when card is null then 'Mail ' || case when p then email else repeat('█', length(email)) end || case when phone is null then '' else ', call ' || repeat('█', length(phone)) end || '.' end as struck,
+              case when card is null then cast((not p)::int + (phone is not null)::int as bigint) end as redactions, case when card is null then concat_ws(',', case when not p then 'EMAIL' end, case when phone is not null then 'PHONE' end) end as entity_types,
+              case when card is null then '' else 'CARD_NUMBER' end as blocked from n""",
+        "evaluate_notes": f"""
+            with n as ({_NOTES}), c as (
+              select 'EMAIL' as entity_type, count(*) as tp, 0::bigint as fp, 0::bigint as fn from n union all select 'PHONE', count(*) filter (phone is not null and card is null), count(*) filter (card is not null), 0 from n
+              union all select 'CARD_NUMBER', count(*) filter (card is not null), 0, 0 from n union all select 'PERSON', 0, 0, count(*) filter (phone is null) from n),
+            q as (select *, case when tp + fp = 0 then 1.0 else tp::double / (tp + fp) end as precision, case when tp + fn = 0 then 1.0 else tp::double / (tp + fn) end as recall from c where tp + fp + fn > 0)
+            select *, case when precision + recall = 0 then 0.0 else 2 * precision * recall / (precision + recall) end as f1 from q""",
+        "border_checks": """
+            select c_custkey, case when c_custkey % 3 = 2 then 'client:' || case when c_custkey % 2 = 0 then '10.0.0.' || c_custkey else 'unknown' end else 'token:' || sha256(c_name) end as identity,
+              regexp_replace(c_name, '[^A-Za-z0-9_-]', '', 'g') || 'v2' as stem, case when c_custkey % 2 = 0 then replace(c_name, '#', '_') end as id, case when c_custkey % 2 = 1 then 'conversation id' end as error, strlen(c_name) > 17 as too_large from customer""",
+        "unsafe_media": "select o_orderkey, case o_orderkey % 4 when 1 then 'image_url' when 2 then 'screenshot' end as media from orders",
+        "response_errors": """
+            select o_orderkey, case o_orderkey % 8 when 1 then '$.choices: successful response has no choices' when 2 then '$.choices[1].message.role: successful response requires assistant role'
+              when 3 then '$.choices[0].message.content: content must be text, blocks, or null' when 4 then '$.choices[0].message.tool_calls[1]: invalid function tool call'
+              when 5 then '$.choices[0].message.function_call: function name and arguments must be text' when 6 then '$.choices[0].message: message has no supported output' when 7 then '$: expected an object' end as error from orders""",
+        "instruct_conversations": """
+            with p as (select conv_id, coalesce(min(turn) filter (role is distinct from 'system'), max(turn) + 1) as turn from conversations group by conv_id)
+            select conv_id, turn, 1 as part, role, text from conversations
+            union all select conv_id, turn, 0, 'system', 'Privacy instruction: the following tokens represent masked values from the user''s request: <T' || conv_id || '>. Preserve these tokens exactly when referring to the same values. Do not decode, reconstruct, or invent the original values, and do not change token spelling, case, digits, or punctuation.' from p""",
+        "policy_rule_errors": """
+            with r as (select p_partkey as k, row_number() over (partition by case when p_partkey % 13 = 0 then null else p_partkey % 1000 end order by p_partkey) as n from part)
+            select k as position, coalesce('rules[' || k || ']' || case when k % 13 = 0 then '.id must be a non-empty string' when k > 1000000 then '.priority must be between 0 and 1000000' when k % 11 = 0 then '.conditions confidence range is inverted'
+              when k % 5 = 0 then '.conditions.entity_types contains duplicate normalized entity types' when k % 7 = 0 then '.conditions.entity_types contains unknown entity types' when k % 17 = 0 then '.action has an unknown value' end,
+              'duplicate rule id at rules[' || k || ']') as error from r where k > 1000000 or k % 13 = 0 or k % 11 = 0 or k % 5 = 0 or k % 7 = 0 or k % 17 = 0 or n > 1""",
+        "stream_restore": "select conv_id || ':' || turn as stream_id, 'to mail@example.com ' || text as text from conversations where text is not null",
         "turn_count": "select conv_id, count(*) filter (role = 'user') as turns, count(*) as messages, cast(coalesce(sum(length(text)), 0) as bigint) as chars from conversations group by conv_id",
         "validate_numbers": f"""
             with n as (select o_orderkey, '4' || lpad(reverse(cast(o_orderkey as varchar)), 15, '0') as card, lpad(cast(o_orderkey as varchar), 10, '0') as inn, lpad(cast(o_orderkey as varchar), 11, '0') as snils from orders)

@@ -56,3 +56,15 @@ def reassemble(parts: DataFrame, keys: tuple[str, ...] = ("conv_id", "turn")) ->
     """Fragments joined in order of ``seq``."""
     ordered = F.array_sort(F.collect_list(F.struct("seq", "fragment")))
     return parts.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda x: x["fragment"]), "").alias("text"))
+
+
+def instruct(messages: DataFrame, said: DataFrame) -> DataFrame:
+    """``messages`` with an instruction of the system after each conversation's leading ones of the system.
+
+    ``said`` has conv_id and instruction (null: none). Output: conv_id, turn, part, role, text; an
+    instruction (part 0) goes before the message (part 1) of its turn, or after the last turn.
+    """
+    other = F.coalesce(F.col("role") != "system", F.lit(True))
+    places = messages.groupBy("conv_id").agg(F.coalesce(F.min(F.when(other, F.col("turn"))), F.max("turn") + 1).alias("turn"))
+    added = places.join(said.where(F.col("instruction").isNotNull()), "conv_id").select("conv_id", "turn", F.lit(0).alias("part"), F.lit("system").alias("role"), F.col("instruction").alias("text"))
+    return messages.select("conv_id", "turn", F.lit(1).alias("part"), "role", "text").unionByName(added)

@@ -75,19 +75,19 @@ def merge_equal(found: Column) -> Column:
     return F.when(differ, found).otherwise(F.aggregate(found, F.array().cast(f"array<{DETECTION}>"), step))
 
 
-def priority(entity_type: Column) -> Column:
+def priority(entity_type: Column, values: dict[str, int] = P.PRIORITY) -> Column:
     out = F.lit(0)
-    for name, value in P.PRIORITY.items():
+    for name, value in values.items():
         out = F.when(entity_type == name, value).otherwise(out)
     return out
 
 
-def resolve_overlaps(found: Column) -> Column:
+def resolve_overlaps(found: Column, priorities: dict[str, int] = P.PRIORITY) -> Column:
     """Greedy de-overlap by priority, confidence, length and start; the result in text order."""
     keyed = F.transform(
         found,
         lambda c, i: F.struct(
-            (-priority(c["entity_type"])).alias("a"), (-c["confidence"]).alias("b"), (c["start"] - c["end"]).alias("c"), c["start"].alias("d"), i.alias("e"), c.alias("it")
+            (-priority(c["entity_type"], priorities)).alias("a"), (-c["confidence"]).alias("b"), (c["start"] - c["end"]).alias("c"), c["start"].alias("d"), i.alias("e"), c.alias("it")
         ),
     )
     ordered = F.transform(F.array_sort(keyed), lambda k: k["it"])
