@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import adapter_catalog
 from .functions import validators
 from .operators import conversations, detect, evaluation, gateway, mask, metrics, plain, policy, ratelimit, risk, sse, transform, wire
 from .plans.intermediate import dealt, streamed
@@ -356,7 +357,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         sse_frames, rate_limit, vault_budget, vault_collisions, wire_numbers, wire_check, output_guard, detect_letters, transform_actions, restore_letters, guard_answers,
         plain_notes, plain_verdict, strike_notes, evaluate_notes, border_checks, unsafe_media, response_errors, instruct_conversations, policy_rule_errors, stream_restore,
     ]
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in found} | adapter_catalog.queries()
 
 
 def _sum(text: str, weights: list[int]) -> str:
@@ -474,4 +475,4 @@ def oracle_sql() -> dict[str, str]:
         "p95_nearest_rank": """
             with r as (select event_type as label, value, row_number() over (partition by event_type order by value) - 1 as i, count(*) over (partition by event_type) as n from events where value is not null)
             select label, n, value from r where i = round_even((n - 1) * 0.95, 0)""",
-    }
+    } | adapter_catalog.oracle_sql()
