@@ -1,6 +1,7 @@
 import math
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -75,3 +76,16 @@ def test_clashing_columns_and_few_ranges(spark):
     assert Counter((r["doc_id"], r["text"]) for r in got) == Counter((r["doc_id"], r["text"]) for r in want)
     assert all(r[n] == f"own {n}" for r in got for n in names)
     assert mixing.schedule(more).columns == ["doc_id", "source", "text", *names[1:], *mixing.MIX]
+
+
+@pytest.mark.parametrize("target", [0.5, 1.0])
+def test_rows_against_sql(spark, tmp_path, target):
+    rows = [(i, None if i % 50 == 7 else "hot", "w " * (i % 9)) for i in range(300)] + [(i, "small", "one two three") for i in range(300, 312)] + [(400, "none", ""), (401, "none", None), (None, "small", "x y")]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents"))
+    docs = spark.read.parquet(str(tmp_path / "documents"))
+    got = mixing.schedule(docs, target, 3.0, 40).select("doc_id", "mix_source", "mix_tokens", "mix_epoch", "mix_block", "mix_key").collect()
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents/*.parquet'")
+    want = con.sql(mixing.oracle(target, 3.0, 40)).fetchall()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    assert max(r["mix_epoch"] for r in got) > 0

@@ -1,3 +1,4 @@
+import duckdb
 from pyspark.sql import functions as F
 
 from veilframe.llm import queries, urls
@@ -82,3 +83,15 @@ def test_rejects_on_the_real_table(spark):
     got = queries.op7_urls(spark, "/root/testdata/sf0.1").where(F.col("rule").isNull())
     n = {r["verdict"]: r["count"] for r in got.groupBy("verdict").count().collect()}
     assert n.get("block", 0) > 0 and n.get("allow", 0) > 0
+
+
+def test_rows_against_sql(spark, tmp_path):
+    hosts = ["a.net", "b.net", "example.com", "x.example.com", "d.org", "shop.io", "img.shop.io"]
+    rows = [(i, f"https://{hosts[i % 7]}/{'de' if i % 3 else 'fr'}/item-{i % 40}/{'pqrstuvwxyz'[i % 11]}{i}?q={i}") for i in range(1500)]
+    rows += [(None, None), (2000, ""), (2001, "no scheme"), (2002, "x://HOST"), (2003, "x://h//a//"), (2004, f"x://h/{'a/' * 50}")] * 2
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(str(tmp_path / "pages"))
+    got = urls.judge(spark.read.parquet(str(tmp_path / "pages"))).select("page_id", "host", "path", "rule", "verdict", "template").collect()
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages/*.parquet'")
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, con.sql(urls.oracle()).fetchall()))
+    assert {(r["rule"] is None, r["verdict"]) for r in got} == {(a, b) for a in (True, False) for b in ("allow", "block")}

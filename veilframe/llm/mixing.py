@@ -163,3 +163,38 @@ def mixed(docs: DataFrame, **settings) -> DataFrame:
     """The columns of ``docs`` alone, a row for each showing."""
     shown, columns = _showings(docs, **settings)
     return shown.select(*[c.alias(n) for n, c in columns])
+
+
+def oracle(target: float = ENTROPY, most: float = REPETITIONS, block_tokens: int = BLOCK_TOKENS) -> str:
+    """SQL for the rows of query op1_mixing over ``documents``."""
+    raw = "list_transform(ns, lambda x: pow(x / top, {a}))"
+    w = f"list_transform({raw}, lambda v: v / list_sum({raw}))"
+    entropy_of = f"-list_sum(list_transform({w}, lambda v: v * ln(v)))"
+    # With shares w of sources of n tokens, the budget is max(n / w) and a source's repetitions are budget * w / n.
+    over = "list_transform(range(1, len(ns) + 1), lambda i: {w}[i] / ns[i])".replace("{w}", w)
+    repeats = f"list_max({over}) / list_min({over})"
+
+    def steps(name: str, exponent: str, fits: str) -> str:
+        at = lambda a: fits.replace("{a}", exponent.replace("{x}", a))
+        mid = "((low + high) / 2)"
+        return f"""{name}(i, low, high) as (select 0, 0::double, case when {at('0::double')} then 0::double else 1::double end from l
+              union all select i + 1, case when {at(mid)} then low else {mid} end, case when {at(mid)} then {mid} else high end from {name}, l where i < {BISECTIONS})"""
+
+    return f"""
+        with recursive d as (select doc_id, coalesce(source, '') as source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) as n_tokens,
+          ('0x' || substr(md5('block:' || coalesce(cast(doc_id as varchar), '')), 1, 7))::bigint as fine from documents),
+        t as (select source, cast(sum(n_tokens) as bigint) as total from d group by source),
+        l as (select list(total::double) filter (total > 0) as ns, max(total)::double as top, {target} * ln(count(*) filter (total > 0)) as goal from t),
+        {steps("flat", "(1 - {x})", f"{entropy_of} >= goal - 1e-12")},
+        {steps("seldom", "{x}", f"{repeats} <= {most} + 1e-12")},
+        x as (select greatest(1 - (select high from flat where i = {BISECTIONS}), (select high from seldom where i = {BISECTIONS})) as a),
+        v as (select source, total, case when total > 0 then pow(total / top, a) / list_sum({raw.format(a="a")}) else 0 end as w from t, l, x),
+        b as (select *, greatest(total, cast(floor(max(total / w) filter (total > 0) over () * w + 1e-6) as bigint)) as budget, greatest(1, (total + {block_tokens - 1}) // {block_tokens}) as blocks from v),
+        p as (select d.*, fine % blocks as block from d join b using (source)),
+        s as (select source, block, cast(sum(n_tokens) as bigint) as size from p group by all),
+        e as (select *, unnest(range(0, 1 + case when total > 0 then (budget - 1) // total else 0 end)) as epoch from s join b using (source)),
+        r as (select *, budget - epoch * total - coalesce(sum(size) over (partition by source, epoch order by md5('epoch:' || epoch || ':' || source || ':' || block), block rows between unbounded preceding and 1 preceding), 0) as room from e),
+        k as (select source, block, epoch, size, room, cast((budget - room) * {SCALE}::hugeint // greatest(budget, 1) as bigint) as mix_key from r where room > 0 or size = 0),
+        o as (select doc_id, source, n_tokens, epoch, block, mix_key, size <= room as whole, room,
+          sum(n_tokens) over (partition by source, block, epoch order by md5('doc:' || epoch || ':' || coalesce(cast(doc_id as varchar), '')), doc_id rows unbounded preceding) as upto from p join k using (source, block))
+        select doc_id, source, n_tokens, epoch, block, mix_key from o where whole or upto <= room"""

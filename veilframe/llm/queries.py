@@ -87,4 +87,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_rules": rules.ORACLE}
+    return {"op1_mixing": mixing.oracle(), "op5_rules": rules.ORACLE, "op7_urls": urls.oracle()}

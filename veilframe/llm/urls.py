@@ -168,3 +168,40 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     return spread_join(split, of_path, ["host", "path"], "n").select(
         "page_id", "host", "path", "rule", F.coalesce("by_rule", "by_tree").alias("verdict"), "template"
     )
+
+
+def oracle(rules=RULES) -> str:
+    """SQL for the rows of query op7_urls over ``pages``."""
+    longest = sorted(rules, key=lambda r: -len(r[1] + r[2]))
+    fits = " ".join(f"when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}') then '{h + p}'" for _, h, p in longest)
+    verdicts = " ".join(f"when '{h + p}' then '{v}'" for v, h, p in rules)
+    step = f"{{'b': (x.b + {SMOOTHING}::double * p.b) / (x.l + {SMOOTHING}::double), 'l': x.l}}"
+    return f"""
+        with p as (select page_id, translate(regexp_extract(coalesce(url, ''), '(?s)://([^/?#]*)([^?#]*)', 1), '{_UPPER}', '{_LOWER}') as host, regexp_extract(coalesce(url, ''), '(?s)://([^/?#]*)([^?#]*)', 2) as path from pages),
+        ruled as (select *, case {fits} end as rule, case rule {verdicts} end as by_rule from p),
+        u as (select host, path, by_rule, count(*) as n from ruled group by all),
+        seg as (select host, path, sum(n) as n, string_split(regexp_replace(path, '[0-9]+', '#', 'g'), '/') as s from u group by host, path),
+        deep as (select *, unnest(range(0, len(s))) as depth from seg),
+        nodes as (select host, path, n, depth, s[depth + 1] as segment, coalesce(array_to_string(s[1:depth], '/'), '') as above from deep),
+        children as (select host, above, depth, segment, sum(n) as n_child from nodes group by all),
+        labels as (select *, case when count(*) over w <= {FEW_SEGMENTS} or n_child >= {LITERAL_SHARE}::double * sum(n_child) over w or contains(segment, '#') then segment else '*' end as label from children window w as (partition by host, above, depth)),
+        tree as (select host, path, string_agg(label, '/' order by depth) as template from nodes join labels using (host, above, depth, segment) group by host, path),
+        counts as (select host, template, cast(coalesce(sum(n) filter (by_rule = 'block'), 0) as double) as b, cast(coalesce(sum(n) filter (by_rule is not null), 0) as double) as l from u join tree using (host, path) group by host, template),
+        many as (select *, unnest(range(1, len(string_split(template, '/')))) as depth from counts),
+        branches as (select host, template, b, l, depth, array_to_string(list_transform(string_split(template, '/'), lambda x, i: case when i = depth + 1 then '*' else x end), '/') as branch from many),
+        pooled as (select host, depth, branch, sum(b) as pb, sum(l) as pl, count(*) as k from branches where l > 0 group by all),
+        chi as (select host, depth, branch, pb, pl, k, sum(case when b > 0 and b < l then pow(b - l * (pb / pl), 2) / (l * (pb / pl) * (1 - pb / pl)) else 0 end) as chi from branches join pooled using (host, depth, branch) where l > 0 group by all),
+        alike as (select host, depth, branch, pb, pl from chi where k > 1 and chi <= k - 1 + 3 * sqrt(2.0 * (k - 1))),
+        pool as (select host, template, max_by({{'b': pb, 'l': pl}}, depth) as pool from branches join alike using (host, depth, branch) group by host, template),
+        hosts as (select host, sum(b) as b, sum(l) as l, string_split(host, '.') as s from counts group by host),
+        parents as (select host, b, l, i, array_to_string(s[len(s) - i + 1:], '.') as node from (select *, unnest(range(1, len(s) + 1)) as i from hosts)),
+        of_parent as (select node, sum(b) as b, sum(l) as l from parents where l > 0 group by node),
+        wide as (select host, list({{'b': coalesce(o.b, 0), 'l': coalesce(o.l, 0)}} order by i) as wide from parents left join of_parent o using (node) group by host),
+        above as (select host, template, b, l, i, array_to_string(string_split(template, '/')[1:i], '/') as node from (select *, unnest(range(1, len(string_split(template, '/')) + 1)) as i from counts)),
+        of_node as (select host, node, sum(b) as b, sum(l) as l from above where l > 0 group by host, node),
+        near as (select host, template, list({{'b': coalesce(o.b, 0), 'l': coalesce(o.l, 0)}} order by i) as near from above left join of_node o using (host, node) group by host, template),
+        nested as (select host, template, {{'b': b, 'l': l}} as own, pool, list_concat(wide, near, [{{'b': b, 'l': l}}]) as x from counts join wide using (host) join near using (host, template) left join pool using (host, template)),
+        share as (select sum(b) / greatest(sum(l), 1) as share from counts),
+        steps as (select host, template, list_concat([{{'b': share, 'l': 0::double}}], list_transform(range(1, len(x)), lambda i: {{'b': x[i].b - x[i + 1].b, 'l': x[i].l - x[i + 1].l}}), [coalesce(pool, own)]) as steps from nested, share),
+        judged as (select host, template, list_reduce(steps, lambda p, x: {step}).b as purity from steps)
+        select page_id, host, path, rule, coalesce(by_rule, case when purity >= {REJECT_FROM} then 'block' else 'allow' end) as verdict, template from ruled join tree using (host, path) join judged using (host, template)"""
