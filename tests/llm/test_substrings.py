@@ -67,3 +67,10 @@ def test_no_ids_and_empty(spark):
 def test_query(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
     compare(queries.op8_substrings(spark, "/root/testdata/sf0.001").collect(), [(r["doc_id"], r["text"]) for r in docs])
+
+
+def test_outlying_ids(spark):
+    passage = "a passage that many documents share, of more than fifty bytes, in ranges of ids that differ in width. "
+    texts = [(i, f"{i * 7919} {passage[i % 20 :]}") for i in range(200)] + [(2**62, passage), (-(2**62), passage[5:80]), (2**62 + 1, passage + "x")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    compare(substrings.remove_repeats(docs).collect(), texts)

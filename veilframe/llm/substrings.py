@@ -38,8 +38,8 @@ CHOICE = LENGTH - GRAM + 1
 BATCH_BYTES = 4_000_000
 #: Bytes of input for each bucket of anchors, and the least number of buckets.
 BUCKET_BYTES, LEAST_BUCKETS = 24_000_000, 16
-#: Id ranges that come in order.
-RANGES = 8
+#: Id ranges that come in order, of about as many documents each (quantiles to this error).
+RANGES, RANGE_ERROR = 8, 0.01
 _U64 = np.uint64
 _STRETCH = CHOICE + LENGTH - 1
 _OUT = "bucket int, part int, doc_id long, blob binary"
@@ -211,7 +211,7 @@ def _stretches(data: np.ndarray, at: np.ndarray, count: np.ndarray) -> np.ndarra
     return np.ascontiguousarray(cells).view(f"S{_STRETCH}").ravel()
 
 
-def _deal_stretches(buckets: int, low: int, width: int):
+def _deal_stretches(buckets: int, bounds: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _batches(batches, 1):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -233,7 +233,7 @@ def _deal_stretches(buckets: int, low: int, width: int):
             rows = list(_by_doc(doc[over], first[over].astype(np.uint32), end[over].astype(np.uint32), spread=buckets))
             doc, first, count, h, text = doc[~over], first[~over], count[~over], h[~over], text[~over]
             bucket = (h % _U64(buckets)).astype(np.int64)
-            part = np.clip((doc - low) // width, 0, RANGES - 1)
+            part = np.searchsorted(bounds, doc, "right")
             code = bucket * RANGES + part
             order = np.argsort(code, kind="stable")
             for k in np.split(order, np.flatnonzero(np.diff(code[order])) + 1):
@@ -381,14 +381,13 @@ def repeated_spans(docs: DataFrame, copies: DataFrame) -> DataFrame:
     """doc_id and blobs of spans, for the documents that have any; ``copies`` stay out."""
     usable = raw_texts(docs).where("doc_id is not null")
     plain = usable.join(copies.hint("merge"), "doc_id", "left").where("copy is null").select("doc_id", "raw")
-    total, low, high = docs.select(F.sum(F.octet_length("text")), F.min("doc_id"), F.max("doc_id")).first()
+    shares = F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)])
+    total, bounds = docs.select(F.sum(F.octet_length("text")), F.percentile_approx(F.col("doc_id").cast("long"), shares, F.lit(int(1 / RANGE_ERROR)))).first()
     buckets = max(LEAST_BUCKETS, int(total or 0) // BUCKET_BYTES)
-    low, high = int(low or 0), int(high or 0)
-    width = max(1, -(-(high - low + 1) // RANGES))
     dealt = plain.mapInArrow(_deal_anchors(buckets), _OUT).repartition(buckets, "bucket").sortWithinPartitions("bucket", "part")
     places = dealt.mapInArrow(_shared_anchors, _OUT).groupBy("doc_id").agg(F.collect_list("blob").alias("places"))
     around = usable.join(places.hint("merge"), "doc_id").select("doc_id", "raw", "places")
-    dealt = around.mapInArrow(_deal_stretches(buckets, low, width), _OUT).repartition(buckets, "bucket").sortWithinPartitions("bucket", "part")
+    dealt = around.mapInArrow(_deal_stretches(buckets, sorted(bounds or [])), _OUT).repartition(buckets, "bucket").sortWithinPartitions("bucket", "part")
     return dealt.mapInArrow(_spans, _OUT).groupBy("doc_id").agg(F.collect_list("blob").alias("spans"))
 
 
