@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import spread_join, stash, whole_text
 
 LENGTH = 50
 GRAM = 24
@@ -372,9 +372,10 @@ def raw_texts(docs: DataFrame) -> DataFrame:
 
 def whole_copies(docs: DataFrame) -> DataFrame:
     """doc_id, copy (true) of the documents whose whole text a smaller one has."""
-    sums = raw_texts(docs).where("doc_id is not null and octet_length(raw) >= 50").select("doc_id", F.md5("raw").alias("sum"))
-    first = sums.groupBy("sum").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    return sums.join(first, "sum").where("doc_id > first").groupBy("doc_id").agg(F.lit(True).alias("copy"))
+    sums = stash(raw_texts(docs).where("doc_id is not null and octet_length(raw) >= 50").select("doc_id", F.md5("raw").alias("sum")))
+    first = stash(sums.groupBy("sum").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last"))
+    # One text may have most of the rows.
+    return stash(spread_join(sums, first, ["sum"], "n").where("doc_id > first").groupBy("doc_id").agg(F.lit(True).alias("copy")))
 
 
 def repeated_spans(docs: DataFrame, copies: DataFrame) -> DataFrame:
