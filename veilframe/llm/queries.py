@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, neardup, packing, quality, rules, secrets, substrings, toxicity, urls
+from . import media, mixing, neardup, packing, phrases, quality, rules, secrets, substrings, toxicity, urls
 from .common import held_out, table
 
 
@@ -81,10 +81,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_mixing, op2_secrets, op3_neardup, op4_quality, op5_rules, op6_media, op7_urls, op8_substrings, op9_packing, op10_toxicity]
+    found = [op1_mixing, op2_secrets, op3_neardup, op4_quality, op5_rules, op6_media, op7_urls, op8_substrings, op9_packing, op10_toxicity, op13_phrases]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.oracle(), "op5_rules": rules.ORACLE, "op7_urls": urls.oracle()}
+    return {"op1_mixing": mixing.oracle(), "op5_rules": rules.ORACLE, "op7_urls": urls.oracle(), "op13_phrases": phrases.ORACLE}
