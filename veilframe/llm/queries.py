@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, neardup, packing, phrases, quality, rules, secrets, substrings, topk, toxicity, urls
+from . import media, mixing, neardup, packing, phrases, quality, repair, rules, secrets, substrings, topk, toxicity, urls
 from .common import held_out, table
 
 
@@ -85,14 +85,18 @@ def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(table(spark, sf_dir, "conversations"))
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_mixing, op2_secrets, op3_neardup, op4_quality, op5_rules, op6_media, op7_urls, op8_substrings, op9_packing, op10_toxicity, op11_topk, op13_phrases]
+    found = [op1_mixing, op2_secrets, op3_neardup, op4_quality, op5_rules, op6_media, op7_urls, op8_substrings, op9_packing, op10_toxicity, op11_topk, op12_repair, op13_phrases]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.oracle(), "op5_rules": rules.ORACLE, "op7_urls": urls.oracle(), "op11_topk": topk.ORACLE, "op13_phrases": phrases.ORACLE}
+    return {"op1_mixing": mixing.oracle(), "op5_rules": rules.ORACLE, "op7_urls": urls.oracle(), "op11_topk": topk.ORACLE, "op12_repair": repair.oracle(), "op13_phrases": phrases.ORACLE}
