@@ -39,7 +39,7 @@ def rows_of(seed):
     return [*rows, *[rows[0]] * 30, (None, "en"), ("", None), (" . ", "xx"), ("solo", "yy")]
 
 
-@pytest.mark.parametrize("bits", [64, 9])
+@pytest.mark.parametrize("bits", [phrases.BITS, 9])
 def test_against_brute_force(spark, bits):
     """With 9 bits nearly all fingerprints collide, and everything is counted by text."""
     rows = rows_of(bits)

@@ -37,7 +37,7 @@ FILTER_BITS = 1 << 26
 #: Pointers to texts are broadcast up to this many phrases, beyond that joined by shuffle.
 BROADCAST_ROWS = 500_000
 #: Bytes of text that are hashed together; a longer word is taken whole.
-SLICE = 1 << 20
+SLICE = 1 << 19
 #: Fingerprints that a task gathers before it adds up equal ones, and gives them away if still so many.
 GATHER = 1 << 21
 
@@ -50,7 +50,10 @@ _KIND = np.zeros(256, np.uint8)
 _KIND[[0x20, 0x09]] = 1
 _KIND[[*b".,;:!?", *range(0x0A, 0x0E)]] = 2
 
-COUNTED = "n byte, fp long, fp2 int, c long, doc long"
+#: Bits of a fingerprint, and of each half of a mark: the second fingerprint above, the hash of a
+#: text that has the phrase below. Bytes that are always zero cost nothing in a compressed shuffle.
+BITS, HALF = 56, 24
+COUNTED = "fp long, c long, mark long"
 NAMED = "n byte, fp long, lang string, phrase string, c long"
 
 
@@ -113,7 +116,7 @@ class Words:
 class Grams:
     """Fingerprints of n-grams. ``bits`` keeps only so many of them, for tests of collisions."""
 
-    def __init__(self, longest: int, bits: int = 64):
+    def __init__(self, longest: int, bits: int = BITS):
         self.longest, self.mask = longest, np.uint64((1 << bits) - 1)
         self.bytes = Powers(_BASE), Powers(_BASE2, _PRIME)
         self.words = Powers(_WORD_BASE), Powers(_WORD_BASE2, _PRIME)
@@ -203,20 +206,19 @@ class Tally:
         self.parts: list[list[np.ndarray]] = []
         self.size = 0
 
-    def add(self, n: int, fp: np.ndarray, fp2: np.ndarray, doc: np.ndarray, c: np.ndarray | None = None) -> None:
+    def add(self, fp: np.ndarray, fp2: np.ndarray, doc: np.ndarray, c: np.ndarray | None = None) -> None:
         if len(fp):
-            self.parts.append([np.full(len(fp), n, np.int8), fp, fp2.astype(np.int32), np.ones(len(fp), np.int64) if c is None else c, doc])
+            self.parts.append([fp, np.ones(len(fp), np.int64) if c is None else c, (fp2.astype(np.int64) & (1 << HALF) - 1) << HALF | doc])
             self.size += len(fp)
 
     def summed(self) -> pa.RecordBatch:
-        n, fp, fp2, c, doc = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        fp, c, mark = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         order = np.argsort(fp, kind="stable")
-        n, fp, fp2, c, doc = (x[order] for x in (n, fp, fp2, c, doc))
-        new = np.flatnonzero(np.concatenate([[True], (fp[1:] != fp[:-1]) | (fp2[1:] != fp2[:-1]) | (n[1:] != n[:-1])]))
-        self.parts = [[n[new], fp[new], fp2[new], np.add.reduceat(c, new), doc[new]]]
-        self.size = len(new)
-        n, fp, fp2, c, doc = self.parts[0]
-        return pa.RecordBatch.from_arrays([pa.array(n), pa.array(fp.view(np.int64)), pa.array(fp2), pa.array(c), pa.array(doc)], names=["n", "fp", "fp2", "c", "doc"])
+        fp, c, mark = (x[order] for x in (fp, c, mark))
+        new = np.flatnonzero(np.concatenate([[True], (fp[1:] != fp[:-1]) | (mark[1:] >> HALF != mark[:-1] >> HALF)]))
+        fp, c, mark = fp[new], np.add.reduceat(c, new), mark[new]
+        self.parts, self.size = [[fp, c, mark]], len(new)
+        return pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(c), pa.array(mark)], names=["fp", "c", "mark"])
 
     def give(self) -> Iterator[pa.RecordBatch]:
         """All of it, if it is still long once added up."""
@@ -228,17 +230,18 @@ class Tally:
 
 
 def texts_of(docs: DataFrame) -> DataFrame:
-    """text (bytes), lang and ``doc``, a hash of both, of every row."""
+    """text (bytes), lang and ``doc``, bits of a hash of both, of every row."""
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und")) if "lang" in docs.columns else F.lit("und")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.encode(text, "UTF-8").alias("text"), lang.alias("lang"), F.xxhash64(lang, text).alias("doc"))
+    return docs.select(F.encode(text, "UTF-8").alias("text"), lang.alias("lang"), F.xxhash64(lang, text).bitwiseAND(F.lit((1 << HALF) - 1).cast("long")).alias("doc"))
 
 
 def count(texts: DataFrame, sizes: tuple[int, ...], kept, least: int, bits: int) -> DataFrame:
-    """n, fp, c, doc, low, high of the fingerprints of n-grams that occur ``least`` times.
+    """fp, c, low, high (least and greatest mark) of the fingerprints of n-grams that occur ``least`` times.
 
     ``kept`` (n, broadcast bitmap): all n-grams of that length in a longer one must pass it. With
     size 1 every language counts as a phrase of no words that occurs as often as its words.
+    A mark is 8 bytes, as the rows of rare n-grams are most of what is shuffled.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,14 +265,15 @@ def count(texts: DataFrame, sizes: tuple[int, ...], kept, least: int, bits: int)
                     if n == 1:
                         seen = np.bincount(words.text[at], minlength=len(doc))
                         some = np.flatnonzero(seen)
-                        tally.add(0, lang[some] & grams.mask, lang2[some], doc[some], seen[some])
-                    tally.add(n, *grams.of(words, n, at, lang), doc[words.text[at]])
+                        tally.add(lang[some] & grams.mask, lang2[some], doc[some], seen[some])
+                    tally.add(*grams.of(words, n, at, lang), doc[words.text[at]])
                 yield from tally.give()
         if tally.parts:
             yield tally.summed()
 
-    found = texts.mapInArrow(run, COUNTED).groupBy("n", "fp").agg(F.sum("c").alias("c"), F.min("doc").alias("doc"), F.min("fp2").alias("low"), F.max("fp2").alias("high"))
-    return found.where((F.col("c") >= least) | (F.col("n") == 0))
+    # Tasks have added up what is equal, so nothing is gained by doing it again before the shuffle.
+    found = texts.mapInArrow(run, COUNTED).repartition("fp").groupBy("fp").agg(F.sum("c").alias("c"), F.min("mark").alias("low"), F.max("mark").alias("high"))
+    return found.where(F.col("c") >= least)
 
 
 def bitmap(found: DataFrame) -> np.ndarray:
@@ -308,27 +312,30 @@ def _batch(rows: dict[tuple, int]) -> pa.RecordBatch:
 
 
 def read_phrases(texts: DataFrame, found: DataFrame, rows: int, bits: int) -> DataFrame:
-    """n, fp, lang, phrase: what each of ``rows`` fingerprints stands for in the text it points at."""
-    wanted = found.groupBy("doc").agg(F.collect_set(F.col("fp")).alias("fps"))  # a text's own, at most
+    """n, fp, lang, phrase: what each of ``rows`` fingerprints stands for in the texts it points at."""
+    doc = lambda mark: F.col(mark).bitwiseAND(F.lit((1 << HALF) - 1).cast("long"))
+    wanted = found.select("fp", F.explode(F.array(doc("low"), doc("high"))).alias("doc")).groupBy("doc").agg(F.collect_set("fp").alias("fps"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams(LONGEST, bits)
         for batch in batches:
-            for k in range(batch.num_rows):
-                fps = np.sort(batch.column(2)[k].values.to_numpy().view(np.uint64))
+            if not batch.num_rows:
+                continue
+            own = np.repeat(np.arange(batch.num_rows), batch.column(2).value_lengths().to_numpy())
+            fps = np.sort(batch.column(2).flatten().to_numpy().view(np.uint64) + mixed(own.astype(np.uint64) + np.uint64(1)))
 
-                def listed(n, fp, text, fps=fps):
-                    at = np.searchsorted(fps, fp)
-                    return fps[np.minimum(at, len(fps) - 1)] == fp
+            def listed(n, fp, text, fps=fps):  # by fingerprint and text at once
+                key = fp + mixed(text.astype(np.uint64) + np.uint64(1))
+                return fps[np.minimum(np.searchsorted(fps, key), len(fps) - 1)] == key
 
-                yield _batch(dict.fromkeys((p[:4] for p in _phrases(grams, batch.slice(k, 1), listed)), 0))
+            yield _batch(dict.fromkeys((p[:4] for p in _phrases(grams, batch, listed)), 0))
 
     pointed = texts.join(F.broadcast(wanted) if rows <= BROADCAST_ROWS else wanted, "doc").select("text", "lang", "fps")
     return pointed.mapInArrow(run, NAMED).drop("c")
 
 
 def recounted(texts: DataFrame, doubtful: DataFrame, least: int, bits: int) -> DataFrame:
-    """lang, n, phrase, f of all phrases behind ``doubtful`` fingerprints (n, fp), counted by text."""
+    """lang, n, phrase, f of all phrases behind ``doubtful`` fingerprints, counted by text."""
     shared = texts.sparkSession.sparkContext.broadcast(bitmap(doubtful))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,10 +350,10 @@ def recounted(texts: DataFrame, doubtful: DataFrame, least: int, bits: int) -> D
             yield _batch(seen)
 
     rows = texts.mapInArrow(run, NAMED).groupBy("n", "fp", "lang", "phrase").agg(F.sum("c").alias("f"))
-    return rows.join(doubtful, ["n", "fp"], "left_semi").where((F.col("f") >= least) | (F.col("n") == 0)).select("lang", "n", "phrase", "f")
+    return rows.join(doubtful, "fp", "left_semi").where(F.col("f") >= least).select("lang", "n", "phrase", "f")
 
 
-def frequent(docs: DataFrame, least: int = LEAST, bits: int = 64) -> DataFrame:
+def frequent(docs: DataFrame, least: int = LEAST, bits: int = BITS) -> DataFrame:
     """lang, n, phrase, f: phrases of 1 to ``LONGEST`` words with ``least`` occurrences, by language.
 
     The phrase of no words has all words of its language as f. The result is a written table.
@@ -356,16 +363,16 @@ def frequent(docs: DataFrame, least: int = LEAST, bits: int = 64) -> DataFrame:
     texts = texts_of(docs)
     levels = [scratch.write(count(texts, (1,), None, least, bits))]
     for n, sizes in ((1, (2,)), (2, tuple(range(3, LONGEST + 1)))):
-        kept = spark.sparkContext.broadcast(bitmap(levels[-1].where(F.col("n") == n)))
+        kept = spark.sparkContext.broadcast(bitmap(levels[-1]))
         levels.append(scratch.write(count(texts, sizes, (n, kept), least, bits)))
-    found = levels[0].unionByName(levels[1]).unionByName(levels[2])
+    found = levels[0].unionByName(levels[1]).unionByName(levels[2]).groupBy("fp").agg(F.sum("c").alias("c"), F.min("low").alias("low"), F.max("high").alias("high"))
     named = scratch.write(read_phrases(texts, found, found.count(), bits))
-    sole = named.groupBy("n", "fp").agg(F.min(F.struct("lang", "phrase")).alias("p"), F.max(F.struct("lang", "phrase")).alias("q"))
-    joined = scratch.write(found.join(sole, ["n", "fp"], "left"))
-    sure = (F.col("low") == F.col("high")) & (F.col("p") == F.col("q"))
-    sure = F.coalesce(sure, F.lit(False))
-    out = joined.where(sure).select("p.lang", F.col("n").cast("int").alias("n"), "p.phrase", F.col("c").alias("f"))
-    doubtful = joined.where(~sure).select("n", "fp")
+    what = F.struct("n", "lang", "phrase")
+    sole = named.groupBy("fp").agg(F.min(what).alias("p"), F.max(what).alias("q"))
+    joined = scratch.write(found.join(sole, "fp", "left"))
+    sure = F.coalesce((F.shiftright("low", HALF) == F.shiftright("high", HALF)) & (F.col("p") == F.col("q")), F.lit(False))
+    out = joined.where(sure).select("p.lang", F.col("p.n").cast("int").alias("n"), "p.phrase", F.col("c").alias("f"))
+    doubtful = joined.where(~sure).select("fp")
     if not doubtful.isEmpty():
         out = out.unionByName(recounted(texts, doubtful, least, bits))
     out = stash(out)
@@ -373,7 +380,7 @@ def frequent(docs: DataFrame, least: int = LEAST, bits: int = 64) -> DataFrame:
     return out
 
 
-def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, bits: int = 64) -> DataFrame:
+def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, bits: int = BITS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's ``top`` phrases of 2 to 5 words.
 
     a, l and r count the phrase and the two parts of its lowest-scoring cut (the first of equal
