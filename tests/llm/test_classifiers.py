@@ -119,3 +119,23 @@ def test_thresholds_use_labels_outside_the_sample(spark):
     assert set(model.thresholds) == {"", "en", "xx"}
     wrong = toxicity.score(docs, model).where(F.col("flagged") != (F.col("doc_id") % 8 == 0))
     assert wrong.count() == 0
+
+
+def test_few_long_rows_take_bounded_time():
+    import time
+
+    rng = np.random.default_rng(0)
+    texts = [rng.integers(1, 30_000, (n, 2)).astype(np.int32) for n in (400_000, 10, 20, 30, 5)]
+    began = time.perf_counter()
+    toxicity.fit(texts, np.array([0, 1, 0, 1, 0]))
+    assert time.perf_counter() - began < 60
+
+
+def test_toxicity_scored_once_equals_a_trained_model(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    learn = ~held_out(F.col("doc_id"), 4, 2)
+    want = toxicity.score(docs, toxicity.train(docs, labels, learn)).collect()
+    got = toxicity.judge(docs.withColumn("t_lang", F.lit("x")), labels, learn).collect()
+    show = lambda rows: sorted((r["doc_id"], r["score"], r["flagged"]) for r in rows)
+    assert show(got) == show(want)

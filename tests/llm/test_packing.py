@@ -97,3 +97,24 @@ def test_query(spark):
     check(rows, [r["text"] for r in docs], 2048)
     total = sum(r["length"] for r in rows)
     assert len({r["sequence_id"] for r in rows}) <= total / 2048 * 1.01 + 1
+
+
+def test_long_words_in_linear_time(spark):
+    """A word of a million letters, beside words around the limit of the bulk merges."""
+    import random
+    import time
+
+    rng = random.Random(1)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(n)) for n in (63, 64, 65, 1000, 1_000_000)]
+    ids = packing.WordIds(tokenizer_path())
+    began = time.perf_counter()
+    got = ids(" ".join(words))
+    assert time.perf_counter() - began < 30
+    assert np.frombuffer(got, "<u4").tolist() == ids.tokenizer.encode(" ".join(words), add_special_tokens=False).ids
+
+
+def test_plan_joined_by_buckets(spark, monkeypatch):
+    texts = ["word " * (n % 40) for n in range(400)] + ["same"] * 300
+    monkeypatch.setattr(packing, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(packing, "RANK_BUCKET", 16)
+    check(packing.pack_documents(rows_of(spark, texts), tokenizer_path(), 32).collect(), texts, 32)

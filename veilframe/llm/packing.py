@@ -28,6 +28,10 @@ BROADCAST_ROWS = 100_000
 CACHE_WORDS = 600_000
 #: Characters of text whose words are looked up together.
 CHUNK_CHARS = 4_000_000
+#: Longer words go to the tokenizer one by one, as a merge in bulk takes time with the square of their length.
+BULK_LETTERS = 64
+#: Ranks of a length that meet a plan of many rows under one key.
+RANK_BUCKET = 1 << 16
 #: Separates the id blocks of documents: appended after each one.
 END_ID = 0
 _TAIL = ".,;:!?*#$%&|<>"
@@ -72,7 +76,7 @@ class Merges:
 
     def takes(self, word: str) -> bool:
         """Whether a word is one run of letters that the tokenizer's normaliser leaves as it is."""
-        return self.usable and word.isalpha() and word.islower() and word == word.lower() and max(word) <= "\xff"
+        return self.usable and len(word) <= BULK_LETTERS and word.isalpha() and word.islower() and word == word.lower() and max(word) <= "\xff"
 
     def _ranks(self, left, right):
         import numpy as np
@@ -293,11 +297,15 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         .join(sizes, (F.col("length") == F.col("s_length")) & (F.col("salt") == F.col("s_salt")))
         .withColumn("rank", F.col("before") + F.col("local") - 1)
     )
-    side = F.broadcast(plan) if plan_rows(plan) <= BROADCAST_ROWS else plan
     t = F.col("rank") - F.col("lo")
-    return ranked.join(
-        side, (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
-    ).select(
+    fits = (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
+    if plan_rows(plan) <= BROADCAST_ROWS:
+        met = ranked.join(F.broadcast(plan), fits)
+    else:  # by length and bucket of ranks, so that a length with most pieces is many keys
+        bucket = lambda c: F.floor(c / RANK_BUCKET)
+        buckets = plan.withColumn("p_bucket", F.explode(F.sequence(bucket(F.col("lo")), bucket(F.col("hi") - 1))))
+        met = ranked.join(buckets, fits & (bucket(F.col("rank")) == F.col("p_bucket")))
+    return met.select(
         *names,
         (F.col("first") + F.floor(t / F.col("per"))).cast("long").alias("sequence_id"),
         (F.col("base") + F.pmod(t, F.col("per")) * F.col("length")).cast("long").alias("offset"),

@@ -71,8 +71,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = toxicity.train(docs, labels, ~held_out(F.col("doc_id"), 4, 2))
-    return toxicity.score(docs, model).select(
+    return toxicity.judge(docs, labels, ~held_out(F.col("doc_id"), 4, 2)).select(
         "doc_id",
         held_out(F.col("doc_id"), 4, 2).alias("held_out"),
         "score",

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import whole_text
+from .common import stash, whole_text
 from .labelled import fetch, prior_shift, training_rows
 from .wordhash import WordRows, sigmoid
 
@@ -32,6 +32,8 @@ DIMENSIONS = 12
 EPOCHS = 12
 #: Few rows are gone through more often, for at least this many steps in all.
 LEAST_STEPS = 600
+#: But the extra rounds go over this many words in all at most, so that few long texts take no longer.
+MOST_WORDS = 40_000_000
 #: At most this many labelled documents are learnt from, half of each class.
 TRAIN_ROWS = 4000
 THRESHOLD = 0.3
@@ -107,7 +109,7 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, seed: int = 0, epochs: int
     model, rng = new_model(seed), np.random.default_rng(seed + 1)
     seen_f = [np.full_like(f, 1e-2) for f in model.filters]
     seen_w, seen_s, seen_b = np.full_like(model.weights, 1e-2), np.full_like(model.shift, 1e-2), 1e-2
-    epochs = max(epochs, -(-LEAST_STEPS * 32 // len(texts)))
+    epochs = max(epochs, min(-(-LEAST_STEPS * 32 // len(texts)), MOST_WORDS // max(1, sum(map(len, texts)))))
     for epoch in range(epochs):
         order = rng.permutation(len(texts))
         step = rate * (1 - epoch / epochs)
@@ -170,8 +172,8 @@ def _sequences(texts: DataFrame) -> DataFrame:
     return texts.select("t_id", "label", "text").mapInArrow(run, "t_id long, label int, data binary")
 
 
-def train(docs: DataFrame, labels: DataFrame, may_learn: Column, rows: int = TRAIN_ROWS) -> Model:
-    """A model of ``labels.toxic``; without rows of both classes, one that gives the prior."""
+def fitted(docs: DataFrame, labels: DataFrame, may_learn: Column, rows: int) -> tuple[Model, DataFrame, set[int] | None]:
+    """A model without thresholds, the labels it may use, and the ids it learnt from (null: none)."""
     usable = labels.where(may_learn & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
     back = F.pmod(F.xxhash64("doc_id", F.lit("threshold")), F.lit(5)) == 4
     some = usable.count() >= 50  # of fewer, none is held back
@@ -182,26 +184,46 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, rows: int = TRA
         model = new_model()
         model.weights[:] = 0
         model.bias = shift
-        return model
+        return model, usable, None
     model = fit([np.frombuffer(got.row(k).tobytes(), np.int32).reshape(-1, 2) for k in range(len(got.ids))], got.labels)
     model.bias += prior_shift(counts, got.labels.tolist())
-    model.thresholds = thresholds(docs, usable, model, set(got.ids))
+    return model, usable, set(got.ids)
+
+
+def train(docs: DataFrame, labels: DataFrame, may_learn: Column, rows: int = TRAIN_ROWS) -> Model:
+    """A model of ``labels.toxic``; without rows of both classes, one that gives the prior."""
+    model, usable, ids = fitted(docs, labels, may_learn, rows)
+    if ids is not None:
+        model.thresholds = thresholds(_scores(docs, model), usable, ids)
     return model
 
 
-def thresholds(docs: DataFrame, labels: DataFrame, model: Model, fitted: set[int]) -> dict[str, float]:
+def judge(docs: DataFrame, labels: DataFrame, may_learn: Column, rows: int = TRAIN_ROWS) -> DataFrame:
+    """As :func:`score` of ``docs`` by the model of :func:`train`, with every text scored once.
+
+    Scores are written, and both thresholds and ``flagged`` come from that table.
+    """
+    model, usable, ids = fitted(docs, labels, may_learn, rows)
+    scores = stash(_scores(docs, model).drop("flagged"))
+    limits = thresholds(scores, usable, ids) if ids is not None else {}
+    named = docs.sparkSession.createDataFrame([(k, v) for k, v in limits.items() if k], "t_lang string, t_limit double")  # a row a language
+    limit = F.coalesce("t_limit", F.lit(limits.get("", THRESHOLD)))
+    return scores.join(F.broadcast(named), F.col("lang") == F.col("t_lang"), "left").select("doc_id", "score", (F.col("score") >= limit).alias("flagged"))
+
+
+def thresholds(scores: DataFrame, labels: DataFrame, fitted: set[int]) -> dict[str, float]:
     """Thresholds by language, and for all others under ''.
 
-    All documents are scored where they lie and only scores meet the labels. Rows of ``fitted``
+    Only ``scores`` (doc_id, lang, score) meet the labels. Rows of ``fitted``
     (bounded) count for the class mix alone. A language with fewer than ``LEAST_FOR_LANGUAGE``
     other rows of a class goes into '' before its counts come to the driver.
     """
-    spark = docs.sparkSession
+    spark = scores.sparkSession
     seen = spark.createDataFrame([(i,) for i in sorted(fitted)], "f_id long").withColumn("fitted", F.lit(True))
     truth = labels.select(F.col("doc_id").cast("long").alias("t_id"), F.col("toxic").cast("int").alias("label"))
     odds = F.ln(F.col("score") / (1 - F.col("score")))
     at = F.floor(F.greatest(F.lit(-20.0), F.least(F.lit(20.0), odds)) * BINS).cast("int")
-    rows = _scores(docs, model).select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), at.alias("bin"))
+    rows = scores.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), at.alias("bin"))
     rows = rows.join(truth, F.col("doc_id") == F.col("t_id")).join(F.broadcast(seen), F.col("doc_id") == F.col("f_id"), "left")
     fresh = F.sum(F.when(F.col("fitted").isNull(), 1).otherwise(0))
     counts = rows.groupBy("lang", "label", "bin").agg(F.count("*").alias("n"), fresh.alias("fresh"))
