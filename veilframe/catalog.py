@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from . import adapter_catalog
 from .functions import validators
-from .operators import conversations, detect, evaluation, gateway, mask, metrics, plain, policy, ratelimit, risk, sse, transform, wire
+from .operators import bodies, conversations, detect, evaluation, gateway, mask, metrics, plain, policy, ratelimit, risk, sse, transform, wire
 from .plans.intermediate import dealt, streamed
+from .streaming import guard as stream_guards
 from .streaming import restore as stream
+from .streaming import store
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -232,6 +234,23 @@ def guard_answers(spark, sf_dir):
     return wire.guard_bodies(made).select("request_id", "rewritten")
 
 
+def mask_bodies(spark, sf_dir):
+    """A body for each customer with addresses as member names, and every tenth with one where the protocol allows none."""
+    key = F.col("c_custkey").cast("string")
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    model = F.when(F.col("c_custkey") % 10 == 0, F.concat(F.lit("user"), key, F.lit("@example.com"))).otherwise("m-1")
+    said = F.concat(F.lit("from user"), key, F.lit("@example.com to "), F.col("c_mktsegment"))
+    body = F.concat(F.lit('{ "model": '), quoted(model), F.lit(', "input": '), quoted(said), F.lit(', "user'), key, F.lit('@example.com": '), F.col("c_acctbal").cast("decimal(12,2)").cast("string"), F.lit(', "alt'), key, F.lit('@example.com": {"s": '), quoted(F.col("c_mktsegment")), F.lit("}}"))
+    made = _texts(spark, sf_dir, "customer").select(F.col("c_custkey").alias("request_id"), F.col("c_nationkey").alias("scope_id"), body.alias("body"))
+    return bodies.mask_bodies(made, "redact")[0].select("request_id", "rewritten")
+
+
+def sealed_props(spark, sf_dir):
+    """The properties of events as bodies: what may go out, byte by byte."""
+    made = _texts(spark, sf_dir, "events").select(F.col("event_id").alias("request_id"), F.col("props").alias("body"), F.lit("custom").alias("provider"), F.lit(None).cast("array<string>").alias("tokens"), F.lit(None).cast("array<string>").alias("values"))
+    return wire.sealed(made)
+
+
 def _notes(spark, sf_dir):
     """A note for each customer with an address, mostly a phone number, and in one segment a card number."""
     key, segment = F.col("c_custkey").cast("string"), F.col("c_mktsegment")
@@ -350,12 +369,35 @@ def stream_restore(spark, sf_dir):
     return conversations.reassemble(shown, ("stream_id",))
 
 
+def stream_guard(spark, sf_dir):
+    """Messages that begin with an approved and a foreign token as streams of chunks, guarded once they are whole."""
+    schema = _read(spark, sf_dir, "conversations").schema
+    said = spark.readStream.schema(schema).parquet(f"{sf_dir}/conversations.parquet*").where("text is not null")
+    said = said.select("conv_id", "turn", F.concat(F.lit(f"to {APPROVED}, not {FOREIGN}: "), "text").alias("text"))
+    last = (F.ceil(F.length("text") / 40) - 1).cast("int")
+    cut = said.select("conv_id", "turn", "text", last.alias("last"), F.explode(F.sequence(F.lit(0), last)).alias("seq"))
+    delta = F.struct(F.substring("text", F.col("seq") * 40 + 1, F.lit(40)).alias("content"))
+    chunk = F.to_json(F.struct(F.array(F.struct(delta.alias("delta"), F.when(F.col("seq") == F.col("last"), "stop").alias("finish_reason"))).alias("choices")))
+    pairs = F.array(F.struct(F.lit(APPROVED).alias("replacement"), F.lit("mail@example.com").alias("original")))
+    chunks = cut.select(F.concat_ws(":", "conv_id", "turn").alias("stream_id"), F.col("seq").cast("long").alias("seq"), chunk.alias("chunk"), pairs.alias("pairs"))
+    return streamed(stream_guards.guarded(chunks, None)).select("stream_id", "choice", "field", "guarded")
+
+
+def conversation_store(spark, sf_dir):
+    """Events as messages of their users' conversations by type, streamed; every seventh is blocked and adds nothing."""
+    schema = _read(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+    message = F.array(F.struct(F.lit("user").alias("role"), F.concat(F.lit("event "), "event_id").alias("text")))
+    turns = events.select(F.col("user_id").cast("string").alias("owner"), F.col("event_type").alias("conv_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_id") % 7 == 0, "blocked").otherwise("ok").alias("outcome"), message.alias("messages"))
+    return streamed(store.conversations(turns, 7200)).select("seq", "begins", F.size("history").cast("long").alias("behind"), "after")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         risk_bucket_by_lang, risk_score, detect_documents, detect_pages, mask_semantic, mask_redact, mask_surrogate, rehydrate_roundtrip, validate_numbers, policy_first_match, policy_asserted, public_digest,
         principal_namespace, conversation_trim_count, conversation_trim_chars, turn_count, stream_reassemble, metrics_counts, latency_summary, p95_nearest_rank,
-        sse_frames, rate_limit, vault_budget, vault_collisions, wire_numbers, wire_check, output_guard, detect_letters, transform_actions, restore_letters, guard_answers,
-        plain_notes, plain_verdict, strike_notes, evaluate_notes, border_checks, unsafe_media, response_errors, instruct_conversations, policy_rule_errors, stream_restore,
+        sse_frames, rate_limit, vault_budget, vault_collisions, wire_numbers, wire_check, output_guard, detect_letters, transform_actions, restore_letters, guard_answers, mask_bodies, sealed_props,
+        plain_notes, plain_verdict, strike_notes, evaluate_notes, border_checks, unsafe_media, response_errors, instruct_conversations, policy_rule_errors, stream_restore, stream_guard, conversation_store,
     ]
     return {f.__name__: f for f in found} | adapter_catalog.queries()
 
@@ -399,7 +441,12 @@ def oracle_sql() -> dict[str, str]:
         "wire_numbers": "select event_id as request_id, case when json_type(props, '$.k') in ('BIGINT', 'UBIGINT', 'DOUBLE') then 'unclassified numeric value at $.k' end as violation from events",
         "output_guard": "select doc_id, text as guarded from documents",
         "guard_answers": f"""
-            select o_orderkey as request_id, '{{"choices":[{{"message":{{"content":"order ' || o_orderkey || ' for user' || o_orderkey || '@example.com, not [REDACTED_PROVIDER_TOKEN], cc [REDACTED_PROVIDER_EMAIL]"}}}}],"note":"ref {APPROVED} ' || o_orderkey || '"}}' as rewritten from orders""",
+            select o_orderkey as request_id, '{{"choices":[{{"message":{{"content":"order ' || o_orderkey || ' for user' || o_orderkey || '@example.com, not [REDACTED_PROVIDER_TOKEN], cc [REDACTED_PROVIDER_EMAIL]"}}}}],"note":"ref [REDACTED_PROVIDER_TOKEN] ' || o_orderkey || '"}}' as rewritten from orders""",
+        "mask_bodies": """
+            select c_custkey as request_id, case when c_custkey % 10 <> 0 then '{"model":"m-1","input":"from [REDACTED_EMAIL] to ' || c_mktsegment || '","[REDACTED_EMAIL]":' || c_acctbal::decimal(12,2) || ',"[REDACTED_EMAIL]__MGKEY_2":{"s":"' || c_mktsegment || '"}}' end as rewritten from customer""",
+        "sealed_props": """
+            with p as (select event_id, props, case when json_type(props, '$.k') in ('BIGINT', 'UBIGINT', 'DOUBLE') then 'unclassified numeric value at $.k' end as v from events)
+            select event_id as request_id, v as violation, case when v is null then json(props)::varchar end as sealed, case when v is null then sha256(json(props)::varchar) end as sha256 from p""",
         "detect_letters": """
             with l as (select c_custkey, length(cast(c_custkey as varchar)) as k, greatest(length(cast(c_custkey as varchar)), 7) as p from customer)
             select c_custkey, 'EMAIL' as entity_type, cast(5 as bigint) as start, cast(21 + k as bigint) as "end", cast(0.97 as double) as confidence, 'VALID' as state from l
@@ -447,6 +494,13 @@ def oracle_sql() -> dict[str, str]:
               when k % 5 = 0 then '.conditions.entity_types contains duplicate normalized entity types' when k % 7 = 0 then '.conditions.entity_types contains unknown entity types' when k % 17 = 0 then '.action has an unknown value' end,
               'duplicate rule id at rules[' || k || ']') as error from r where k > 1000000 or k % 13 = 0 or k % 11 = 0 or k % 5 = 0 or k % 7 = 0 or k % 17 = 0 or n > 1""",
         "stream_restore": "select conv_id || ':' || turn as stream_id, 'to mail@example.com ' || text as text from conversations where text is not null",
+        "stream_guard": "select conv_id || ':' || turn as stream_id, 0::int as choice, 'content' as field, 'to mail@example.com, not [REDACTED_PROVIDER_TOKEN]: ' || text as guarded from conversations where text is not null",
+        "conversation_store": """
+            with a as (select *, epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id, event_type order by ts, event_id) as since from events),
+            b as (select *, since is null or since >= 7200000000 as begins, (event_id % 7 <> 0)::int as ok from a),
+            c as (select *, sum(begins::int) over (partition by user_id, event_type order by ts, event_id rows unbounded preceding) as life from b),
+            d as (select *, sum(ok) over (partition by user_id, event_type, life order by ts, event_id rows unbounded preceding) as n from c)
+            select event_id as seq, begins, (case when n - ok <= 40 then n - ok else 38 + (n - ok - 41) % 3 end)::bigint as behind, (case when n <= 40 then n else 38 + (n - 41) % 3 end)::bigint as after from d""",
         "turn_count": "select conv_id, count(*) filter (role = 'user') as turns, count(*) as messages, cast(coalesce(sum(length(text)), 0) as bigint) as chars from conversations group by conv_id",
         "validate_numbers": f"""
             with n as (select o_orderkey, '4' || lpad(reverse(cast(o_orderkey as varchar)), 15, '0') as card, lpad(cast(o_orderkey as varchar), 10, '0') as inn, lpad(cast(o_orderkey as varchar), 11, '0') as snils from orders)

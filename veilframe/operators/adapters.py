@@ -35,15 +35,20 @@ def classification(role: Column) -> Column:
     return F.when(role.isin("system", "developer"), "instruction").when(role == "assistant", "assistant_text").when(role == "tool", "tool_result").otherwise("user_text")
 
 
+def protocol_form(name: Column, value: Column) -> Column:
+    """Whether a string at the member path ``name`` is of the form that its protocol needs; null where it needs none."""
+    fits = F.when(name == "model", value.rlike(MODEL)).when(name.isin(*IDENTIFIERS), value.rlike(IDENTIFIER)).when(name.isin(*FREE), F.length(value) <= PROTOCOL_LENGTH)
+    for path, words in WORDS.items():
+        fits = fits.when(name == path, value.isin(*words))
+    return fits
+
+
 def protocol_errors(bodies: DataFrame, key: str = "request_id", body: str = "body") -> DataFrame:
     """``key``, ordinal, path of the strings that a protocol needs and that are not of its form.
 
     Other strings are content and not judged here. A body that is no JSON object has no rows.
     """
-    name, value = F.col("keys"), F.col("text")
-    fits = F.when(name == "model", value.rlike(MODEL)).when(name.isin(*IDENTIFIERS), value.rlike(IDENTIFIER)).when(name.isin(*FREE), F.length(value) <= PROTOCOL_LENGTH)
-    for path, words in WORDS.items():
-        fits = fits.when(name == path, value.isin(*words))
+    fits = protocol_form(F.col("keys"), F.col("text"))
     return flatten(bodies, key, body).where((F.col("kind") == "string") & ~F.col("nested")).where(~fits).select(key, "ordinal", "path")
 
 
