@@ -9,6 +9,7 @@ its slot by a join on length and rank, so no documents pass through the driver.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -24,8 +25,8 @@ from .common import cut, whole_text
 CAPACITY = 2048
 #: A plan of at most this many rows is broadcast; a longer one is joined by shuffle.
 BROADCAST_ROWS = 100_000
-#: Distinct words whose ids a Python worker keeps before it starts afresh.
-CACHE_WORDS = 600_000
+#: Distinct words whose ids a Python worker keeps before it starts afresh, and words without their punctuation.
+CACHE_WORDS, CACHE_STEMS = 400_000, 100_000
 #: Characters of text whose words are looked up together.
 CHUNK_CHARS = 4_000_000
 #: Longer words go to the tokenizer one by one, as a merge in bulk takes time with the square of their length.
@@ -180,7 +181,7 @@ class WordIds:
                 at += 1
             if len(self.known) > self.limit:
                 self.known.clear()
-            if len(self.stems) > self.limit:
+            if len(self.stems) > min(self.limit, CACHE_STEMS):
                 self.stems.clear()
             new = set().union(*lists).difference(self.known)
             if new:
@@ -190,6 +191,12 @@ class WordIds:
                 yield b"".join([known[w] for w in words])
 
 
+@functools.lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """The one :class:`WordIds` of a Python worker, which its tasks use in turn."""
+    return WordIds(path)
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """Pieces of every document: doc_id, piece, start, length, ids_crc32.
 
@@ -197,7 +204,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = WordIds(tokenizer_path)
+        ids_of = word_ids(tokenizer_path)
         end = END_ID.to_bytes(4, "little")
         for batch in batches:
             doc, number, start, length, crc = [], [], [], [], []
