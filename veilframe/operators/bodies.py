@@ -26,4 +26,4 @@ def mask_bodies(bodies: DataFrame, mode: str = "placeholder", key: str = "", pro
         bad = (F.col("kind") == "string") & fits.isNotNull() & (~F.coalesce(fits, F.lit(True)) | (F.col("masked") != F.col("text")))
         return rows.withColumn("refused", bad).withColumnRenamed("masked", "new")
 
-    return rewrite(bodies, change, carry=("scope_id",)), vaults[0]
+    return rewrite(bodies, change, carry=("scope_id",), names=True), vaults[0]
