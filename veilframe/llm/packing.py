@@ -10,6 +10,7 @@ its slot by a join on length and rank, so no documents pass through the driver.
 from __future__ import annotations
 
 import functools
+import operator
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -76,8 +77,8 @@ class Merges:
         self.none = len(pairs)
 
     def takes(self, word: str) -> bool:
-        """Whether a word is one run of letters that the tokenizer's normaliser leaves as it is."""
-        return self.usable and len(word) <= BULK_LETTERS and word.isalpha() and word.islower() and word == word.lower() and max(word) <= "\xff"
+        """Whether a word is one run of letters of which the tokenizer's normaliser changes the case alone."""
+        return self.usable and len(word) <= BULK_LETTERS and word.isalpha() and (word.isascii() or max(word) <= "\xff")
 
     def _ranks(self, left, right):
         import numpy as np
@@ -153,18 +154,18 @@ class WordIds:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in got]
 
     def _learn(self, words: list[str]) -> None:
-        split = {}
-        for w in words:
-            stem = w.rstrip(_TAIL)
-            split[w] = (stem, w[len(stem) :]) if stem.isalpha() else (w, "")
-        new = {s for pair in split.values() for s in pair if s and s not in self.stems}
-        plain = [s for s in new if self.merges.takes(s)]
-        self.stems.update(self.merges(plain))
+        have = self.stems
+        have[""] = b""
+        stems = [s if s.isalpha() else w for s, w in zip([w.rstrip(_TAIL) for w in words], words, strict=True)]
+        tails = [w[len(s) :] for s, w in zip(stems, words, strict=True)]
+        new = set(stems).union(tails).difference(have)
+        plain = {s: s.lower() for s in new if self.merges.takes(s)}
+        made = self.merges(list(set(plain.values())))
+        have.update((s, made[low]) for s, low in plain.items())
         rest = list(new.difference(plain))
-        self.stems.update(zip(rest, self._encode(rest), strict=True))
-        self.stems[""] = b""
-        for w, (stem, tail) in split.items():
-            self.known[w] = self.stems[stem] + self.stems[tail]
+        have.update(zip(rest, self._encode(rest), strict=True))
+        found = have.__getitem__
+        self.known.update(zip(words, map(operator.add, map(found, stems), map(found, tails)), strict=True))
 
     def __call__(self, text: str) -> bytes:
         return next(self.many([text]))
@@ -183,12 +184,13 @@ class WordIds:
                 self.known.clear()
             if len(self.stems) > min(self.limit, CACHE_STEMS):
                 self.stems.clear()
-            new = set().union(*lists).difference(self.known)
+            known = self.known
+            found = [list(map(known.get, words)) for words in lists]
+            new = {w for words, ids in zip(lists, found, strict=True) if None in ids for w, i in zip(words, ids, strict=True) if i is None}
             if new:
                 self._learn(list(new))
-            known = self.known
-            for words in lists:
-                yield b"".join([known[w] for w in words])
+            for words, ids in zip(lists, found, strict=True):
+                yield b"".join([known[w] if i is None else i for w, i in zip(words, ids, strict=True)] if None in ids else ids)
 
 
 @functools.lru_cache(maxsize=1)
