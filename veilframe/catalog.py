@@ -481,18 +481,18 @@ def oracle_sql() -> dict[str, str]:
               regexp_replace(c_name, '[^A-Za-z0-9_-]', '', 'g') || 'v2' as stem, case when c_custkey % 2 = 0 then replace(c_name, '#', '_') end as id, case when c_custkey % 2 = 1 then 'conversation id' end as error, strlen(c_name) > 17 as too_large from customer""",
         "unsafe_media": "select o_orderkey, case o_orderkey % 4 when 1 then 'image_url' when 2 then 'screenshot' end as media from orders",
         "response_errors": """
-            select o_orderkey, case o_orderkey % 8 when 1 then '$.choices: successful response has no choices' when 2 then '$.choices[1].message.role: successful response requires assistant role'
-              when 3 then '$.choices[0].message.content: content must be text, blocks, or null' when 4 then '$.choices[0].message.tool_calls[1]: invalid function tool call'
-              when 5 then '$.choices[0].message.function_call: function name and arguments must be text' when 6 then '$.choices[0].message: message has no supported output' when 7 then '$: expected an object' end as error from orders""",
+            select o_orderkey, case o_orderkey % 8 when 1 then '$.choices: empty' when 2 then '$.choices[1].message.role: not the assistant'
+              when 3 then '$.choices[0].message.content: neither text nor list' when 4 then '$.choices[0].message.tool_calls[1]: no function call'
+              when 5 then '$.choices[0].message.function_call: name or arguments no text' when 6 then '$.choices[0].message: says nothing' when 7 then '$: no object' end as error from orders""",
         "instruct_conversations": """
             with p as (select conv_id, coalesce(min(turn) filter (role is distinct from 'system'), max(turn) + 1) as turn from conversations group by conv_id)
             select conv_id, turn, 1 as part, role, text from conversations
-            union all select conv_id, turn, 0, 'system', 'Privacy instruction: the following tokens represent masked values from the user''s request: <T' || conv_id || '>. Preserve these tokens exactly when referring to the same values. Do not decode, reconstruct, or invent the original values, and do not change token spelling, case, digits, or punctuation.' from p""",
+            union all select conv_id, turn, 0, 'system', 'Some values of this conversation are replaced by tokens: <T' || conv_id || '>. Where you mean such a value, write its token letter by letter; never guess what it stands for.' from p""",
         "policy_rule_errors": """
             with r as (select p_partkey as k, row_number() over (partition by case when p_partkey % 13 = 0 then null else p_partkey % 1000 end order by p_partkey) as n from part)
-            select k as position, coalesce('rules[' || k || ']' || case when k % 13 = 0 then '.id must be a non-empty string' when k > 1000000 then '.priority must be between 0 and 1000000' when k % 11 = 0 then '.conditions confidence range is inverted'
-              when k % 5 = 0 then '.conditions.entity_types contains duplicate normalized entity types' when k % 7 = 0 then '.conditions.entity_types contains unknown entity types' when k % 17 = 0 then '.action has an unknown value' end,
-              'duplicate rule id at rules[' || k || ']') as error from r where k > 1000000 or k % 13 = 0 or k % 11 = 0 or k % 5 = 0 or k % 7 = 0 or k % 17 = 0 or n > 1""",
+            select k as position, 'rules[' || k || ']' || coalesce(case when k % 13 = 0 then '.id: empty' when k > 1000000 then '.priority: not in 0..1000000' when k % 11 = 0 then '.conditions: least confidence over the most'
+              when k % 5 = 0 then '.conditions.entity_types: one type twice' when k % 7 = 0 then '.conditions.entity_types: unknown type' when k % 17 = 0 then '.action: unknown value' end,
+              '.id: taken') as error from r where k > 1000000 or k % 13 = 0 or k % 11 = 0 or k % 5 = 0 or k % 7 = 0 or k % 17 = 0 or n > 1""",
         "stream_restore": "select conv_id || ':' || turn as stream_id, 'to mail@example.com ' || text as text from conversations where text is not null",
         "stream_guard": "select conv_id || ':' || turn as stream_id, 0::int as choice, 'content' as field, 'to mail@example.com, not [REDACTED_PROVIDER_TOKEN]: ' || text as guarded from conversations where text is not null",
         "conversation_store": """

@@ -56,10 +56,7 @@ def model_name(model: Column) -> Column:
 def instruction(replacements: Column) -> Column:
     """What tells a model to keep tokens as they are; null if there are none."""
     used = F.array_distinct(F.filter(replacements, lambda r: r.isNotNull() & (r != "")))
-    said = F.concat(
-        F.lit("Privacy instruction: the following tokens represent masked values from the user's request: "), F.array_join(used, ", "),
-        F.lit(". Preserve these tokens exactly when referring to the same values. Do not decode, reconstruct, or invent the original values, and do not change token spelling, case, digits, or punctuation."),
-    )
+    said = F.concat(F.lit("Some values of this conversation are replaced by tokens: "), F.array_join(used, ", "), F.lit(". Where you mean such a value, write its token letter by letter; never guess what it stands for."))
     return F.when(F.size(used) > 0, said)
 
 
@@ -102,9 +99,9 @@ def response_error(body: Column) -> Column:
     choices = _at(root, "$.choices", "array<variant>")
     each = F.filter(F.transform(choices, lambda c, i: _choice_error(c, F.concat(F.lit("$.choices["), i.cast("string"), F.lit("]")))), lambda e: e.isNotNull())
     return (
-        F.when(~_is(root, "OBJECT"), "$: expected an object")
-        .when(~_is(listed, "ARRAY"), "$.choices: expected a list")
-        .when(F.size(choices) == 0, "$.choices: successful response has no choices")
+        F.when(~_is(root, "OBJECT"), "$: no object")
+        .when(~_is(listed, "ARRAY"), "$.choices: no list")
+        .when(F.size(choices) == 0, "$.choices: empty")
         .otherwise(F.try_element_at(each, F.lit(1)))
     )
 
@@ -118,25 +115,25 @@ def _choice_error(choice: Column, path: Column) -> Column:
     def tool_error(tool: Column, i: Column) -> Column:
         at = F.concat(path, F.lit(".message.tool_calls["), i.cast("string"), F.lit("]"))
         good = F.coalesce(_at(tool, "$.type", "string") == "function", F.lit(False)) & _is(_at(tool, "$.id"), "STRING")
-        return F.when(~_is(tool, "OBJECT"), F.concat(at, F.lit(": expected an object"))).when(~good, F.concat(at, F.lit(": invalid function tool call"))).otherwise(_function_error(_at(tool, "$.function"), F.concat(at, F.lit(".function"))))
+        return F.when(~_is(tool, "OBJECT"), F.concat(at, F.lit(": no object"))).when(~good, F.concat(at, F.lit(": no function call"))).otherwise(_function_error(_at(tool, "$.function"), F.concat(at, F.lit(".function"))))
 
     tool_errors = F.filter(F.transform(tool_list, tool_error), lambda e: e.isNotNull())
     nothing = ~(_given(content) | _given(tools) | _given(call) | _given(refusal))
     role = F.when(_is(_at(message, "$.role"), "STRING"), _at(message, "$.role", "string"))
     wrong_call = F.when(_given(call), _function_error(call, F.concat(path, F.lit(".message.function_call"))))
     return (
-        F.when(~_is(choice, "OBJECT"), F.concat(path, F.lit(": expected an object")))
-        .when(~_is(message, "OBJECT"), under("", "expected an object"))
-        .when(F.coalesce(role != "assistant", F.lit(True)), under(".role", "successful response requires assistant role"))
-        .when(_given(content) & ~_is(content, "STRING") & ~_is(content, "ARRAY"), under(".content", "content must be text, blocks, or null"))
-        .when(F.coalesce(nothing, F.lit(True)), under("", "message has no supported output"))
-        .when(_given(refusal) & ~_is(refusal, "STRING"), under(".refusal", "refusal must be text"))
+        F.when(~_is(choice, "OBJECT"), F.concat(path, F.lit(": no object")))
+        .when(~_is(message, "OBJECT"), under("", "no object"))
+        .when(F.coalesce(role != "assistant", F.lit(True)), under(".role", "not the assistant"))
+        .when(_given(content) & ~_is(content, "STRING") & ~_is(content, "ARRAY"), under(".content", "neither text nor list"))
+        .when(F.coalesce(nothing, F.lit(True)), under("", "says nothing"))
+        .when(_given(refusal) & ~_is(refusal, "STRING"), under(".refusal", "no text"))
         .when(wrong_call.isNotNull(), wrong_call)
-        .when(_given(tools) & ~_is(tools, "ARRAY"), under(".tool_calls", "expected a list"))
+        .when(_given(tools) & ~_is(tools, "ARRAY"), under(".tool_calls", "no list"))
         .otherwise(F.try_element_at(tool_errors, F.lit(1)))
     )
 
 
 def _function_error(function: Column, path: Column) -> Column:
     good = _is(_at(function, "$.name"), "STRING") & _is(_at(function, "$.arguments"), "STRING")
-    return F.when(~_is(function, "OBJECT"), F.concat(path, F.lit(": expected an object"))).when(~good, F.concat(path, F.lit(": function name and arguments must be text")))
+    return F.when(~_is(function, "OBJECT"), F.concat(path, F.lit(": no object"))).when(~good, F.concat(path, F.lit(": name or arguments no text")))

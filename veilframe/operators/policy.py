@@ -8,8 +8,15 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Actions, and the members of a scope.
 ACTIONS = ("ALLOW", "TOKENIZE", "SURROGATE", "REDACT", "GENERALIZE", "HASH", "BLOCK", "REQUIRE_REVIEW")
 DENYING = ("BLOCK", "REQUIRE_REVIEW")
+#: Context column and scope field; the first five must hold the context, the others only if they list anything.
+SCOPE = (("tenant", "tenants"), ("application", "applications"), ("direction", "directions"), ("provider", "providers"), ("purpose", "purposes"))
+OPEN_SCOPE = (("route", "routes"), ("model", "models"), ("jurisdiction", "jurisdictions"))
+# Fixed values end.
+#: A table of more rules is refused, as they become one expression.
+MOST_RULES = 1000
 
 
 @dataclass(frozen=True)
@@ -110,11 +117,6 @@ def digest(entity_type: Column, value: Column) -> Column:
     return F.sha2(F.concat(F.upper(entity_type), F.lit("\0"), normal), 256)
 
 
-#: Context column and scope field; the first five must hold the context, the others only if they list anything.
-SCOPE = (("tenant", "tenants"), ("application", "applications"), ("direction", "directions"), ("provider", "providers"), ("purpose", "purposes"))
-OPEN_SCOPE = (("route", "routes"), ("model", "models"), ("jurisdiction", "jurisdictions"))
-
-
 def asserted(df: DataFrame, assertions: DataFrame) -> DataFrame:
     """``df`` (entity_type, value and the context columns) plus ``public``: a live assertion names the value in this scope.
 
@@ -166,40 +168,40 @@ def rule_errors(rules: DataFrame) -> DataFrame:
     where = F.concat(F.lit("rules["), F.col("position").cast("string"), F.lit("]"))
     blank = lambda c: F.coalesce(F.trim(F.col(c)) == "", F.lit(True))
     checks = [
-        (blank("id"), ".id must be a non-empty string"),
-        (F.col("priority").isNull(), ".priority is required"),
-        (F.col("priority") != F.floor("priority"), ".priority must be an integer"),
-        (~F.col("priority").between(0, MOST_PRIORITY), f".priority must be between 0 and {MOST_PRIORITY}"),
-        (blank("reason"), ".reason must be a non-empty string"),
+        (blank("id"), ".id: empty"),
+        (F.col("priority").isNull(), ".priority: missing"),
+        (F.col("priority") != F.floor("priority"), ".priority: not whole"),
+        (~F.col("priority").between(0, MOST_PRIORITY), f".priority: not in 0..{MOST_PRIORITY}"),
+        (blank("reason"), ".reason: empty"),
         *_list_checks(F.col("obligations"), ".obligations"),
-        (F.size(F.array_except(F.map_keys("conditions"), F.array(*map(F.lit, LISTS)))) > 0, ".conditions contains unknown keys"),
-        (F.size(F.array_except(F.map_keys("ranges"), F.array(*(F.lit(f"{e}_{n}") for n in RANGES for e in ("min", "max"))))) > 0, ".conditions contains unknown keys"),
+        (F.size(F.array_except(F.map_keys("conditions"), F.array(*map(F.lit, LISTS)))) > 0, ".conditions: unknown member"),
+        (F.size(F.array_except(F.map_keys("ranges"), F.array(*(F.lit(f"{e}_{n}") for n in RANGES for e in ("min", "max"))))) > 0, ".conditions: unknown member"),
     ]
     bounds = lambda n: (F.try_element_at("ranges", F.lit(f"min_{n}")), F.try_element_at("ranges", F.lit(f"max_{n}")))
     for n, most in RANGES.items():
         for end, value in zip(("min", "max"), bounds(n)):
             if n == "risk_score":
-                checks.append((value != F.floor(value), f".conditions.{end}_{n} must be an integer"))
-            checks.append((~value.between(0, most), f".conditions.{end}_{n} must be between 0 and {most:g}"))
+                checks.append((value != F.floor(value), f".conditions.{end}_{n}: not whole"))
+            checks.append((~value.between(0, most), f".conditions.{end}_{n}: not in 0..{most:g}"))
     for n in RANGES:
         low, high = bounds(n)
-        checks.append((low > high, f".conditions {n} range is inverted"))
+        checks.append((low > high, f".conditions: least {n} over the most"))
     for n in LISTS:
         listed = F.try_element_at("conditions", F.lit(n))
         checks += _list_checks(listed, f".conditions.{n}")
         if n == "entity_types":
             upper = F.transform(listed, lambda x: F.upper(F.trim(x)))
-            checks.append((F.size(F.array_distinct(upper)) < F.size(listed), f".conditions.{n} contains duplicate normalized entity types"))
-            checks.append((F.size(F.array_except(upper, F.array(*map(F.lit, ENTITY_TYPES)))) > 0, f".conditions.{n} contains unknown entity types"))
+            checks.append((F.size(F.array_distinct(upper)) < F.size(listed), f".conditions.{n}: one type twice"))
+            checks.append((F.size(F.array_except(upper, F.array(*map(F.lit, ENTITY_TYPES)))) > 0, f".conditions.{n}: unknown type"))
         elif n in CHOICES:
-            checks.append((F.size(F.array_except(F.transform(listed, F.trim), F.array(*map(F.lit, CHOICES[n])))) > 0, f".conditions.{n} has an unknown value"))
-    checks.append((~F.coalesce(F.col("action").isin(*ACTIONS), F.lit(False)), ".action has an unknown value"))
+            checks.append((F.size(F.array_except(F.transform(listed, F.trim), F.array(*map(F.lit, CHOICES[n])))) > 0, f".conditions.{n}: unknown value"))
+    checks.append((~F.coalesce(F.col("action").isin(*ACTIONS), F.lit(False)), ".action: unknown value"))
     own = _first(checks, where)
     judged = rules.select("position", F.trim("id").alias("id"), "priority", own.alias("own"))
     for n in ("id", "priority"):
         first = judged.where(F.col(n).isNotNull()).groupBy(n).agg(F.min("position").alias(f"first_{n}"))
         judged = judged.join(first, n, "left")
-    again = F.when(F.col("first_id") < F.col("position"), F.concat(F.lit("duplicate rule id at "), where)).when(F.col("first_priority") < F.col("position"), F.concat(F.lit("duplicate rule priority at "), where))
+    again = F.when(F.col("first_id") < F.col("position"), F.concat(where, F.lit(".id: taken"))).when(F.col("first_priority") < F.col("position"), F.concat(where, F.lit(".priority: taken")))
     return judged.select("position", F.coalesce("own", again).alias("error")).where("error is not null")
 
 
@@ -213,31 +215,31 @@ def assertion_errors(assertions: DataFrame) -> DataFrame:
     blank = lambda c: F.coalesce(F.trim(F.col(c)) == "", F.lit(True))
     fields = [f for _, f in (*SCOPE, *OPEN_SCOPE)]
     checks = [
-        (blank("entity_type"), ".entity_type must be a non-empty string"),
-        (~F.upper(F.trim("entity_type")).isin(*PUBLIC_TYPES), ".entity_type is not eligible for public assertion"),
-        (~F.coalesce(F.lower(F.trim("value_sha256")).rlike(r"\A[0-9a-f]{64}\z"), F.lit(False)), ".value_sha256 must be a SHA-256 hex digest"),
-        (F.coalesce(F.col("action") != "ALLOW", F.lit(True)), ".action must be ALLOW"),
-        (F.col("scope").isNull(), ".scope must be a mapping"),
-        (F.size(F.array_except(F.map_keys("scope"), F.array(*map(F.lit, fields)))) > 0, ".scope contains unknown keys"),
+        (blank("entity_type"), ".entity_type: empty"),
+        (~F.upper(F.trim("entity_type")).isin(*PUBLIC_TYPES), ".entity_type: never public"),
+        (~F.coalesce(F.lower(F.trim("value_sha256")).rlike(r"\A[0-9a-f]{64}\z"), F.lit(False)), ".value_sha256: no SHA-256 in hex"),
+        (F.coalesce(F.col("action") != "ALLOW", F.lit(True)), ".action: not ALLOW"),
+        (F.col("scope").isNull(), ".scope: missing"),
+        (F.size(F.array_except(F.map_keys("scope"), F.array(*map(F.lit, fields)))) > 0, ".scope: unknown member"),
     ]
     for _, n in SCOPE:
-        checks.append((F.try_element_at("scope", F.lit(n)).isNull(), f".scope.{n} must be a non-empty list"))
+        checks.append((F.try_element_at("scope", F.lit(n)).isNull(), f".scope.{n}: missing"))
     for n in fields:
         listed = F.try_element_at("scope", F.lit(n))
         checks += _list_checks(listed, f".scope.{n}")
         if n in CHOICES:
-            checks.append((F.size(F.array_except(F.transform(listed, F.trim), F.array(*map(F.lit, CHOICES[n])))) > 0, f".scope.{n} has an unknown value"))
-    checks += [(blank("id"), ".id must be a non-empty string"), (blank("reason"), ".reason must be a non-empty string"), *_list_checks(F.col("obligations"), ".obligations")]
-    checks.append((F.try_to_timestamp("expires_at").isNull(), ".expires_at must be ISO-8601"))
-    checks.append((~F.col("expires_at").rlike(r"(?:Z|[+-]\d{2}:?\d{2})\z"), ".expires_at must include a timezone"))
-    checks.append((blank("provenance"), ".provenance must be a non-empty string"))
+            checks.append((F.size(F.array_except(F.transform(listed, F.trim), F.array(*map(F.lit, CHOICES[n])))) > 0, f".scope.{n}: unknown value"))
+    checks += [(blank("id"), ".id: empty"), (blank("reason"), ".reason: empty"), *_list_checks(F.col("obligations"), ".obligations")]
+    checks.append((F.try_to_timestamp("expires_at").isNull(), ".expires_at: no time"))
+    checks.append((~F.col("expires_at").rlike(r"(?:Z|[+-]\d{2}:?\d{2})\z"), ".expires_at: no time zone"))
+    checks.append((blank("provenance"), ".provenance: empty"))
     sets = F.to_json(F.array(*(F.sort_array(F.coalesce(F.try_element_at("scope", F.lit(n)), F.array().cast("array<string>"))) for n in fields)))
     target = F.sha2(F.concat_ws("\0", F.upper(F.trim("entity_type")), F.lower(F.trim("value_sha256")), sets), 256)
     judged = assertions.select("position", F.trim("id").alias("id"), target.alias("target"), _first(checks, where).alias("own"))
     for n in ("id", "target"):
         judged = judged.join(judged.groupBy(n).agg(F.min("position").alias(f"first_{n}")), n, "left")
-    again = F.when(F.col("first_id") < F.col("position"), F.concat(F.lit("duplicate public assertion id at "), where))
-    again = again.when(F.col("first_target") < F.col("position"), F.concat(F.lit("duplicate public assertion target and scope at "), where))
+    again = F.when(F.col("first_id") < F.col("position"), F.concat(where, F.lit(".id: taken")))
+    again = again.when(F.col("first_target") < F.col("position"), F.concat(where, F.lit(".scope: value taken in it")))
     return judged.select("position", F.coalesce("own", again).alias("error")).where("error is not null")
 
 
@@ -245,9 +247,9 @@ def _list_checks(values: Column, name: str) -> list[tuple[Column, str]]:
     """Faults of a list that may be left out: empty, with an empty or null member, or with one twice."""
     trimmed = F.transform(values, F.trim)
     return [
-        (F.size(values) == 0, f"{name} must be a non-empty list"),
-        (F.exists(trimmed, lambda x: F.coalesce(x == "", F.lit(True))), f"{name} must contain only non-empty strings"),
-        (F.size(F.array_distinct(trimmed)) < F.size(values), f"{name} contains duplicate values"),
+        (F.size(values) == 0, f"{name}: no members"),
+        (F.exists(trimmed, lambda x: F.coalesce(x == "", F.lit(True))), f"{name}: an empty member"),
+        (F.size(F.array_distinct(trimmed)) < F.size(values), f"{name}: one member twice"),
     ]
 
 
@@ -259,5 +261,8 @@ def _first(checks: list[tuple[Column, str]], where: Column) -> Column:
 
 
 def load(spark: SparkSession, rows: DataFrame) -> Policy:
-    """A policy from a table of rules: id, priority, action, conditions map<string, array<string>>."""
-    return Policy(tuple(Rule(r["id"], r["priority"], r["action"], {k: tuple(v) for k, v in (r["conditions"] or {}).items()}) for r in rows.collect()))
+    """A policy from a table of rules: id, priority, action, conditions map<string, array<string>>; over ``MOST_RULES`` of them are an error."""
+    found = rows.limit(MOST_RULES + 1).collect()
+    if len(found) > MOST_RULES:
+        raise ValueError(f"over {MOST_RULES} rules")
+    return Policy(tuple(Rule(r["id"], r["priority"], r["action"], {k: tuple(v) for k, v in (r["conditions"] or {}).items()}) for r in found))
