@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import adapters, conversations
+from .operators import adapters, conversations, gateway, mask
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,8 +92,49 @@ def conversation_lives(spark, sf_dir):
     return adapters.kept_histories(events, 7200).select("seq", "life", "behind")
 
 
+def stream_events(spark, sf_dir):
+    """Messages as chunks of a stream; those that are not the assistant's are refused, odd turns are arguments of a tool."""
+    said = _read(spark, sf_dir, "conversations")
+    words = F.when(F.col("turn") % 2 == 0, F.col("text"))
+    tool = F.when(F.col("turn") % 2 == 1, F.array(F.struct(F.struct(F.col("text").alias("arguments")).alias("function"))))
+    delta = F.struct("role", words.alias("content"), tool.alias("tool_calls"))
+    choice = F.struct(F.col("turn").alias("index"), delta.alias("delta"), F.when(F.col("text").endswith("."), "stop").alias("finish_reason"))
+    chunks = said.select(F.col("conv_id").alias("stream_id"), F.col("turn").alias("seq"), F.to_json(F.struct(F.array(choice).alias("choices"))).alias("chunk"))
+    return adapters.stream_events(chunks).select("stream_id", "seq", F.col("event").cast("long").alias("event"), "kind", "choice", "field", "call_id", "text", "error")
+
+
+def chat_rewritten(spark, sf_dir):
+    """Conversations, trimmed, as chat bodies, taken apart, written again and read: a row for each message."""
+    said = conversations.trim_by_count(_read(spark, sf_dir, "conversations"))
+    rows = adapters.content(adapters.chat_bodies(said, F.lit("m")), "conv_id")
+    again = adapters.content(adapters.bodies_of(rows, "conv_id", F.lit("m")), "conv_id")
+    return again.select("conv_id", F.col("message").cast("long").alias("message"), "role", "kind", "text")
+
+
+def vault_prune(spark, sf_dir):
+    """Of a conversation's mappings (a token for a user's message, else the message's first word) those that answers still hold."""
+    said = _read(spark, sf_dir, "conversations").where("text is not null and role is not null")
+    token = F.concat(F.lit("<MG_r_USER_"), F.col("turn").cast("string"), F.lit(">"))
+    put = F.when(F.col("role") == "user", token).otherwise(F.regexp_extract("text", r"\A([^ \n]*)", 1))
+    table = said.select(F.col("conv_id").alias("scope_id"), F.col("role").alias("entity_type"), F.col("turn").cast("string").alias("original"), put.alias("replacement"), (F.col("role") != "assistant").alias("restore"))
+    answers = said.where(F.col("role") == "assistant").select(F.col("conv_id").alias("scope_id"), F.concat(F.col("text"), F.lit(" <MG_r_USER_"), (F.col("turn") - 1).cast("string"), F.lit(">")).alias("text"))
+    return mask.pruned(table, answers).select("scope_id", "entity_type", "original", "replacement")
+
+
+def bearer_checks(spark, sf_dir):
+    """Customers who ask by their name; the names of those without debts are keys, and one segment uses another scheme."""
+    asked = _read(spark, sf_dir, "customer").withColumn("authorization", F.concat(F.when(F.col("c_mktsegment") == "BUILDING", "Basic ").otherwise("bearer "), F.col("c_name")))
+    return gateway.admitted(asked, asked.where("c_acctbal >= 0").select(F.col("c_name").alias("key"))).select("c_custkey", "admitted")
+
+
+def log_lines(spark, sf_dir):
+    """Events as log lines; those of views name their properties in place of an event."""
+    events = _read(spark, sf_dir, "events").withColumn("message", F.when(F.col("event_type") == "view", F.col("props")).otherwise(F.col("event_type"))).withColumn("request_id", F.col("user_id").cast("string"))
+    return events.select("event_id", gateway.log_line(events).alias("line"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (chat_to_gemini, chat_content, gemini_answers, assistant_messages, protocol_errors, stream_buffered, conversation_lives)}
+    return {f.__name__: f for f in (chat_to_gemini, chat_content, gemini_answers, assistant_messages, protocol_errors, stream_buffered, conversation_lives, stream_events, chat_rewritten, vault_prune, bearer_checks, log_lines)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -126,4 +167,21 @@ def oracle_sql() -> dict[str, str]:
             with a as (select *, epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id, event_type order by ts, event_id) as since from events),
             b as (select *, cast(sum(case when since >= 7200000000 then 1 else 0 end) over (partition by user_id, event_type order by ts, event_id rows unbounded preceding) as bigint) as life from a)
             select event_id as seq, life, row_number() over (partition by user_id, event_type, life order by ts, event_id) - 1 as behind from b""",
+        "stream_events": """
+            with c as (select conv_id as stream_id, turn as seq, turn as choice, turn % 2 as odd, text, coalesce(role = 'assistant', role is null) as ok from conversations),
+            e as (select *, 0 as last from c where text is not null and ok union all select *, 1 from c where suffix(text, '.') and ok)
+            select stream_id, seq, row_number() over (partition by stream_id, seq order by last) - 1 as event, case when last = 1 then 'finish' when odd = 1 then 'arguments' else 'text' end as kind, choice,
+              case when last = 1 then null when odd = 1 then 'tool_calls[0].function.arguments' else 'content' end as field, case when last = 0 and odd = 1 then 'choice-' || choice || '-tool-0' end as call_id, case when last = 1 then 'stop' else text end as text, null as error from e
+            union all select stream_id, seq, 0, 'refused', null, null, null, null, '$.choices[0].delta.role' from c where not ok""",
+        "chat_rewritten": """
+            with r as (select *, coalesce(role = 'system', false) as s, count(*) over (partition by conv_id) as n from conversations),
+            r2 as (select *, row_number() over (partition by conv_id, s order by turn) as a, row_number() over (partition by conv_id, s order by turn desc) as z from r)
+            select conv_id, row_number() over (partition by conv_id order by turn) - 1 as message, coalesce(role, 'user') as role, case when text is not null then 'text' end as kind, text from r2 where n <= 40 or (s and a <= 2) or (not s and z <= 38)""",
+        "vault_prune": r"""
+            with t as (select conv_id as scope_id, role as entity_type, turn::varchar as original, case when role = 'user' then '<MG_r_USER_' || turn || '>' else regexp_extract(text, '\A([^ \n]*)', 1) end as replacement from conversations where text is not null and role <> 'assistant')
+            select * from t where replacement <> '' and exists (select 1 from conversations c where c.conv_id = t.scope_id and c.role = 'assistant' and contains(c.text || ' <MG_r_USER_' || (c.turn - 1) || '>', t.replacement))""",
+        "bearer_checks": """
+            select c_custkey, c_mktsegment <> 'BUILDING' and c_name in (select c_name from customer where c_acctbal >= 0) as admitted from customer""",
+        "log_lines": """
+            select event_id, '{"message":"' || case when event_type = 'view' then 'log_suppressed' else event_type end || '","request_id":"' || user_id || '"}' as line from events""",
     }

@@ -25,6 +25,9 @@ WORDS = {
     "tools.type": ("function",),
     "response_format.type": ("json_object", "json_schema", "text"),
 }
+DELTA = ("role", "content", "refusal", "function_call", "tool_calls")
+TOOL_DELTA = ("index", "id", "type", "function")
+FUNCTION_DELTA = ("name", "arguments")
 DEFAULT_MODEL = "gemini-2.5-flash"
 SETTINGS = {"temperature": "temperature", "top_p": "topP", "max_tokens": "maxOutputTokens", "stop": "stopSequences"}
 # Fixed values end.
@@ -200,6 +203,117 @@ def buffered(events: DataFrame) -> DataFrame:
     return each.groupBy("stream_id", "choice", "field").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "").alias("text"))
 
 
+def stream_events(chunks: DataFrame, structured: bool = False) -> DataFrame:
+    """stream_id, seq, event, kind, choice, field, call_id, text, error: the typed events of a stream's chunks.
+
+    ``chunks`` has stream_id, seq and chunk (JSON). kind: text (structured, if ``structured`` is
+    asked for and the field is content), arguments, finish, failure (the provider's own error:
+    call_id is its code) or refused. A chunk that holds anything unknown or of a wrong kind
+    gives nothing but one refused row, whose ``error`` is the path of its first fault. Chunks are
+    judged one by one, without a shuffle.
+    """
+    read = chunks.select("stream_id", "seq", F.try_parse_json("chunk").alias("_v"))
+    kind_of = lambda v: F.coalesce(F.regexp_extract(F.schema_of_variant(v), r"\A[A-Z]+", 0), F.lit(""))
+    at = lambda v, path: F.try_variant_get(v, path, "variant")
+    string = lambda v: F.when(kind_of(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    given = lambda v: v.isNotNull() & (kind_of(v) != "VOID")
+    shown = lambda v: F.when(kind_of(v) == "STRING", F.try_variant_get(v, "$", "string")).when(given(v), F.to_json(v))
+    items = lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))
+    no_text = lambda v: given(v) & (kind_of(v) != "STRING")
+
+    def alien(v: Column, allowed: tuple[str, ...]) -> Column:
+        return F.try_element_at(F.array_sort(F.array_except(F.json_object_keys(F.to_json(v)), F.array(*map(F.lit, allowed)))), F.lit(1))
+
+    def function_fault(f: Column, path: Column) -> Column:
+        return F.when(kind_of(f) != "OBJECT", path).when(alien(f, FUNCTION_DELTA).isNotNull(), path).when(no_text(at(f, "$.arguments")), F.concat(path, F.lit(".arguments")))
+
+    def tool_fault(t: Column, path: Column) -> Column:
+        f = at(t, "$.function")
+        return F.when(kind_of(t) != "OBJECT", path).when(alien(t, TOOL_DELTA).isNotNull(), path).when(f.isNotNull(), function_fault(f, F.concat(path, F.lit(".function"))))
+
+    def fault(c: Column, i: Column) -> Column:
+        path = F.concat(F.lit("$.choices["), i, F.lit("]"))
+        index, delta = at(c, "$.index"), at(c, "$.delta")
+        under = lambda name: F.concat(path, F.lit(".delta." + name))
+        role, call, tools = (at(delta, f"$.{n}") for n in ("role", "function_call", "tool_calls"))
+        of_tools = F.filter(F.transform(items(tools), lambda t, j: tool_fault(t, F.concat(under("tool_calls["), j, F.lit("]")))), lambda e: e.isNotNull())
+        out = F.when(kind_of(c) != "OBJECT", path).when(index.isNotNull() & (kind_of(index) != "BIGINT"), F.concat(path, F.lit(".index"))).when(delta.isNotNull() & (kind_of(delta) != "OBJECT"), F.concat(path, F.lit(".delta")))
+        out = out.when(alien(delta, DELTA).isNotNull(), F.concat(under(""), alien(delta, DELTA))).when(role.isNotNull() & F.coalesce(string(role) != "assistant", F.lit(True)), under("role"))
+        out = out.when(no_text(at(delta, "$.content")), under("content")).when(no_text(at(delta, "$.refusal")), under("refusal"))
+        wrong = F.when(given(call), function_fault(call, under("function_call")))
+        return out.when(wrong.isNotNull(), wrong).when(tools.isNotNull() & (kind_of(tools) != "ARRAY"), under("tool_calls")).otherwise(F.try_element_at(of_tools, F.lit(1)))
+
+    def event(kind, choice, field, call_id, text, error=F.lit(None)) -> Column:
+        named = zip(("kind", "field", "call_id", "text", "error"), (kind, field, call_id, text, error), strict=True)
+        return F.struct(choice.cast("long").alias("choice"), *[c.cast("string").alias(n) for n, c in named])
+
+    null = F.lit(None)
+
+    def made(c: Column, i: Column) -> Column:
+        index = F.coalesce(F.try_variant_get(c, "$.index", "long"), i.cast("long"))
+        call, named = at(c, "$.delta.function_call"), lambda v: F.nullif(shown(v), F.lit(""))
+        first = F.array(
+            event(F.lit("structured" if structured else "text"), index, F.lit("content"), null, string(at(c, "$.delta.content"))),
+            event(F.lit("text"), index, F.lit("refusal"), null, string(at(c, "$.delta.refusal"))),
+            event(F.lit("arguments"), index, F.lit("function_call.arguments"), F.coalesce(named(at(call, "$.name")), F.concat(F.lit("choice-"), index, F.lit("-legacy-function"))), string(at(call, "$.arguments"))),
+        )
+
+        def of_tool(t: Column, j: Column) -> Column:
+            number = F.coalesce(shown(at(t, "$.index")), j.cast("string"))
+            call_id = F.coalesce(named(at(t, "$.id")), F.concat(F.lit("choice-"), index, F.lit("-tool-"), number))
+            return event(F.lit("arguments"), index, F.concat(F.lit("tool_calls["), number, F.lit("].function.arguments")), call_id, string(at(t, "$.function.arguments")))
+
+        last = F.array(event(F.lit("finish"), index, null, null, shown(at(c, "$.finish_reason"))))
+        return F.filter(F.concat(first, F.transform(items(at(c, "$.delta.tool_calls")), of_tool), last), lambda e: e["text"].isNotNull())
+
+    failure, choices = at(F.col("_v"), "$.error"), at(F.col("_v"), "$.choices")
+    faults = F.filter(F.transform(items(choices), fault), lambda e: e.isNotNull())
+    wrong = (
+        F.when(kind_of(F.col("_v")) != "OBJECT", "$")
+        .when(failure.isNotNull(), F.when(kind_of(failure) != "OBJECT", "$.error"))
+        .when(kind_of(choices) != "ARRAY", "$.choices")
+        .otherwise(F.try_element_at(faults, F.lit(1)))
+    )
+    told = F.array(event(F.lit("failure"), null, null, F.coalesce(shown(at(failure, "$.code")), F.lit("provider_error")), F.coalesce(shown(at(failure, "$.message")), F.lit("provider error"))))
+    judged = read.withColumn("_wrong", wrong)
+    all_of = F.when(F.col("_wrong").isNotNull(), F.array(event(F.lit("refused"), null, null, null, null, F.col("_wrong")))).when(failure.isNotNull(), told).otherwise(F.flatten(F.transform(items(choices), made)))
+    return judged.select("stream_id", "seq", F.posexplode(all_of).alias("event", "e")).select("stream_id", "seq", "event", "e.kind", "e.choice", "e.field", "e.call_id", "e.text", "e.error")
+
+
+def bodies_of(rows: DataFrame, key: str = "request_id", model: Column | None = None) -> DataFrame:
+    """``key``, body, error: chat bodies from the rows that :func:`content` gives of them.
+
+    One text is a plain content, several are a list of parts, none is null; a tool's message
+    names the call that it answers. Rows with an error, and calls outside an assistant's message,
+    have no body but the path of the first such place. A body is one row, as it was.
+    """
+    quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"(?s)\A\[(.*)\]\z", "$1")
+    said = F.array_sort(F.collect_list(F.struct("item", "kind", "call_id", "name", "text", "error")))
+    each = rows.groupBy(key, "message").agg(F.first("role").alias("role"), said.alias("items"))
+    texts = F.filter("items", lambda i: i["kind"] == "text")
+    calls = F.filter("items", lambda i: i["kind"] == "tool_call")
+    refusals = F.filter("items", lambda i: i["kind"] == "refusal")
+    part = lambda i: F.concat(F.lit('{"type":"text","text":'), quoted(F.coalesce(i["text"], F.lit(""))), F.lit("}"))
+    call = lambda i: F.concat(F.lit('{"id":'), quoted(i["call_id"]), F.lit(',"type":"function","function":{"name":'), quoted(i["name"]), F.lit(',"arguments":'), quoted(i["text"]), F.lit("}}"))
+    content_of = F.when(F.size(texts) == 0, "null").when(F.size(texts) == 1, quoted(texts[0]["text"])).otherwise(F.concat(F.lit("["), F.array_join(F.transform(texts, part), ","), F.lit("]")))
+    members = F.concat_ws(
+        ",",
+        F.concat(F.lit('"role":'), quoted(F.col("role"))),
+        F.when((F.col("role") == "tool") & F.col("items")[0]["call_id"].isNotNull(), F.concat(F.lit('"tool_call_id":'), quoted(F.col("items")[0]["call_id"]))),
+        F.concat(F.lit('"content":'), content_of),
+        F.when(F.size(refusals) > 0, F.concat(F.lit('"refusal":'), quoted(refusals[0]["text"]))),
+        F.when(F.size(calls) > 0, F.concat(F.lit('"tool_calls":['), F.array_join(F.transform(calls, call), ","), F.lit("]"))),
+    )
+    faults = F.filter(F.transform("items", lambda i: i["error"]), lambda e: e.isNotNull())
+    place = F.concat(F.lit("$.messages["), "message", F.lit("].tool_calls"))
+    wrong = F.coalesce(F.try_element_at(faults, F.lit(1)), F.when((F.size(calls) > 0) & (F.col("role") != "assistant"), place))
+    made = each.select(key, "message", F.concat(F.lit("{"), members, F.lit("}")).alias("m"), wrong.alias("wrong"))
+    whole = made.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("message", "m"))).alias("all"), F.min_by("wrong", F.when(F.col("wrong").isNotNull(), F.col("message"))).alias("error"))
+    head = F.lit("") if model is None else F.concat(F.lit('"model":'), quoted(model), F.lit(","))
+    body = F.concat(F.lit("{"), head, F.lit('"messages":['), F.array_join(F.transform("all", lambda a: a["m"]), ","), F.lit("]}"))
+    return whole.select(key, F.when(F.col("error").isNull(), body).alias("body"), "error")
+
+
 def kept_histories(messages: DataFrame, ttl_seconds: int = 1800) -> DataFrame:
     """``messages`` (owner, conv_id, seq, ts) plus life and behind: which life of its conversation a message is in, and the messages before it there.
 
