@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from . import adapter_catalog
 from .functions import validators
-from .operators import bodies, conversations, detect, evaluation, gateway, mask, metrics, plain, policy, ratelimit, risk, sse, transform, wire
-from .plans.intermediate import dealt, streamed
+from .operators import bodies, conversations, detect, docx, evaluation, gateway, mask, metrics, plain, policy, ratelimit, risk, sse, transform, wire
+from .plans.intermediate import cut, dealt, streamed
 from .streaming import guard as stream_guards
 from .streaming import restore as stream
 from .streaming import store
@@ -392,12 +392,31 @@ def conversation_store(spark, sf_dir):
     return streamed(store.conversations(turns, 7200)).select("seq", "begins", F.size("history").cast("long").alias("behind"), "after")
 
 
+def _lined(batches):
+    for doc_id, text in docx._each(batches):
+        yield docx._batch([(str(doc_id), docx.from_lines((text or "").split("\n"), 7))], "id string, content binary")
+
+
+def _relined(batches):
+    for doc_id, content in docx._each(batches):
+        yield docx._batch([(doc_id, None if content is None else "\n".join(docx.lines_of(content)))], "id string, struck string")
+
+
+def docx_struck(spark, sf_dir):
+    """Documents as Word files with a paragraph a line, in runs of seven characters, struck out and read back."""
+    files = _texts(spark, sf_dir).select("doc_id", "text").mapInArrow(_lined, "id string, content binary")
+    made = cut(docx.struck(files, plain.actions([], False, False)))
+    shown = made.select("id", "docx").mapInArrow(_relined, "id string, struck string")
+    counts = made.select("id", "redactions", F.array_join("entity_types", ",").alias("types"), "error")
+    return shown.join(counts, "id").select(F.col("id").cast("long").alias("doc_id"), "struck", F.col("redactions").cast("long").alias("redactions"), "types", "error")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         risk_bucket_by_lang, risk_score, detect_documents, detect_pages, mask_semantic, mask_redact, mask_surrogate, rehydrate_roundtrip, validate_numbers, policy_first_match, policy_asserted, public_digest,
         principal_namespace, conversation_trim_count, conversation_trim_chars, turn_count, stream_reassemble, metrics_counts, latency_summary, p95_nearest_rank,
         sse_frames, rate_limit, vault_budget, vault_collisions, wire_numbers, wire_check, output_guard, detect_letters, transform_actions, restore_letters, guard_answers, mask_bodies, sealed_props,
-        plain_notes, plain_verdict, strike_notes, evaluate_notes, border_checks, unsafe_media, response_errors, instruct_conversations, policy_rule_errors, stream_restore, stream_guard, conversation_store,
+        plain_notes, plain_verdict, strike_notes, evaluate_notes, border_checks, unsafe_media, response_errors, instruct_conversations, policy_rule_errors, stream_restore, stream_guard, conversation_store, docx_struck,
     ]
     return {f.__name__: f for f in found} | adapter_catalog.queries()
 
