@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .operators import adapters, conversations, gateway, mask
+from .operators import adapters, conversations, gateway, mask, turns
+from .plans.intermediate import cut
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -133,8 +135,40 @@ def log_lines(spark, sf_dir):
     return events.select("event_id", gateway.log_line(events).alias("line"))
 
 
+def _turns(protocol):
+    def run(spark, sf_dir):
+        """Conversations as bodies of a protocol, read again; some assistants' turns are calls. A row for each item or refused body."""
+        said = _read(spark, sf_dir, "conversations")
+        called = (F.col("role") == "assistant") & (F.col("turn") % 4 == 3)
+        place = (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1).alias("message")
+        rows = said.select(
+            "conv_id", place, F.lit(0).alias("item"), F.coalesce("role", F.lit("user")).alias("role"), F.when(called, "tool_call").otherwise("text").alias("kind"), F.when(called, F.concat(F.lit("c"), "turn")).alias("call_id"),
+            F.when(called, "find").alias("name"), F.when(called, F.to_json(F.struct("turn"))).otherwise(F.coalesce("text", F.lit(""))).alias("text"), F.lit(None).cast("string").alias("error"),
+        )
+        made = cut(turns.bodies_of(rows, protocol, F.lit("m"), "conv_id"))
+        told = turns.content(made.where("error is null"), protocol, "conv_id").select("conv_id", F.col("message").cast("long").alias("message"), F.col("item").cast("long").alias("item"), "role", "classification", "kind", "call_id", "name", "text", "error")
+        return told.unionByName(made.where("error is not null").select("conv_id", "error"), allowMissingColumns=True)
+
+    run.__name__ = f"{protocol}_turns"
+    return run
+
+
+def _turns_sql(late: str) -> str:
+    return f"""
+        with q as (select conv_id, row_number() over (partition by conv_id order by turn) - 1 as m, coalesce(role, 'user') as role, coalesce(role = 'assistant' and turn % 4 = 3, false) as called, turn, coalesce(text, '') as text from conversations),
+        r as (select *, role = 'system' as s, count(*) filter (role = 'system') over w as before, bool_or(role = 'system') over (partition by conv_id) as told from q window w as (partition by conv_id order by m rows between unbounded preceding and 1 preceding)),
+        e as (select conv_id, min(m) filter (s and {late}) as bad from r group by conv_id),
+        n as (select r.*, row_number() over (partition by conv_id, s order by m) - 1 as k from r)
+        select conv_id, case when s then 0 else k + told::bigint end as message, case when s then k else 0 end as item, role, case role when 'system' then 'instruction' when 'assistant' then 'assistant_text' else 'user_text' end as classification,
+          case when called then 'tool_call' else 'text' end as kind, case when called then 'c' || turn end as call_id, case when called then 'find' end as name, case when called then '{{"turn":' || turn || '}}' else text end as text, null as error from n join e using (conv_id) where bad is null
+        union all select conv_id, null, null, null, null, null, null, null, null, '$.turns[' || bad || ']' from e where bad is not null"""
+
+
+LATE = {"messages": "before < m", "generate": "before < m", "responses": "before > 0", "interactions": "m > 0"}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (chat_to_gemini, chat_content, gemini_answers, assistant_messages, protocol_errors, stream_buffered, conversation_lives, stream_events, chat_rewritten, vault_prune, bearer_checks, log_lines)}
+    return {f.__name__: f for f in (chat_to_gemini, chat_content, gemini_answers, assistant_messages, protocol_errors, stream_buffered, conversation_lives, stream_events, chat_rewritten, vault_prune, bearer_checks, log_lines, *map(_turns, turns.PROTOCOLS))}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -184,4 +218,4 @@ def oracle_sql() -> dict[str, str]:
             select c_custkey, c_mktsegment <> 'BUILDING' and c_name in (select c_name from customer where c_acctbal >= 0) as admitted from customer""",
         "log_lines": """
             select event_id, '{"message":"' || case when event_type = 'view' then 'log_suppressed' else event_type end || '","request_id":"' || user_id || '"}' as line from events""",
-    }
+    } | {f"{p}_turns": _turns_sql(late) for p, late in LATE.items()}
