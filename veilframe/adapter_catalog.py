@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .operators import adapters, conversations, gateway, mask, turns
+from .operators import adapters, conversations, gateway, mask, settings, turns
 from .plans.intermediate import cut
 
 
@@ -164,11 +164,33 @@ def _turns_sql(late: str) -> str:
         union all select conv_id, null, null, null, null, null, null, null, null, '$.turns[' || bad || ']' from e where bad is not null"""
 
 
+def request_settings(spark, sf_dir):
+    """For each order a body with settings of its columns; some are of a wrong kind, unknown, or ask to store."""
+    n = F.col("o_orderkey")
+    pick = lambda k, bad, good: F.when(n % k == 0, bad).otherwise(good)
+    body = F.concat(
+        F.lit('{"model":"m","input":"order","max_output_tokens":'), pick(3, F.lit('"many"'), n.cast("string")), F.lit(',"temperature":'), pick(5, F.lit("true"), (n % 4).cast("string")),
+        F.lit(',"stream":'), pick(2, F.lit("true"), F.lit("false")), F.lit(',"store":'), pick(7, F.lit("true"), F.lit("null")), pick(11, F.lit(',"seed":1'), F.lit("")), F.lit(',"trace":"'), F.col("o_orderstatus"), F.lit('"}'),
+    )
+    made = settings.settings(_read(spark, sf_dir, "orders").select("o_orderkey", body.alias("body")), "responses", "o_orderkey", extensions=("trace",))
+    return made.select("o_orderkey", "model", "max_tokens", "temperature", "stream", "store", "extensions", "error")
+
+
+def request_tools(spark, sf_dir):
+    """For each part a body with two tools; some are the provider's own, or have an unknown member or no schema."""
+    n = F.col("p_partkey")
+    pick = lambda k, bad, good: F.when(n % k == 0, bad).otherwise(good)
+    first = F.concat(F.lit('{"name":"find_'), n, F.lit('","description":"'), F.col("p_brand"), F.lit('"'), pick(5, F.lit(',"cache":1'), F.lit("")), pick(7, F.lit(""), F.lit(',"input_schema":{"type":"object"}')), F.lit("}"))
+    second = pick(3, F.lit('{"type":"search","name":"s"}'), F.lit('{"name":"s","input_schema":{},"strict":true}'))
+    made = settings.tools(_read(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit('{"tools":['), first, F.lit(","), second, F.lit("]}")).alias("body")), "messages", "p_partkey")
+    return made.select("p_partkey", F.col("tool").cast("long").alias("tool"), "name", "description", "schema", "strict", "error")
+
+
 LATE = {"messages": "before < m", "generate": "before < m", "responses": "before > 0", "interactions": "m > 0"}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (chat_to_gemini, chat_content, gemini_answers, assistant_messages, protocol_errors, stream_buffered, conversation_lives, stream_events, chat_rewritten, vault_prune, bearer_checks, log_lines, *map(_turns, turns.PROTOCOLS))}
+    return {f.__name__: f for f in (chat_to_gemini, chat_content, gemini_answers, assistant_messages, protocol_errors, stream_buffered, conversation_lives, stream_events, chat_rewritten, vault_prune, bearer_checks, log_lines, request_settings, request_tools, *map(_turns, turns.PROTOCOLS))}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -218,4 +240,12 @@ def oracle_sql() -> dict[str, str]:
             select c_custkey, c_mktsegment <> 'BUILDING' and c_name in (select c_name from customer where c_acctbal >= 0) as admitted from customer""",
         "log_lines": """
             select event_id, '{"message":"' || case when event_type = 'view' then 'log_suppressed' else event_type end || '","request_id":"' || user_id || '"}' as line from events""",
+        "request_settings": """
+            with e as (select *, case when o_orderkey % 11 = 0 then '$.seed' when o_orderkey % 3 = 0 then '$.max_output_tokens' when o_orderkey % 5 = 0 then '$.temperature' when o_orderkey % 7 = 0 then '$.store' end as error from orders)
+            select o_orderkey, case when error is null then 'm' end as model, case when error is null then o_orderkey end as max_tokens, case when error is null then (o_orderkey % 4)::double end as temperature, case when error is null then o_orderkey % 2 = 0 end as stream,
+              case when error is null then false end as store, case when error is null then '{"trace":"' || o_orderstatus || '"}' end as extensions, error from e""",
+        "request_tools": """
+            with e as (select *, case when p_partkey % 5 = 0 then '$.tools[0]' when p_partkey % 7 = 0 then '$.tools[0].input_schema' end as e0, case when p_partkey % 3 = 0 then '$.tools[1]' end as e1 from part)
+            select p_partkey, 0::bigint as tool, case when e0 is null then 'find_' || p_partkey end as name, case when e0 is null then p_brand end as description, case when e0 is null then '{"type":"object"}' end as schema, case when e0 is null then false end as strict, e0 as error from e
+            union all select p_partkey, 1, case when e1 is null then 's' end, case when e1 is null then '' end, case when e1 is null then '{}' end, case when e1 is null then true end, e1 from e""",
     } | {f"{p}_turns": _turns_sql(late) for p, late in LATE.items()}

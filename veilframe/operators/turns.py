@@ -210,12 +210,12 @@ def _system(protocol: str, v: Column) -> Column:
     return F.when(_kind(said) == "", none).otherwise(F.array(_turn("system", one).cast(TURN)))
 
 
-def content(bodies: DataFrame, protocol: str, key: str = "request_id", body: str = "body") -> DataFrame:
+def content(bodies: DataFrame, protocol: str, key: str = "request_id", body: str = "body", extensions: tuple[str, ...] = ()) -> DataFrame:
     """``key``, message, item, role, classification, kind, call_id, name, text, error: a body's content, a row each.
 
     ``protocol`` is one of :data:`PROTOCOLS`. kind: text, tool_call (text: its arguments as
     JSON), tool_result or refused; ``error`` is the path of what was refused, and such a row has
-    no text. A body that is no JSON object, has a member that the protocol does not have or lacks
+    no text. A body that is no JSON object, has a member that neither the protocol nor ``extensions`` has or lacks
     a list of turns has one refused row for that. What stands for the system comes first. A turn
     without items has one row of nulls.
     """
@@ -225,7 +225,7 @@ def content(bodies: DataFrame, protocol: str, key: str = "request_id", body: str
     turns = F.transform(_list(listed), lambda t, i: F.when(_kind(t) == "OBJECT", reader(t, path(i)).cast(TURN)).otherwise(_refused(path(i)).cast(TURN)))
     if name == "input":
         turns = F.when(_kind(listed) == "STRING", F.array(_turn("user", F.array(_item("text", text=_string(listed)))).cast(TURN))).otherwise(turns)
-    alien = F.try_element_at(F.array_sort(F.array_except(_members(v), F.array(*[F.lit(m) for m in MEMBERS[protocol]]))), F.lit(1))
+    alien = F.try_element_at(F.array_sort(F.array_except(_members(v), F.array(*[F.lit(m) for m in MEMBERS[protocol] + extensions]))), F.lit(1))
     shape = _kind(listed).isin("ARRAY", "STRING") if name == "input" else _kind(listed) == "ARRAY"
     fault = F.when(_kind(v) != "OBJECT", "$").when(alien.isNotNull(), F.concat(F.lit("$."), alien)).when(~shape, f"$.{name}")
     alone = F.array(_refused(fault).cast(TURN))
