@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from veilframe.operators import settings, turns
+from veilframe.operators import conversations, plain, settings, turns
 
 
 def frame(spark, *bodies):
@@ -46,3 +46,15 @@ def test_tools(spark):
     assert read("messages", {"name": 1, "input_schema": {}}, {"name": "f", "description": 2, "input_schema": {}}, {"name": "f", "input_schema": {}}) == [fault("$.tools[0].name"), fault("$.tools[1].description"), ("f", "", "{}", False, None, None)]
     rest = settings.tools(frame(spark, {"tools": {}}, {}, None, {"tools": []}), "messages").select("request_id", "error").where(F.lit(True)).collect()
     assert [tuple(r) for r in rest] == [(0, "$.tools")]
+
+
+def test_appended_and_trace(spark):
+    rows = "conv_id long, turn long, role string, text string"
+    old = spark.createDataFrame([(1, 5, "user", "a"), (1, None, "system", "s"), (2, 0, "user", "b")], rows)
+    new = spark.createDataFrame([(1, 0, "user", "c"), (3, 0, "user", None), (1, 1, "assistant", "d")], rows)
+    got = conversations.appended(old, new).orderBy("conv_id", "position").collect()
+    assert [(r["conv_id"], r["position"], r["text"]) for r in got] == [(1, 0, "s"), (1, 1, "a"), (1, 2, "c"), (1, 3, "d"), (2, 0, "b"), (3, 0, None)]
+    assert conversations.appended(old.limit(0), new.limit(0)).count() == 0
+    found = plain.detect(spark.createDataFrame([(1, "who@mail.example and 10.0.0.1 or you@mail.example"), (2, "none"), (3, None)], "k int, text string"))
+    told = {r["k"]: (r["t"]["types"], r["t"]["count"]) for r in found.select("k", plain.trace(F.col("detections")).alias("t")).collect()}
+    assert told == {1: (["EMAIL", "IP_ADDRESS"], 3), 2: ([], 0), 3: ([], 0)}

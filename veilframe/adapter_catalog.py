@@ -186,11 +186,17 @@ def request_tools(spark, sf_dir):
     return made.select("p_partkey", F.col("tool").cast("long").alias("tool"), "name", "description", "schema", "strict", "error")
 
 
+def history_appended(spark, sf_dir):
+    """Conversations' even turns as what is stored, their odd ones as new messages."""
+    said = _read(spark, sf_dir, "conversations")
+    return conversations.appended(said.where("turn % 2 = 0"), said.where("turn % 2 = 1")).select("conv_id", "position", "role", "text")
+
+
 LATE = {"messages": "before < m", "generate": "before < m", "responses": "before > 0", "interactions": "m > 0"}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (chat_to_gemini, chat_content, gemini_answers, assistant_messages, protocol_errors, stream_buffered, conversation_lives, stream_events, chat_rewritten, vault_prune, bearer_checks, log_lines, request_settings, request_tools, *map(_turns, turns.PROTOCOLS))}
+    return {f.__name__: f for f in (chat_to_gemini, chat_content, gemini_answers, assistant_messages, protocol_errors, stream_buffered, conversation_lives, stream_events, chat_rewritten, vault_prune, bearer_checks, log_lines, request_settings, request_tools, history_appended, *map(_turns, turns.PROTOCOLS))}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -244,6 +250,7 @@ def oracle_sql() -> dict[str, str]:
             with e as (select *, case when o_orderkey % 11 = 0 then '$.seed' when o_orderkey % 3 = 0 then '$.max_output_tokens' when o_orderkey % 5 = 0 then '$.temperature' when o_orderkey % 7 = 0 then '$.store' end as error from orders)
             select o_orderkey, case when error is null then 'm' end as model, case when error is null then o_orderkey end as max_tokens, case when error is null then (o_orderkey % 4)::double end as temperature, case when error is null then o_orderkey % 2 = 0 end as stream,
               case when error is null then false end as store, case when error is null then '{"trace":"' || o_orderstatus || '"}' end as extensions, error from e""",
+        "history_appended": "select conv_id, row_number() over (partition by conv_id order by turn % 2, turn, role, text) - 1 as position, role, text from conversations where turn is not null",
         "request_tools": """
             with e as (select *, case when p_partkey % 5 = 0 then '$.tools[0]' when p_partkey % 7 = 0 then '$.tools[0].input_schema' end as e0, case when p_partkey % 3 = 0 then '$.tools[1]' end as e1 from part)
             select p_partkey, 0::bigint as tool, case when e0 is null then 'find_' || p_partkey end as name, case when e0 is null then p_brand end as description, case when e0 is null then '{"type":"object"}' end as schema, case when e0 is null then false end as strict, e0 as error from e

@@ -68,3 +68,15 @@ def instruct(messages: DataFrame, said: DataFrame) -> DataFrame:
     places = messages.groupBy("conv_id").agg(F.coalesce(F.min(F.when(other, F.col("turn"))), F.max("turn") + 1).alias("turn"))
     added = places.join(said.where(F.col("instruction").isNotNull()), "conv_id").select("conv_id", "turn", F.lit(0).alias("part"), F.lit("system").alias("role"), F.col("instruction").alias("text"))
     return messages.select("conv_id", "turn", F.lit(1).alias("part"), "role", "text").unionByName(added)
+
+
+def appended(history: DataFrame, new: DataFrame) -> DataFrame:
+    """conv_id, position, turn, role, text: each conversation's stored messages and the new ones after them.
+
+    Both have conv_id, turn, role and text; ``turn`` orders each of them (nulls first) and is kept.
+    Conversations that only one of them has stay as they are. One conversation is ordered in one task.
+    """
+    names = ["conv_id", "turn", "role", "text"]
+    both = history.select(*names, F.lit(0).alias("_late")).unionByName(new.select(*names, F.lit(1).alias("_late")))
+    order = Window.partitionBy("conv_id").orderBy("_late", "turn", "role", "text")
+    return both.select("conv_id", (F.row_number().over(order) - 1).cast("long").alias("position"), "turn", "role", "text")
