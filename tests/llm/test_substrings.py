@@ -74,3 +74,32 @@ def test_outlying_ids(spark):
     texts = [(i, f"{i * 7919} {passage[i % 20 :]}") for i in range(200)] + [(2**62, passage), (-(2**62), passage[5:80]), (2**62 + 1, passage + "x")]
     docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
     compare(substrings.remove_repeats(docs).collect(), texts)
+
+
+def test_a_passage_twice_in_one_document(spark):
+    rng = random.Random(7)
+    made = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    texts = []
+    for i in range(0, 80, 2):
+        core = made(60)
+        wide = core + made(30)  # of which a smaller document has the core alone
+        texts += [(i, made(40) + core + made(40)), (i + 1, made(30) + wide + made(50) + wide + made(20))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    compare(substrings.remove_repeats(docs).collect(), texts)
+
+
+def test_ids_of_several_texts(spark):
+    rng = random.Random(8)
+    made = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    shared, other = made(90), made(70)
+    texts = [(1, shared), (2, shared), (2, made(200)), (2, None), (3, made(90) + shared[:60]), (3, made(60)), (3, other + made(9)), (3, other), (4, other[5:] + made(40)), (4, "short"), (5, shared), (5, shared)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+
+    def want(d, t):
+        strings = {s[i : i + 50] for e, s in texts if s and e < d for i in range(len(s) - 49)}
+        gone = {k for i in range(len(t) - 49) if t[i : i + 50] in strings for k in range(i, i + 50)}
+        runs = sum(k - 1 not in gone for k in gone)
+        return d, len(t), len(gone), runs, hashlib.sha256("".join(c for k, c in enumerate(t) if k not in gone).encode()).hexdigest()
+
+    rows = [tuple(r)[:5] for r in substrings.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()]
+    assert sorted(rows) == sorted(want(d, t or "") for d, t in texts)

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import spread_join, stash, whole_text
@@ -42,7 +42,7 @@ BUCKET_BYTES, LEAST_BUCKETS = 24_000_000, 16
 RANGES, RANGE_ERROR = 8, 0.01
 _U64 = np.uint64
 _STRETCH = CHOICE + LENGTH - 1
-_OUT = "bucket int, part int, doc_id long, blob binary"
+_OUT = "bucket int, part int, doc_id long, variant long, blob binary"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -119,48 +119,49 @@ def _batches(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.Record
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "part", "doc_id", "blob"])
+    cols = list(zip(*rows, strict=True)) if rows else [[], [], [], [], []]
+    types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["bucket", "part", "doc_id", "variant", "blob"])
 
 
-def _by_doc(doc: np.ndarray, *values: np.ndarray, spread: int) -> Iterator[tuple]:
+def _by_doc(doc: np.ndarray, variant: np.ndarray, *values: np.ndarray, spread: int) -> Iterator[tuple]:
     """Rows that carry values (32 bits each, side by side) straight to their documents.
 
     They pass the buckets untouched.
     """
     table = np.stack(values, 1).astype(np.uint32)
-    order = np.argsort(doc, kind="stable")
-    cut = np.flatnonzero(np.diff(doc[order])) + 1
+    order = np.lexsort((variant, doc))
+    cut = np.flatnonzero((np.diff(doc[order]) != 0) | (np.diff(variant[order]) != 0)) + 1
     for k in np.split(order, cut):
         if len(k):
             d = int(doc[k[0]])
-            yield d % spread, -1, d, table[k].tobytes()
+            yield d % spread, -1, d, int(variant[k[0]]), table[k].tobytes()
 
 
 def _deal_anchors(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _batches(batches, 1):
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            doc, _, _, place, h = anchors(*_buffer(batch.column(1).to_pylist()))
+        for batch in _batches(batches, 2):
+            ids, variants = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            doc, _, _, place, h = anchors(*_buffer(batch.column(2).to_pylist()))
             if not len(doc):
                 continue
-            doc = ids[doc]
+            variant, doc = variants[doc], ids[doc]
             order = np.lexsort((doc, h))
-            doc, place, h = doc[order], place[order], h[order]
+            doc, variant, place, h = doc[order], variant[order], place[order], h[order]
             group = np.cumsum(np.append(True, h[1:] != h[:-1])) - 1
             first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
             ends = np.append(first[1:], len(h)) - 1
             shared = doc[first] != doc[ends]  # two documents of this batch have it
-            rows = list(_by_doc(doc[shared[group]], place[shared[group]].astype(np.uint32), spread=buckets))
+            rows = list(_by_doc(doc[shared[group]], variant[shared[group]], place[shared[group]].astype(np.uint32), spread=buckets))
             send = ~shared[group]
             send[first] = True
             flag = shared[group][send]
-            doc, place, h = doc[send], place[send].astype(np.uint32), h[send]
+            doc, variant, place, h = doc[send], variant[send], place[send].astype(np.uint32), h[send]
             bucket = (h % _U64(buckets)).astype(np.int64)
             order = np.lexsort((place, doc, bucket))
             for k in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
                 high = h[k].view(np.uint8).reshape(-1, 8)[:, 2:].copy()
-                rows.append((int(bucket[k[0]]), 0, None, _pack(high, doc[k], place[k], flag[k])))
+                rows.append((int(bucket[k[0]]), 0, None, None, _pack(high, doc[k], variant[k], place[k], flag[k])))
             yield _rows(rows)
 
     return run
@@ -170,17 +171,17 @@ def _shared_anchors(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each bucket, the places of anchors that two documents have; rows come by bucket."""
 
     def found(blobs: list[bytes]) -> Iterator[tuple]:
-        high, doc, place, flag = (np.concatenate(x) for x in zip(*map(_unpack, blobs), strict=True))
+        high, doc, variant, place, flag = (np.concatenate(x) for x in zip(*map(_unpack, blobs), strict=True))
         h = np.zeros((len(high), 8), np.uint8)
         h[:, :6] = high
         h = h.view(_U64).ravel()
         order = np.argsort(h, kind="stable")
-        h, doc, place, flag = h[order], doc[order], place[order], flag[order]
+        h, doc, variant, place, flag = h[order], doc[order], variant[order], place[order], flag[order]
         first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         size = np.diff(np.append(first, len(h)))
         several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
         ok = np.repeat(several | (np.add.reduceat(flag.astype(np.int64), first) > 0), size) & ~flag
-        yield from _by_doc(doc[ok], place[ok], spread=1)
+        yield from _by_doc(doc[ok], variant[ok], place[ok], spread=1)
 
     yield from _per_bucket(rows, found)
 
@@ -189,9 +190,9 @@ def _per_bucket(rows: Iterator[pa.RecordBatch], found) -> Iterator[pa.RecordBatc
     now, blobs = None, []
     for batch in rows:
         out = []
-        for bucket, part, doc, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for bucket, part, doc, variant, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if part < 0:
-                out.append((bucket, part, doc, blob))
+                out.append((bucket, part, doc, variant, blob))
                 continue
             if bucket != now:
                 if blobs:
@@ -213,25 +214,25 @@ def _stretches(data: np.ndarray, at: np.ndarray, count: np.ndarray) -> np.ndarra
 
 def _deal_stretches(buckets: int, bounds: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _batches(batches, 1):
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            data, starts, sizes = _buffer(batch.column(1).to_pylist())
+        for batch in _batches(batches, 2):
+            ids, variants = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            data, starts, sizes = _buffer(batch.column(2).to_pylist())
             doc, first, count, place, h = anchors(data, starts, sizes)
-            wanted = [np.frombuffer(b"".join(blobs), np.uint32).astype(np.int64) + s for blobs, s in zip(batch.column(2).to_pylist(), starts, strict=True)]
+            wanted = [np.frombuffer(b"".join(blobs), np.uint32).astype(np.int64) + s for blobs, s in zip(batch.column(3).to_pylist(), starts, strict=True)]
             ok = np.isin(place + starts[doc], np.concatenate(wanted)) if len(doc) else np.zeros(0, bool)
             if not ok.any():
                 continue
             doc, first, count, h = doc[ok], first[ok], count[ok], h[ok]
             text = _stretches(data, first + starts[doc], count)
-            doc = ids[doc]
+            variant, doc = variants[doc], ids[doc]
             order = np.lexsort((doc, text))
-            doc, first, count, h, text = doc[order], first[order], count[order], h[order], text[order]
+            doc, variant, first, count, h, text = (x[order] for x in (doc, variant, first, count, h, text))
             new = np.append(True, text[1:] != text[:-1])
             least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
             over = doc != least  # a smaller document of this batch has all of it
             end = first + count + LENGTH - 1
-            rows = list(_by_doc(doc[over], first[over].astype(np.uint32), end[over].astype(np.uint32), spread=buckets))
-            doc, first, count, h, text = doc[~over], first[~over], count[~over], h[~over], text[~over]
+            rows = list(_by_doc(doc[over], variant[over], first[over].astype(np.uint32), end[over].astype(np.uint32), spread=buckets))
+            doc, variant, first, count, h, text = (x[~over] for x in (doc, variant, first, count, h, text))
             bucket = (h % _U64(buckets)).astype(np.int64)
             part = np.searchsorted(bounds, doc, "right")
             code = bucket * RANGES + part
@@ -239,7 +240,7 @@ def _deal_stretches(buckets: int, bounds: list[int]):
             for k in np.split(order, np.flatnonzero(np.diff(code[order])) + 1):
                 k = k[np.argsort(doc[k], kind="stable")]  # documents in a row pack well
                 short = (h[k] >> _U64(32)).astype(np.uint32)  # narrows candidates; strings are compared
-                rows.append((int(bucket[k[0]]), int(part[k[0]]), None, _pack(short, doc[k], first[k].astype(np.uint32), count[k].astype(np.uint8), text[k])))
+                rows.append((int(bucket[k[0]]), int(part[k[0]]), None, None, _pack(short, doc[k], variant[k], first[k].astype(np.uint32), count[k].astype(np.uint8), text[k])))
             yield _rows(rows)
 
     return run
@@ -274,13 +275,13 @@ class Family:
         return tuple(np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, np.uint32), np.zeros(0, f"S{_STRETCH}"), np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def scan(family: Family, h, text, count, doc, first):
-    """Spans (doc, start, end) that smaller documents repeat, for the stretches of one id range.
+def scan(family: Family, h, text, count, doc, variant, first):
+    """Spans (doc, variant, start, end) that smaller documents repeat, for the stretches of one id range.
 
     ``family`` holds the ranges before; the stretches of this one join it afterwards.
     """
     order = np.lexsort((doc, text, h))
-    h, text, count, doc, first = h[order], text[order], count[order], doc[order], first[order]
+    h, text, count, doc, variant, first = (x[order] for x in (h, text, count, doc, variant, first))
     new = np.append(True, (h[1:] != h[:-1]) | (text[1:] != text[:-1]))
     head = np.flatnonzero(new)
     own = np.cumsum(new) - 1
@@ -292,14 +293,15 @@ def scan(family: Family, h, text, count, doc, first):
     seen = np.zeros(len(head), bool)
     seen[rank[same & (rank < len(head))]] = True
     whole = seen[own] | (doc != doc[head][own])
-    spans = [(doc[whole], first[whole], first[whole] + count[whole] + LENGTH - 1)]
+    spans = [(doc[whole], variant[whole], first[whole], first[whole] + count[whole] + LENGTH - 1)]
     # Parts of stretches: strings that other stretches of the anchor have.
     lone = head[~seen]
     names, times = np.unique(np.concatenate([h[head], old[0]]), return_counts=True)
     lone = lone[times[np.searchsorted(names, h[lone])] > 1]
     if len(lone):
         among = np.unique(h[lone])
-        mine = head[np.isin(h[head], among)]
+        group = np.flatnonzero(np.isin(h[head], among))
+        mine = head[group]
         theirs = np.isin(old[0], among)
         t = np.concatenate([text[mine], old[1][theirs]])
         c = np.concatenate([count[mine], old[2][theirs]])
@@ -316,9 +318,14 @@ def scan(family: Family, h, text, count, doc, first):
         hit = np.zeros(len(s), bool)
         hit[order] = least < d[source][order]
         hit &= source < len(mine)
-        k = source[hit]
-        at = first[mine][k] + shift[hit]
-        spans.append((doc[mine][k], at, at + LENGTH))
+        # The least document may have its stretch at several places, and all of them lose the string.
+        rest = np.flatnonzero(~whole)
+        found = group[source[hit]]
+        a = np.searchsorted(own[rest], found)
+        n = np.searchsorted(own[rest], found, "right") - a
+        k = rest[np.repeat(a - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+        at = first[k] + np.repeat(shift[hit], n)
+        spans.append((doc[k], variant[k], at, at + LENGTH))
     family.add(h[head], text[head], count[head], doc[head])
     return tuple(np.concatenate(x) for x in zip(*spans, strict=True))
 
@@ -327,16 +334,16 @@ def _spans(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans per document; rows come by bucket and id range."""
 
     def flush(family: Family, blobs: list[bytes]) -> Iterator[tuple]:
-        h, doc, first, count, text = (np.concatenate(x) for x in zip(*map(_unpack, blobs), strict=True))
-        d, a, b = scan(family, h, text, count.astype(np.int64), doc, first.astype(np.int64))
-        yield from _by_doc(d, a.astype(np.uint32), b.astype(np.uint32), spread=1)
+        h, doc, variant, first, count, text = (np.concatenate(x) for x in zip(*map(_unpack, blobs), strict=True))
+        d, v, a, b = scan(family, h, text, count.astype(np.int64), doc, variant, first.astype(np.int64))
+        yield from _by_doc(d, v, a.astype(np.uint32), b.astype(np.uint32), spread=1)
 
     now, blobs, family = None, [], Family()
     for batch in rows:
         out = []
-        for bucket, part, doc, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for bucket, part, doc, variant, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if part < 0:
-                out.append((bucket, part, doc, blob))
+                out.append((bucket, part, doc, variant, blob))
                 continue
             if (bucket, part) != now:
                 if blobs:
@@ -370,33 +377,68 @@ def raw_texts(docs: DataFrame) -> DataFrame:
     return docs.select(doc_id, F.encode(whole_text(), "UTF-8").alias("raw"))
 
 
-def whole_copies(docs: DataFrame) -> DataFrame:
-    """doc_id, copy (true) of the documents whose whole text a smaller one has."""
-    sums = stash(raw_texts(docs).where("doc_id is not null and octet_length(raw) >= 50").select("doc_id", F.md5("raw").alias("sum")))
-    first = stash(sums.groupBy("sum").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last"))
+def _variant(several: DataFrame | None, total: Column) -> Column:
+    """0, but for ids of several texts a number made of the text's MD5, below 2 to the power 60."""
+    return F.when(F.col("several"), F.conv(F.substring(total, 1, 15), 16, 10).cast("long")).otherwise(F.lit(0).cast("long")) if several is not None else F.lit(0).cast("long")
+
+
+def named_texts(docs: DataFrame, several: DataFrame | None) -> DataFrame:
+    """doc_id, variant and raw of the rows with an id."""
+    texts = raw_texts(docs).where("doc_id is not null")
+    if several is not None:
+        texts = texts.join(several.hint("merge"), "doc_id", "left")
+    return texts.select("doc_id", _variant(several, F.md5("raw")).alias("variant"), "raw")
+
+
+def by_text(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    """``left`` joined with ``right`` by id and variant.
+
+    Both are dealt by the id alone, so that one exchange of the texts serves all joins; hence no
+    plain equality of variants.
+    """
+    right = right.withColumnsRenamed({"doc_id": "its_id", "variant": "its_variant"})
+    same = (F.col("doc_id") == F.col("its_id")) & (F.col("variant") - F.col("its_variant") == 0)
+    return left.join(right.hint("merge"), same, how).drop("its_id", "its_variant")
+
+
+def whole_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """doc_id, variant, copy (true) of the texts that a smaller document has whole; ids of several texts, if any."""
+    sums = stash(raw_texts(docs).where("doc_id is not null").select("doc_id", F.md5("raw").alias("sum"), (F.octet_length("raw") >= LENGTH).alias("long")))
+    several = stash(sums.groupBy("doc_id").agg(F.min("sum").alias("a"), F.max("sum").alias("z")).where("a < z").select("doc_id", F.lit(True).alias("several")))
+    several = None if several.isEmpty() else several
+    first = stash(sums.where("long").groupBy("sum").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last"))
     # One text may have most of the rows.
-    return stash(spread_join(sums, first, ["sum"], "n").where("doc_id > first").groupBy("doc_id").agg(F.lit(True).alias("copy")))
+    copies = spread_join(sums.where("long").drop("long"), first, ["sum"], "n").where("doc_id > first")
+    if several is not None:
+        copies = copies.join(several, "doc_id", "left")
+    copies = copies.select("doc_id", _variant(several, F.col("sum")).alias("variant"))
+    return stash(copies.groupBy("doc_id", "variant").agg(F.lit(True).alias("copy"))), several
+
+
+def _gathered(parts: DataFrame, name: str) -> DataFrame:
+    """The blobs of each text, dealt by id."""
+    return parts.repartition("doc_id").groupBy("doc_id", "variant").agg(F.collect_list("blob").alias(name))
 
 
-def repeated_spans(docs: DataFrame, copies: DataFrame) -> DataFrame:
-    """doc_id and blobs of spans, for the documents that have any; ``copies`` stay out."""
-    usable = raw_texts(docs).where("doc_id is not null")
-    plain = usable.join(copies.hint("merge"), "doc_id", "left").where("copy is null").select("doc_id", "raw")
+def repeated_spans(docs: DataFrame, copies: DataFrame, several: DataFrame | None) -> DataFrame:
+    """doc_id, variant and blobs of spans, for the texts that have any; ``copies`` stay out."""
+    usable = named_texts(docs, several)
+    plain = by_text(usable, copies, "left").where("copy is null").select("doc_id", "variant", "raw")
     shares = F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)])
     total, bounds = docs.select(F.sum(F.octet_length("text")), F.percentile_approx(F.col("doc_id").cast("long"), shares, F.lit(int(1 / RANGE_ERROR)))).first()
     buckets = max(LEAST_BUCKETS, int(total or 0) // BUCKET_BYTES)
     dealt = plain.mapInArrow(_deal_anchors(buckets), _OUT).repartition(buckets, "bucket").sortWithinPartitions("bucket", "part")
-    places = dealt.mapInArrow(_shared_anchors, _OUT).groupBy("doc_id").agg(F.collect_list("blob").alias("places"))
-    around = usable.join(places.hint("merge"), "doc_id").select("doc_id", "raw", "places")
+    places = _gathered(dealt.mapInArrow(_shared_anchors, _OUT), "places")
+    around = by_text(usable, places, "inner").select("doc_id", "variant", "raw", "places")
     dealt = around.mapInArrow(_deal_stretches(buckets, sorted(bounds or [])), _OUT).repartition(buckets, "bucket").sortWithinPartitions("bucket", "part")
-    return dealt.mapInArrow(_spans, _OUT).groupBy("doc_id").agg(F.collect_list("blob").alias("spans"))
+    return _gathered(dealt.mapInArrow(_spans, _OUT), "spans")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (bytes) of every row of ``docs``.
 
-    A null text is empty. Rows without an id take no part and keep all. An id names one document:
-    rows that repeat it with the same text get the same result, and do not count as another.
+    A null text is empty. Rows without an id take no part and keep all. Rows that repeat an id,
+    with the same text or another, are documents of their own, none smaller than the others.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -420,11 +462,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             )
 
     texts = raw_texts(docs)
-    copies = whole_copies(docs)
-    spans = repeated_spans(docs, copies)
+    copies, several = whole_copies(docs)
+    spans = repeated_spans(docs, copies, several)
     # All joins deal the same texts by id, so one exchange serves them.
-    named = texts.where("doc_id is not null").join(spans.hint("merge"), "doc_id", "left").join(copies.hint("merge"), "doc_id", "left")
-    named = named.select("doc_id", "raw", "spans", "copy")
+    named = by_text(by_text(named_texts(docs, several), spans, "left"), copies, "left").select("doc_id", "raw", "spans", "copy")
     nameless = texts.where("doc_id is null").select("doc_id", "raw", F.lit(None).cast("array<binary>").alias("spans"), F.lit(None).cast("boolean").alias("copy"))
     joined = named.unionByName(nameless)
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
