@@ -118,3 +118,17 @@ def test_plan_joined_by_buckets(spark, monkeypatch):
     monkeypatch.setattr(packing, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(packing, "RANK_BUCKET", 16)
     check(packing.pack_documents(rows_of(spark, texts), tokenizer_path(), 32).collect(), texts, 32)
+
+
+def test_words_merged_together_get_the_tokenizers_ids():
+    """Words of one to 64 letters, of one and two bytes, in any case; all others are left to the tokenizer."""
+    ids = packing.WordIds(tokenizer_path())
+    rng = np.random.default_rng(5)
+    letters = list("aAbeEiInorstTuzéÉßµøÿ")
+    words = ["".join(rng.choice(letters, n)) for n in [*range(1, 65)] * 8] + ["é" * 64, "a", "THE", "international"]
+    taken = ids.merges.takes([*words, "x" * 65, "don't", "it's", "漢字", "Ā", "", "a1", "a b"])
+    assert taken == words
+    want = [np.asarray(e.ids, "<u4").tobytes() for e in ids.tokenizer.encode_batch(words, add_special_tokens=False)]
+    assert ids.merges(words) == want and ids.merges([]) == []
+    text = " ".join(f"{w}{t}" for w, t in zip(words, [",", "", "...", "'s", "1"] * len(words), strict=False))
+    assert ids(text) == np.asarray(ids.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()

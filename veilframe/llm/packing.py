@@ -11,9 +11,10 @@ from __future__ import annotations
 
 import functools
 import operator
+import re
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,8 +27,8 @@ from .common import cut, whole_text
 CAPACITY = 2048
 #: A plan of at most this many rows is broadcast; a longer one is joined by shuffle.
 BROADCAST_ROWS = 100_000
-#: Distinct words whose ids a Python worker keeps before it starts afresh, and words without their punctuation.
-CACHE_WORDS, CACHE_STEMS = 400_000, 100_000
+#: Distinct words whose ids a Python worker keeps before it starts afresh.
+CACHE_WORDS = 200_000
 #: Characters of text whose words are looked up together.
 CHUNK_CHARS = 4_000_000
 #: Longer words go to the tokenizer one by one, as a merge in bulk takes time with the square of their length.
@@ -37,6 +38,9 @@ RANK_BUCKET = 1 << 16
 #: Separates the id blocks of documents: appended after each one.
 END_ID = 0
 _TAIL = ".,;:!?*#$%&|<>"
+_LETTERS = re.compile("[%s]{1,%d}" % ("".join(c for c in map(chr, range(256)) if c.isalpha()), BULK_LETTERS))
+#: Bits that hold the place of a pair in a word of ``BULK_LETTERS`` letters of two bytes.
+_PLACE_BITS = (2 * BULK_LETTERS - 1).bit_length()
 
 PIECES = T.StructType(
     [
@@ -50,10 +54,10 @@ PIECES = T.StructType(
 
 
 class Merges:
-    """The tokenizer's own merges, applied to many lower-case words at once.
+    """The tokenizer's own merges, applied to many words at once.
 
-    Words of one length form a matrix of symbols; each step merges the leftmost pair of least
-    rank in every row that still has one, which is what the tokenizer does word by word.
+    Words of one length form a matrix of symbols, a column each; each step merges the leftmost pair
+    of least rank in every column that still has one, which is what the tokenizer does word by word.
     """
 
     def __init__(self, tokenizer):
@@ -66,69 +70,65 @@ class Merges:
         self.usable = model["type"] == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout") and not model.get("ignore_merges")
         kept = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         shown = {b: chr(b) for b in kept} | {b: chr(256 + n) for n, b in enumerate(sorted(set(range(256)).difference(kept)))}
-        self.inner = np.array([vocab[shown[b]] for b in range(256)], np.int64)
-        self.final = np.array([vocab[shown[b] + "</w>"] for b in range(256)], np.int64)
+        self.inner = np.array([vocab[shown[b]] for b in range(256)], np.int32)
+        self.final = np.array([vocab[shown[b] + "</w>"] for b in range(256)], np.int32)
         self.width = len(vocab) + 2
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         keys = np.array([vocab[a] * self.width + vocab[b] for a, b in pairs], np.int64)
         order = np.argsort(keys)
-        self.keys, self.rank = keys[order], order
-        self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        self.keys, self.rank = keys[order], order.astype(np.int32)
+        self.made = np.array([vocab[a + b] for a, b in pairs], np.int32)
         self.none = len(pairs)
+        self.inner_pairs, self.final_pairs = (self._ranks(self.inner[:, None], x[None]) for x in (self.inner, self.final))
 
-    def takes(self, word: str) -> bool:
-        """Whether a word is one run of letters of which the tokenizer's normaliser changes the case alone."""
-        return self.usable and len(word) <= BULK_LETTERS and word.isalpha() and (word.isascii() or max(word) <= "\xff")
+    def takes(self, words: Iterable[str]) -> list[str]:
+        """Of these, the words that are one run of letters of which the tokenizer's normaliser changes the case alone."""
+        return list(filter(_LETTERS.fullmatch, words)) if self.usable else []
 
     def _ranks(self, left, right):
         import numpy as np
 
-        key = left * self.width + right
+        key = left.astype(np.int64) * self.width + right
         at = np.searchsorted(self.keys, key)
         at[at == len(self.keys)] = 0
-        return np.where(self.keys[at] == key, self.rank[at], self.none)
+        return np.where(self.keys[at] == key, self.rank[at], np.int32(self.none))
 
-    def __call__(self, words: list[str]) -> dict[str, bytes]:
+    def __call__(self, words: list[str]) -> list[bytes]:
+        """Ids of each word that :meth:`takes` let through."""
         import numpy as np
 
-        groups: dict[int, list[str]] = {}
-        raw: dict[int, list[bytes]] = {}
-        for w in words:
-            b = w.encode()
-            groups.setdefault(len(b), []).append(w)
-            raw.setdefault(len(b), []).append(b)
-        out = {}
-        for n, names in groups.items():
-            text = np.frombuffer(b"".join(raw[n]), np.uint8).reshape(-1, n)
+        out = np.empty(len(words), object)
+        data = np.frombuffer("\n".join([*words, ""]).lower().encode(), np.uint8)
+        ends = np.flatnonzero(data == 10)
+        sizes = np.diff(ends, prepend=-1) - 1
+        order = np.argsort(sizes, kind="stable")
+        for live in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1) if words else []:
+            n = int(sizes[live[0]])
+            text = data[(ends[live] - n)[None] + np.arange(n)[:, None]]
             ids = self.inner[text]
-            ids[:, -1] = self.final[text[:, -1]]
-            live = np.arange(len(names))
-            rank = self._ranks(ids[:, :-1], ids[:, 1:])
-            while True:
-                at = rank.argmin(1) if ids.shape[1] > 1 else np.zeros(len(ids), np.int64)
-                rows = np.arange(len(ids))
-                going = rank[rows, at] < self.none if ids.shape[1] > 1 else np.zeros(len(ids), bool)
+            ids[-1] = self.final[text[-1]]
+            rank = self.inner_pairs[text[:-1], text[1:]]
+            rank[-1:] = self.final_pairs[text[-2:-1], text[-1:]]
+            while len(live):
+                # Rank and place as one number: the least is the leftmost pair of least rank.
+                best = (rank << _PLACE_BITS | np.arange(len(rank), dtype=np.int32)[:, None]).min(0) if len(rank) else np.full(len(live), self.none << _PLACE_BITS, np.int32)
+                going = best < self.none << _PLACE_BITS
                 if not going.all():
-                    done = ids[~going].astype("<u4")
-                    flat, step = done.tobytes(), 4 * done.shape[1]
-                    out.update((names[k], flat[i * step : (i + 1) * step]) for i, k in enumerate(live[~going].tolist()))
-                    ids, rank, at, live = ids[going], rank[going], at[going], live[going]
-                    rows = rows[: len(ids)]
-                if not len(ids):
-                    break
-                width = ids.shape[1]
-                ids[rows, at] = self.made[rank[rows, at]]
-                keep = np.ones(ids.shape, bool)
-                keep[rows, at + 1] = False
-                ids = ids[keep].reshape(-1, width - 1)
-                keep = keep[:, 1:]
-                rank = rank[keep].reshape(len(ids), width - 2)
+                    done = np.ascontiguousarray(ids[:, ~going].T, "<u4")
+                    out[live[~going]] = np.frombuffer(done.tobytes(), f"V{4 * done.shape[1]}").tolist()
+                    ids, rank, best, live = ids[:, going], rank[:, going], best[going], live[going]
+                at, col = best & ((1 << _PLACE_BITS) - 1), np.arange(len(live))
+                merged = self.made[best >> _PLACE_BITS]
+                before = np.arange(len(rank), dtype=np.int32)[:, None] <= at
+                ids = np.where(before, ids[:-1], ids[1:])
+                ids[at, col] = merged
+                rank = np.where(before[:-1], rank[:-1], rank[1:])
                 for shift in (-1, 0):  # the pairs that the new symbol takes part in
                     k = at + shift
-                    ok = (k >= 0) & (k < width - 2)
-                    r, k = rows[ok], k[ok]
-                    rank[r, k] = self._ranks(ids[r, k], ids[r, k + 1])
-        return out
+                    ok = np.flatnonzero((k >= 0) & (k < len(rank)))
+                    k = k[ok]
+                    rank[k, ok] = self._ranks(ids[k, ok], ids[k + 1, ok])
+        return out.tolist()
 
 
 class WordIds:
@@ -144,8 +144,7 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.merges = Merges(self.tokenizer)
         self.limit = limit
-        self.known: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
 
     def _encode(self, words: list[str]) -> list[bytes]:
         import numpy as np
@@ -153,19 +152,19 @@ class WordIds:
         got = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in got]
 
-    def _learn(self, words: list[str]) -> None:
-        have = self.stems
-        have[""] = b""
-        stems = [s if s.isalpha() else w for s, w in zip([w.rstrip(_TAIL) for w in words], words, strict=True)]
-        tails = [w[len(s) :] for s, w in zip(stems, words, strict=True)]
-        new = set(stems).union(tails).difference(have)
-        plain = {s: s.lower() for s in new if self.merges.takes(s)}
-        made = self.merges(list(set(plain.values())))
-        have.update((s, made[low]) for s, low in plain.items())
-        rest = list(new.difference(plain))
-        have.update(zip(rest, self._encode(rest), strict=True))
-        found = have.__getitem__
-        self.known.update(zip(words, map(operator.add, map(found, stems), map(found, tails)), strict=True))
+    def _learn(self, words: set[str]) -> None:
+        known, plain = self.known, self.merges.takes(words)
+        rest = list(words.difference(plain))
+        stems = [s if s.isalpha() else w for s, w in zip([w.rstrip(_TAIL) for w in rest], rest, strict=True)]
+        tails = [w[len(s) :] for s, w in zip(stems, rest, strict=True)]
+        new = set(stems).union(tails).difference(known, plain)
+        more = self.merges.takes(new)
+        plain += more
+        known.update(zip(plain, self.merges(plain), strict=True))
+        odd = list(new.difference(more))
+        known.update(zip(odd, self._encode(odd), strict=True))
+        found = known.__getitem__
+        known.update(zip(rest, list(map(operator.add, map(found, stems), map(found, tails))), strict=True))
 
     def __call__(self, text: str) -> bytes:
         return next(self.many([text]))
@@ -180,17 +179,15 @@ class WordIds:
                 size += len(text)
                 lists.append((text.lower() if text.isascii() else text).replace("\n", " ").split(" "))
                 at += 1
-            if len(self.known) > self.limit:
-                self.known.clear()
-            if len(self.stems) > min(self.limit, CACHE_STEMS):
-                self.stems.clear()
             known = self.known
-            found = [list(map(known.get, words)) for words in lists]
-            new = {w for words, ids in zip(lists, found, strict=True) if None in ids for w, i in zip(words, ids, strict=True) if i is None}
+            if len(known) > self.limit:
+                known.clear()
+                known[""] = b""
+            new = set().union(*lists).difference(known)
             if new:
-                self._learn(list(new))
-            for words, ids in zip(lists, found, strict=True):
-                yield b"".join([known[w] if i is None else i for w, i in zip(words, ids, strict=True)] if None in ids else ids)
+                self._learn(new)
+            for words in lists:
+                yield b"".join(map(known.__getitem__, words))
 
 
 @functools.lru_cache(maxsize=1)
