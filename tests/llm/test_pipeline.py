@@ -45,3 +45,16 @@ def test_run_is_the_stages(spark):
             assert start == at
             at += length
         assert at <= 2048
+
+
+def test_the_driver_gives_memory_back_before_each_stage(spark, monkeypatch):
+    freed = []
+    monkeypatch.setattr(corpus_pipeline, "give_back", freed.append)
+    for _, stage in corpus_pipeline.STAGES:
+        n = len(freed)
+        try:
+            stage(spark, None, "")
+        except Exception:  # noqa: S110 - there are no documents here
+            pass
+        assert len(freed) == n + 1
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 2000

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -55,6 +57,24 @@ def stash(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def trim() -> None:
+    """Returns freed memory of this Python process; a worker that waits for its next task needs none."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # another C library
+        pass
+
+
+def give_back(spark: SparkSession) -> None:
+    """Lets the driver return memory that nothing uses any more: plans and compiled classes of past queries, freed arrays.
+
+    Both heaps of the driver otherwise keep what their largest step took.
+    """
+    gc.collect()
+    trim()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 #: Keys with at least this part (one in ...) of all rows are heavy; there are no more of them than that.
 HEAVY = 1000
 

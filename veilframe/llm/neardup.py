@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, spread_join, stash, whole_text
+from .common import Scratch, give_back, spread_join, stash, whole_text
 from .components import components
 from .wordhash import WordRows
 
@@ -361,6 +361,7 @@ def linked(docs: DataFrame, sketched: DataFrame, scratch: Scratch, least: float)
     links = scratch.write(verified(pairs, packs, least)).where("ok").select("a", "b")
     comps = components(links, scratch.write)
     # Then the pairs of a bucket that are in different components.
+    give_back(docs.sparkSession)  # the plans so far were large ones
     left = scratch.write(still_open(entries.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))))
     old = involved.select("node", F.col("block").alias("old"))
     packs = packs.join(few(left.select("node").distinct().join(old, "node").select(F.col("old").alias("block")).distinct()), "block", "left_semi")

@@ -30,7 +30,7 @@ BROADCAST_ROWS = 100_000
 #: Distinct words whose ids a Python worker keeps before it starts afresh.
 CACHE_WORDS = 200_000
 #: Characters of text whose words are looked up together.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 2_000_000
 #: Longer words go to the tokenizer one by one, as a merge in bulk takes time with the square of their length.
 BULK_LETTERS = 64
 #: Ranks of a length that meet a plan of many rows under one key.

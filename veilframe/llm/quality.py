@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import trim, whole_text
 from .labelled import fetch, prior_shift, training_rows
 from .wordhash import WordRows, ngram_buckets, sigmoid
 
@@ -186,5 +186,7 @@ def keep_good(docs: DataFrame, model: Model, least: float = THRESHOLD) -> DataFr
         for batch in batches:
             texts = [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
             yield batch.filter(pa.array(scorer(texts) >= least, pa.bool_()))
+        del scorer
+        trim()
 
     return docs.mapInArrow(run, schema)

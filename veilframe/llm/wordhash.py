@@ -8,9 +8,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 
 #: Distinct words a Python worker remembers before it starts afresh.
-KEEP_WORDS = 500_000
+KEEP_WORDS = 200_000
 #: Characters of text that are taken together.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 1_000_000
 
 
 class WordRows:
