@@ -1,4 +1,5 @@
 import math
+import re
 from collections import Counter, defaultdict
 
 import duckdb
@@ -89,3 +90,11 @@ def test_rows_against_sql(spark, tmp_path, target):
     want = con.sql(mixing.oracle(target, 3.0, 40)).fetchall()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
     assert max(r["mix_epoch"] for r in got) > 0
+
+
+def test_words_are_counted_without_making_them(spark):
+    texts = [None, "", " ", "a", " a", "a ", " a  b\t\n", "\x0b\x0c\r", "x y z w", "\x1c a\x85b", "漢 字", "𝒳 y\r\nz", "x" * 5000 + " " * 5000 + "y"]
+    counted = mixing.token_count(F.col("text"))
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", counted.alias("n")).collect()
+    assert [r["n"] for r in rows] == [len([w for w in re.split(r"[\x20\x09-\x0D]+", t or "") if w]) for t in texts]
+    assert "split" not in str(counted)  # an array of words took many times a text's memory
