@@ -118,6 +118,23 @@ def test_output_guard(spark):
     assert kept[1].startswith(token)
 
 
+def test_what_overlaps_is_masked_and_comes_back(spark):
+    """A phone number that ran into a card number; a token that is an IBAN by its letters; several rounds for one text."""
+    token = "<MG:" + "IK26" + "A" * 22 + ">"
+    texts = ["call +1 (208) 555-1177 4284896609045836", "no finding", None, "mail ann@example.com", "+1 (208) 555-1177 4284896609045836 +1 (208) 555-1178"]
+    df = spark.createDataFrame([(k % 2 or None, k, t) for k, t in enumerate(texts)], "scope_id int, i int, text string")
+    rows, table = mask.mask_all(detect.detect(df), key="demo")
+    shown = {r["i"]: r["masked"] for r in rows.collect()}
+    assert shown[1] == "no finding" and shown[2] is None
+    assert not any(re.search("555-117|4284896609045836|ann@", t or "") for t in shown.values())
+    assert table.groupBy("scope_id", "original").count().where("count > 1").isEmpty()
+    got = {r["i"]: r["guarded"] for r in wire.guard_text(mask.scope_pairs(rows, table), "masked").collect()}
+    assert got == dict(enumerate(texts))
+    iban = spark.createDataFrame([(f"for {token}.", [(token, "ann@example.com")])], "text string, pairs array<struct<replacement:string,original:string>>")
+    assert [d["entity_type"] for d in detect.detect(iban).first()["detections"]] == ["IBAN"]
+    assert wire.guard_text(iban).first()["guarded"] == "for ann@example.com."
+
+
 def test_vault_budget(spark):
     table = spark.createDataFrame([(1, k, "x" * 600, "r", True) for k in range(3)] + [(2, 0, "y", "r", True), (2, 1, "z", "r", True)], "scope_id int, pos int, original string, replacement string, restore boolean")
     got = sorted((r["scope_id"], r["error"] or "") for r in mask.over_budget(table, "pos", 5, 1300).collect())
