@@ -79,6 +79,18 @@ def test_pruned_as_by_brute_force(spark):
     assert mask.pruned(got.limit(0), spark.createDataFrame(texts, "scope_id int, text string")).count() == 0
 
 
+def test_pruned_takes_apart_texts_of_large_scopes_only(spark, monkeypatch):
+    table = [(s, f"name {k}") for s in (1, None) for k in range(5)] + [(2, "x"), (2, "name 1")]
+    texts = [(1, "name 3 and name 12"), (None, "name 4"), (2, "an axe"), (3, "name 0")]
+    made = spark.createDataFrame([(s, "T", r, r, True) for s, r in table], "scope_id int, entity_type string, original string, replacement string, restore boolean")
+    want = [(1, "name 1"), (1, "name 3"), (2, "x"), (None, "name 4")]
+    for most in (256, 3, 0):
+        monkeypatch.setattr(mask, "SEARCHED", most)
+        got = mask.pruned(made, spark.createDataFrame(texts, "scope_id int, text string"))
+        assert ("(?s)(?=(" in got._jdf.queryExecution().optimizedPlan().toString()) == (most < 256)
+        assert sorted(((r["scope_id"], r["replacement"]) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
 def test_admission_and_log_lines(spark):
     asked = spark.createDataFrame([("Bearer k1",), ("bearer k 2",), ("BEARER  k1",), ("Bearer ",), ("k1",), ("Basic k1",), ("",), (None,)], "authorization string")
     keys = spark.createDataFrame([("k1",), ("k1",), ("k 2",), ("",), (None,)], "key string")

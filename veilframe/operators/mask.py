@@ -183,13 +183,17 @@ def collisions(table: DataFrame) -> DataFrame:
     return table.where("restore").groupBy("scope_id", "replacement").agg(F.count_distinct("original").alias("originals")).where("originals > 1")
 
 
+#: The most replacements without a grammar that are all searched for in each text of their scope.
+SEARCHED = 256
+
+
 def pruned(table: DataFrame, retained: DataFrame, text: str = "text") -> DataFrame:
     """The restorable rows of ``table`` whose replacement stands in a retained text of its scope.
 
     ``retained`` has scope_id and ``text``, a row for each string of what a conversation keeps,
     member names included. Tokens are taken from the texts and met by equality. Replacements
-    without a grammar are met by their last 1, 2, 4 or 8 characters, and only what meets is
-    searched for in the text. Null and empty texts and replacements hold and keep nothing.
+    without a grammar are searched for in the texts of their scope, or, in a scope with more than
+    ``SEARCHED``, met by their last 1, 2, 4 or 8 characters before what meets is searched for. Null and empty texts and replacements hold and keep nothing.
     """
     known = cut(table.where(F.col("restore") & (F.col("replacement") != "")).withColumn("_map", F.monotonically_increasing_id()))
     rows = cut(retained.where(F.col(text) != "").select(F.monotonically_increasing_id().alias("_row"), F.col("scope_id").alias("r_scope"), F.col(text).alias("_said")))
@@ -197,15 +201,22 @@ def pruned(table: DataFrame, retained: DataFrame, text: str = "text") -> DataFra
     same = F.col("scope_id").eqNullSafe(F.col("r_scope"))
     used = rows.select("r_scope", F.explode(F.regexp_extract_all("_said", F.lit(f"{OPAQUE}|{SEMANTIC}"), F.lit(0))).alias("_used")).distinct()
     by_token = known.where(is_token).join(used, same & (F.col("replacement") == F.col("_used")), "left_semi").select("_map")
+    plain = known.where(~is_token).select("scope_id", "_map", "replacement")
+    sized = plain.groupBy("scope_id").agg(F.count("*").alias("n")).select(F.col("scope_id").alias("n_scope"), "n")
+    of_scope = F.col("scope_id").eqNullSafe(F.col("n_scope"))
+    gathered = plain.join(sized.where(F.col("n") <= SEARCHED), of_scope, "left_semi").groupBy("scope_id").agg(F.collect_list(F.struct("_map", "replacement")).alias("_all"))
+    found = rows.join(gathered, same).select(F.explode(F.filter("_all", lambda m: F.contains(F.col("_said"), m["replacement"]))).alias("m")).select("m._map").distinct()
     length = F.length("replacement")
     size = F.when(length >= 8, 8).when(length >= 4, 4).when(length >= 2, 2).otherwise(1)
-    plain = known.where(~is_token).select("scope_id", "_map", "replacement", size.alias("size")).withColumn("end", F.expr("right(replacement, size)"))
+    plain = plain.join(sized.where(F.col("n") > SEARCHED), of_scope, "left_semi").withColumn("size", size).withColumn("end", F.expr("right(replacement, size)"))
     met = None
     for (n,) in sorted(plain.select("size").distinct().collect()):  # four sizes at most
-        grams = rows.select("_row", "r_scope", F.explode(F.array_distinct(F.regexp_extract_all("_said", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))).alias("gram"))
+        # Only texts of scopes with many mappings are taken apart.
+        large = rows.join(sized.where(F.col("n") > SEARCHED), F.col("r_scope").eqNullSafe(F.col("n_scope")), "left_semi")
+        grams = large.select("_row", "r_scope", F.explode(F.array_distinct(F.regexp_extract_all("_said", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))).alias("gram"))
         hit = plain.where(F.col("size") == n).join(grams, same & (F.col("end") == F.col("gram"))).select("_row", "_map", "replacement")
         met = hit if met is None else met.unionByName(hit)
-    kept = by_token
+    kept = by_token.unionByName(found)
     if met is not None:
         kept = kept.unionByName(met.join(rows.select("_row", "_said"), "_row").where(F.contains("_said", "replacement")).select("_map").distinct())
     return known.join(kept, "_map", "left_semi").drop("_map")
