@@ -97,3 +97,18 @@ def test_rewrite_keeps_the_shape(spark):
     out = wire.rewrite(df, lambda leaves: leaves.withColumn("new", F.when(F.col("text") == "x", F.concat("keys", F.lit("!")))))
     got = {r["request_id"]: r["rewritten"] for r in out.collect()}
     assert got == {0: '{"a":["a!",{"b.c":"a.b\\\\.c!","n":1.5}],"x":null,"j":"[\\"x\\"]"}', 1: None, 2: None, 3: "{}", 4: '{"é":"é!"}'}
+
+
+@pytest.mark.parametrize("shapes", [200, 0])
+def test_surrogates_of_a_large_scope_are_met_by_their_ends(spark, monkeypatch, shapes):
+    """Each text gets the pairs that stand in it, of which one begins like another, and is restored by the longest."""
+    monkeypatch.setattr(mask, "SEARCHED", 3)
+    monkeypatch.setattr(mask, "SHAPES", shapes)
+    table = [(s, "PHONE", f"p{n}", f"+1 202-555-{n % 10_000:04d} ext {n}", True) for s in (1, None) for n in (1, 2, 10, 10_001)] + [(2, "X", "few", "$1", True), (1, "X", "y", "é", True), (1, "X", "gone", "g", False)]
+    made = spark.createDataFrame(table, "scope_id int, entity_type string, original string, replacement string, restore boolean")
+    texts = [(1, "a +1 202-555-0001 ext 10001, é"), (None, "+1 202-555-0010 ext 10"), (2, "$1 +1 202-555-0001 ext 1"), (1, None), (1, "none"), (3, "+1 202-555-0001 ext 1")]
+    df = spark.createDataFrame(texts, "scope_id int, masked string")
+    got = {(r["scope_id"], r["masked"]): r for r in mask.restore(df, made).collect()}
+    assert [got[k]["restored"] for k in texts] == ["a p10001, y", "p10", "few +1 202-555-0001 ext 1", None, "none", "+1 202-555-0001 ext 1"]
+    pairs = {(r["scope_id"], r["masked"]): {p["original"] for p in r["pairs"]} for r in mask.scope_pairs(df, made).collect()}
+    assert [pairs[k] for k in texts] == [{"p1", "p10001", "y"}, {"p10"}, {"few"}, set(), set(), set()]

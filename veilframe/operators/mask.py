@@ -134,13 +134,17 @@ def spliced(rows: DataFrame, cuts: DataFrame, text: str) -> DataFrame:
 
 
 PAIRS = "array<struct<replacement:string,original:string>>"
+#: The most replacements without a grammar that are all searched for in each text of their scope.
+SEARCHED = 256
+#: The most shapes by which pieces of texts are chosen.
+SHAPES = 200
 
 
 def scope_pairs(df: DataFrame, table: DataFrame, column: str = "masked") -> DataFrame:
     """``df`` plus ``pairs``: the restorable replacements of its scope that stand in ``column``.
 
-    Tokens are taken from the text and looked up one by one; surrogates have no grammar, so those
-    of a scope (whose vault has a budget, see :func:`over_budget`) are all tried.
+    Tokens are taken from the text and looked up one by one. Surrogates have no grammar: those of a
+    scope with ``SEARCHED`` at most are all given, those of a larger one if they stand in the text.
     """
     rows = cut(df.withColumn("_row", F.monotonically_increasing_id()))
     known = table.where("restore").select(F.col("scope_id").alias("v_scope"), "replacement", "original")
@@ -149,10 +153,42 @@ def scope_pairs(df: DataFrame, table: DataFrame, column: str = "masked") -> Data
     by_token = used.join(known.where(token), F.col("scope_id").eqNullSafe(F.col("v_scope")) & (F.col("used") == F.col("replacement")))
     gathered = F.collect_list(F.struct("replacement", "original"))
     by_token = by_token.groupBy("_row").agg(gathered.alias("_tokens"))
-    others = known.where(~token).groupBy("v_scope").agg(gathered.alias("_others"))
+    plain = known.where(~token & (F.col("replacement") != ""))
+    sized = plain.groupBy("v_scope").agg(F.count("*").alias("n")).select(F.col("v_scope").alias("n_scope"), "n")
+    of_scope = F.col("v_scope").eqNullSafe(F.col("n_scope"))
+    others = plain.join(sized.where(F.col("n") <= SEARCHED), of_scope, "left_semi").groupBy("v_scope").agg(gathered.alias("_others"))
+    many = cut(plain.join(sized.where(F.col("n") > SEARCHED), of_scope, "left_semi"))
     none = F.array().cast(PAIRS)
-    joined = rows.join(by_token, "_row", "left").join(others, F.col("scope_id").eqNullSafe(F.col("v_scope")), "left")
-    return joined.withColumn("pairs", F.concat(F.coalesce("_tokens", none), F.coalesce("_others", none))).drop("_row", "_tokens", "_others", "v_scope")
+    joined = rows.join(by_token, "_row", "left").join(others, F.col("scope_id").eqNullSafe(F.col("v_scope")), "left").drop("v_scope")
+    given = F.concat(F.coalesce("_tokens", none), F.coalesce("_others", none))
+    if not many.isEmpty():
+        joined = joined.join(_standing(rows.select("_row", "scope_id", F.col(column).alias("_said")), many).groupBy("_row").agg(gathered.alias("_standing")), "_row", "left")
+        given = F.concat(given, F.coalesce("_standing", none))
+    return joined.withColumn("pairs", given).drop("_row", "_tokens", "_others", "_standing")
+
+
+def _standing(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """_row, replacement, original of the replacements ``known`` that stand in texts (_row, scope_id, _said) of their scope.
+
+    They are met by their last 1, 2, 4 or 8 characters. Where these have few shapes (their digits
+    made equal), only pieces of such a shape are taken from the texts.
+    """
+    length = F.length("replacement")
+    size = F.when(length >= 8, 8).when(length >= 4, 4).when(length >= 2, 2).otherwise(1)
+    known = known.withColumn("size", size).withColumn("end", F.expr("right(replacement, size)"))
+    shape = lambda c: F.translate(c, "0123456789", "9" * 10)
+    large = rows.join(known.select(F.col("v_scope").alias("n_scope")).distinct(), F.col("scope_id").eqNullSafe(F.col("n_scope")), "left_semi")
+    met = None
+    for (n,) in sorted(known.select("size").distinct().collect()):  # four sizes at most
+        ends = known.where(F.col("size") == n)
+        pieces = F.array_distinct(F.regexp_extract_all("_said", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+        shapes = [r[0] for r in ends.select(shape(F.col("end"))).distinct().limit(SHAPES + 1).collect()]
+        if len(shapes) <= SHAPES:
+            pieces = F.filter(pieces, lambda g: shape(g).isin(*shapes))  # noqa: B023
+        taken = large.select("_row", "scope_id", F.explode(pieces).alias("piece"))
+        hit = taken.join(ends, F.col("scope_id").eqNullSafe(F.col("v_scope")) & (F.col("end") == F.col("piece"))).select("_row", "replacement", "original")
+        met = hit if met is None else met.unionByName(hit)
+    return met.join(large.select("_row", "_said"), "_row").where(F.contains("_said", "replacement")).select("_row", "replacement", "original")
 
 
 def restore(df: DataFrame, table: DataFrame, column: str = "masked") -> DataFrame:
@@ -183,10 +219,6 @@ def collisions(table: DataFrame) -> DataFrame:
     return table.where("restore").groupBy("scope_id", "replacement").agg(F.count_distinct("original").alias("originals")).where("originals > 1")
 
 
-#: The most replacements without a grammar that are all searched for in each text of their scope.
-SEARCHED = 256
-
-
 def pruned(table: DataFrame, retained: DataFrame, text: str = "text") -> DataFrame:
     """The restorable rows of ``table`` whose replacement stands in a retained text of its scope.
 
