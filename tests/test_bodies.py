@@ -83,3 +83,17 @@ def test_sealed_bytes(spark):
     text = '{"t":"é","max_tokens":5}'
     bad = "provider payload is not a JSON object"
     assert got == [(1, "", "", "unapproved EMAIL at $.t"), (1, text, hashlib.sha256(text.encode()).hexdigest(), ""), (3, "", "", bad), (4, "", "", bad)]
+
+
+def test_carried_columns_stay_arrows(spark):
+    """Columns beside a body go with each of its leaves as they are, without Python values made of them."""
+    rows = [(1, '{"a":"x","b":[1,null]}', [("r", "o"), ("r2", None)]), (None, "no", None), (3, "{}", []), (4, None, [])]
+    df = spark.createDataFrame(rows, "request_id int, body string, pairs array<struct<replacement:string,original:string>>")
+    made = wire.flatten(df, carry=("pairs",))
+    assert "MapInArrow" in made._jdf.queryExecution().optimizedPlan().toString()
+    got = [(r["request_id"], r["ordinal"], r["path"], r["kind"], r["text"], None if r["pairs"] is None else [tuple(p) for p in r["pairs"]]) for r in made.collect()]
+    pairs = rows[0][2]
+    assert sorted(got, key=str) == sorted([
+        (1, 0, "$.<key>", "key", "a", pairs), (1, 1, "$.a", "string", "x", pairs), (1, 2, "$.<key>", "key", "b", pairs), (1, 3, "$.b[0]", "number", "1", pairs), (1, 4, "$.b[1]", "other", None, pairs),
+        (None, 0, "$", "invalid", None, None), (4, 0, "$", "invalid", None, []),
+    ], key=str)
